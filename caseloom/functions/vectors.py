@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-10
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    A column used inside a lambda is otherwise worked out again for every array element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def norm(v: Column) -> Column:
@@ -19,9 +32,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Divide by the length; a zero vector stays zero."""
-    length = norm(v)
-    divisor = F.when(length == 0, F.lit(TINY)).otherwise(length)
-    return F.transform(v, lambda x: x.cast("double") / divisor)
+    divisor = F.when(norm(v) == 0, F.lit(TINY)).otherwise(norm(v))
+    return let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,7 +43,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def softmax(scores: Column, temperature: float = 5.0) -> Column:
     """Soft arg-max of an array of scores, sharpened by the factor ``temperature``."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp((s - top) * F.lit(float(temperature))))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda p: p / total)
+    powers = let(
+        F.array_max(scores),
+        lambda top: F.transform(scores, lambda s: F.exp((s - top) * F.lit(float(temperature)))),
+    )
+    return let(powers, lambda ps: let(total(ps), lambda t: F.transform(ps, lambda p: p / t)))
