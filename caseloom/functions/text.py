@@ -20,6 +20,7 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     body = (
         pattern.replace(r"\b", _EDGE)
         .replace(r"\w", _WORD)
+        .replace(r"\d", r"\p{Nd}")
         .replace(r"\s", rf"[{_SPACE}]")
         .replace(r"\S", rf"[^{_SPACE}]")
     )

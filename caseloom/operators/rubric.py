@@ -17,7 +17,7 @@ def pairwise_similarity(pairs: DataFrame, key: str, texts: str = "texts") -> Dat
     """``(key, similarity)``: largest TF-IDF cosine of the first text to any other of the row.
 
     Each row of ``pairs`` is a corpus of its own: ``texts`` is an array whose first entry is
-    compared with the rest. The texts are partitioned by ``key`` once; every later grouping
+    compared with the rest. A corpus without any token has no similarity (null). The texts are partitioned by ``key`` once; every later grouping
     starts with ``key`` and needs no further shuffle.
     """
     placed = pairs.select(key, texts).repartition(F.col(key))
@@ -41,10 +41,10 @@ def pairwise_similarity(pairs: DataFrame, key: str, texts: str = "texts") -> Dat
     )
     first = F.max(F.when(F.col("doc") == 0, F.col("square")))
     others = F.max(F.when(F.col("doc") > 0, F.col("dot") / F.sqrt("square")))
-    found = per_doc.groupBy(key).agg(half_up(others / F.sqrt(first), 6).alias("similarity"))
-    return pairs.select(key).join(found, key, "left").select(
-        key, F.coalesce("similarity", F.lit(0.0)).alias("similarity")
+    found = per_doc.groupBy(key).agg(
+        F.coalesce(half_up(others / F.sqrt(first), 6), F.lit(0.0)).alias("similarity")
     )
+    return pairs.select(key).join(found, key, "left")
 
 
 def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
@@ -70,7 +70,7 @@ def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
     value = F.col("similarity")
     return sims.groupBy(F.col("pair.key").alias(key)).agg(
         *[F.max(F.when(F.col("pair.kind") == kind, value)).alias(kind) for kind in kinds]
-    )
+    ).na.fill(0.0, ["to_evidence", "to_message"])
 
 
 def groundedness(draft: Column, evidence: Column, similarity: Column) -> Column:
@@ -125,9 +125,11 @@ def unsupported_claims(draft: Column) -> Column:
 
 
 def correctness(true_reply: Column, similarity: Column) -> Column:
-    """Tenths of similarity to the true reply plus one, within 1..5; 3 without a true reply."""
+    """Tenths of similarity to the true reply plus one, within 1..5; 3 if there is nothing to
+    compare with."""
     scored = F.least(F.lit(5), F.greatest(F.lit(1), F.floor(similarity * 10).cast("int") + 1))
-    return F.when(F.coalesce(true_reply, F.lit("")) == "", F.lit(3)).otherwise(scored)
+    nothing = (F.coalesce(true_reply, F.lit("")) == "") | similarity.isNull()
+    return F.when(nothing, F.lit(3)).otherwise(scored)
 
 
 def score_replies(replies: DataFrame, key: str) -> DataFrame:
