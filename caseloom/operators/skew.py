@@ -12,6 +12,8 @@ from caseloom.session import cut_lineage
 HOT_SHARE = 1.0 / 1000
 MIN_HOT_ROWS = 1000.0
 SALTS = 64
+# A left side known to have no more rows than this has no group too large for one task.
+SMALL_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -22,14 +24,22 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: str,
+    how: str = "left",
+    rows: int | None = None,
 ) -> DataFrame:
     """Join many ``left`` rows per key with few ``right`` rows per key.
 
     Left rows of a hot key are spread over ``SALTS`` tasks by the hash of ``spread_by``, and only
     the right rows of hot keys are copied, so no task gets a whole hot group. The hash, unlike a
-    random salt, is the same when a lost task runs again.
+    random salt, is the same when a lost task runs again. ``rows`` is the number of left rows,
+    if the caller knows it: few rows are joined directly.
     """
+    if rows is not None and rows <= SMALL_ROWS:
+        return left.join(right, key, how)
     hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
     spread = (
         left.join(hot, key, "left")

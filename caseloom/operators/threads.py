@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.constants import RESOLUTION_PATTERNS
 from caseloom.functions.text import clean_text, matches_any, parse_created_at
 from caseloom.operators.skew import lookup_join, number_rows
-from caseloom.session import cut_lineage
+from caseloom.session import cut_and_count, cut_lineage
 
 PAGE_TURNS = 1000
 
@@ -63,24 +63,27 @@ def reply_edges(nodes: DataFrame) -> DataFrame:
         F.col("tweet_id").alias("parent"),
         F.posexplode(F.split("response_tweet_id", ",")).alias("position", "raw"),
     )
-    edges = cut_lineage(
+    edges, n_edges = cut_and_count(
         listed.select("parent", F.trim("raw").alias("child"), "position")
         .where(F.col("child") != "")
         .groupBy("parent", "child")
         .agg(F.min("position").alias("position"))
     )
     # A listed id can be named by very many parents; ids are unique on the other side.
-    known = cut_lineage(
+    known, n_known = cut_and_count(
         lookup_join(
-            edges, nodes.select(F.col("tweet_id").alias("child")), "child", "parent", "inner"
+            edges, nodes.select(F.col("tweet_id").alias("child")), "child", "parent", "inner", n_edges
         )
     )
     siblings = known.groupBy("parent").agg(F.count("*").alias("siblings"))
-    return lookup_join(known, siblings, "parent", "child", "inner")
+    return lookup_join(known, siblings, "parent", "child", "inner", n_known)
 
 
-def find_roots(nodes: DataFrame) -> DataFrame:
-    """Ids of inbound messages without a parent or whose parent is not in the table."""
+def find_roots(nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Ids of inbound messages without a parent or whose parent is not in the table.
+
+    ``rows`` is the number of nodes, if known.
+    """
     inbound = nodes.where(F.col("inbound")).select("tweet_id", "in_response_to_tweet_id")
     parent = F.col("in_response_to_tweet_id")
     orphan = inbound.where(parent.isNull() | (parent == "")).select("tweet_id")
@@ -88,7 +91,9 @@ def find_roots(nodes: DataFrame) -> DataFrame:
         "in_response_to_tweet_id", "parent"
     )
     known = nodes.select(F.col("tweet_id").alias("parent"), F.lit(True).alias("exists"))
-    missing = lookup_join(linked, known, "parent", "tweet_id", "left").where(F.col("exists").isNull())
+    missing = lookup_join(linked, known, "parent", "tweet_id", "left", rows).where(
+        F.col("exists").isNull()
+    )
     return orphan.unionByName(missing.select("tweet_id"))
 
 
@@ -112,7 +117,7 @@ def _to_heads(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> tuple[Dat
         .join(incoming.withColumnRenamed("child", "tweet_id"), "tweet_id", "left")
     )
     is_head = F.col("is_root").isNotNull() | (F.coalesce("parents", F.lit(0)) != 1)
-    state = cut_lineage(
+    state, left = cut_and_count(
         marked.select(
             "tweet_id",
             is_head.alias("done"),
@@ -121,7 +126,8 @@ def _to_heads(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> tuple[Dat
             F.when(is_head, F.array().cast("array<int>"))
             .otherwise(_step(F.col("only.position"), F.col("only.siblings")))
             .alias("path"),
-        )
+        ),
+        ~F.col("done"),
     )
     heads = state.where("done")
     into_heads = edges.join(
@@ -130,7 +136,6 @@ def _to_heads(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> tuple[Dat
 
     finished = heads
     open_rows = state.where(~F.col("done"))
-    left = open_rows.count()
     while left:
         # ``target`` is the state of the message that each open row points at.
         target = finished.unionByName(open_rows).select(
@@ -140,35 +145,37 @@ def _to_heads(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> tuple[Dat
             F.col("path").alias("next_path"),
             F.col("done").alias("next_done"),
         )
-        moved = lookup_join(open_rows, target, "head", "tweet_id", "inner").select(
+        moved = lookup_join(open_rows, target, "head", "tweet_id", "inner", left).select(
             "tweet_id",
             F.col("next_done").alias("done"),
             F.col("next_head").alias("head"),
             (F.col("hops") + F.col("next_hops")).alias("hops"),
             F.concat("next_path", "path").alias("path"),
         )
-        moved = cut_lineage(moved)
+        moved, still = cut_and_count(moved, ~F.col("done"))
         finished = finished.unionByName(moved.where("done"))
         open_rows = moved.where(~F.col("done"))
-        still = open_rows.count()
         if still == left:  # only cycles that no root reaches are left
             break
         left = still
     return finished.drop("done"), into_heads
 
 
-def label_messages(nodes: DataFrame) -> DataFrame:
-    """``(tweet_id, root_id, depth, path)`` of every message that some root reaches."""
-    edges = cut_lineage(reply_edges(nodes))
-    roots = cut_lineage(find_roots(nodes))
+def label_messages(nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
+    """``(tweet_id, root_id, depth, path)`` of every message that some root reaches.
+
+    ``n_nodes`` is the number of nodes, if known.
+    """
+    edges, n_edges = cut_and_count(reply_edges(nodes))
+    roots = cut_lineage(find_roots(nodes, n_nodes))
     to_head, into_heads = _to_heads(nodes, roots, edges)
 
     # Edges between heads: parent's head -> child, over the parent's own path.
     parents = to_head.select(
         F.col("tweet_id").alias("parent"), F.col("head").alias("from"), "hops", "path"
     )
-    links = cut_lineage(
-        lookup_join(into_heads, parents, "parent", "child", "inner").select(
+    links, n_links = cut_and_count(
+        lookup_join(into_heads, parents, "parent", "child", "inner", n_edges).select(
             "from", "child", (F.col("hops") + 1).alias("hops"), F.concat("path", "step").alias("path")
         )
     )
@@ -179,11 +186,13 @@ def label_messages(nodes: DataFrame) -> DataFrame:
         empty_path.alias("path"),
     )
     labels = roots.select("tweet_id", label.alias("label"))
-    if not links.isEmpty():
+    if n_links:
         frontier = labels
         while True:
             offers = (
-                lookup_join(links.withColumnRenamed("from", "tweet_id"), frontier, "tweet_id", "child", "inner")
+                lookup_join(
+                    links.withColumnRenamed("from", "tweet_id"), frontier, "tweet_id", "child", "inner", n_links
+                )
                 .select(
                     F.col("child").alias("tweet_id"),
                     F.struct(
@@ -195,21 +204,22 @@ def label_messages(nodes: DataFrame) -> DataFrame:
                 .groupBy("tweet_id")
                 .agg(F.min("label").alias("offer"))
             )
-            merged = cut_lineage(
+            merged, n_better = cut_and_count(
                 labels.join(offers, "tweet_id", "full").select(
                     "tweet_id",
                     F.least("label", "offer").alias("label"),
-                    (F.col("label").isNull() | (F.col("offer") < F.col("label"))).alias("better"),
-                )
+                    (F.col("label").isNull() | F.coalesce(F.col("offer") < F.col("label"), F.lit(False))).alias("better"),
+                ),
+                F.col("better"),
             )
             labels = merged.select("tweet_id", "label")
             frontier = merged.where("better").select("tweet_id", "label")
-            if frontier.isEmpty():
+            if not n_better:
                 break
     heads = labels.select(F.col("tweet_id").alias("head"), "label")
     members = lookup_join(
         to_head.select("tweet_id", "head", F.col("hops"), F.col("path")),
-        heads, "head", "tweet_id", "inner",
+        heads, "head", "tweet_id", "inner", n_nodes,
     )
     return members.select(
         "tweet_id",
@@ -225,8 +235,8 @@ def thread_turns(tweets: DataFrame, order: str | None = None) -> DataFrame:
     ``(conversation_id, depth, path)`` is the breadth-first order. The texts join on the unique
     message id once the labels are known.
     """
-    nodes = cut_lineage(message_nodes(tweets, order))
-    labels = label_messages(nodes)
+    nodes, n_nodes = cut_and_count(message_nodes(tweets, order))
+    labels = label_messages(nodes, n_nodes)
     return nodes.drop("response_tweet_id", "in_response_to_tweet_id").join(labels, "tweet_id").select(
         F.concat(F.lit("conv_"), "root_id").alias("conversation_id"),
         F.col("root_id").alias("root_tweet_id"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so that a lost executor costs one stage only."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage`, with the number of rows (that meet ``where``) from the same job."""
+    checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    counter = F.count(F.lit(1)) if where is None else F.count_if(where)
+    done = df.observe(seen, counter.alias("n")).checkpoint(eager=True)
+    return done, int(seen.get["n"])
