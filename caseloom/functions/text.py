@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -27,26 +28,45 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 
-def any_pattern(patterns: Iterable[str], ignore_case: bool = False) -> str:
-    """One alternation that matches where any of the patterns does."""
-    return java_pattern("|".join(f"(?:{p})" for p in patterns), ignore_case)
+def required_start(pattern: str) -> str:
+    r"""Letters that any match of the pattern contains: those after a leading ``\b``."""
+    found = re.match(r"\\b([A-Za-z0-9 ]+)([?*{|]?)", pattern)
+    if not found or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    letters, repeat = found.groups()
+    return letters[:-1] if repeat else letters
 
 
-def matches_any(text: Column, patterns: Iterable[str], ignore_case: bool = False) -> Column:
-    return text.rlike(any_pattern(patterns, ignore_case))
+def fold_case(text: Column) -> Column:
+    """Lower case, with the two letters that only case-insensitive matching equates."""
+    return F.translate(F.lower(text), "\u017f\u0131", "si")
 
 
-def count_matching(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    """How many patterns match at least once.
+def _match_sql(text: str, pattern: str, ignore_case: bool, folded: str | None) -> str:
+    letters = required_start(pattern)
+    test = f'rlike({text}, r"{java_pattern(pattern, ignore_case)}")'
+    if not letters:
+        return test
+    if ignore_case:
+        within = folded or f"translate(lower({text}), '\u017f\u0131', 'si')"
+        return f'(contains({within}, "{letters.lower()}") AND {test})'
+    return f'(contains({text}, "{letters}") AND {test})'
 
-    The alternation of all of them is tried first, so that a text without any hit costs one
-    scan instead of one per pattern.
+
+def matches_any(text: str, patterns: Iterable[str], ignore_case: bool = False) -> Column:
+    """Whether any pattern matches the text, given as a column name or SQL expression.
+
+    Each ``rlike`` stands behind a plain substring test, which rules out nearly all texts for
+    far less. Long rule lists are put together as SQL text, since that is built at once.
     """
-    hits = sum(
-        (text.rlike(java_pattern(p, ignore_case)).cast("int") for p in patterns[1:]),
-        text.rlike(java_pattern(patterns[0], ignore_case)).cast("int"),
+    return F.expr(" OR ".join(_match_sql(text, p, ignore_case, None) for p in patterns))
+
+
+def count_matching(text: str, patterns: list[str], ignore_case: bool = False, folded: str | None = None) -> Column:
+    """How many patterns match at least once. ``folded`` names a column with ``fold_case(text)``."""
+    return F.expr(
+        " + ".join(f"CAST({_match_sql(text, p, ignore_case, folded)} AS INT)" for p in patterns)
     )
-    return F.when(matches_any(text, patterns, ignore_case), hits).otherwise(F.lit(0))
 
 
 def strip(text: Column) -> Column:

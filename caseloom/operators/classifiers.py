@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.constants import OTHER, RULE_CLASSIFIER_PATTERNS
 from caseloom.functions.numbers import half_up
-from caseloom.functions.text import count_matching
+from caseloom.functions.text import count_matching, fold_case
 from caseloom.functions.vectors import dot, softmax, unit
 from caseloom.operators.intents import Rules
 from caseloom.operators.lsa import LsaModel, fit_lsa
@@ -75,9 +75,9 @@ def predict_by_rules(
     threshold: float = 0.30,
 ) -> DataFrame:
     """Share of an intent's hits in all hits; a single hit counts as one half."""
-    hits = F.array(*[count_matching(F.col(message), p, ignore_case=True) for p in rules.values()])
+    hits = F.array(*[count_matching(message, p, ignore_case=True, folded="_folded") for p in rules.values()])
     names = F.array(*[F.lit(n) for n in rules])
-    scored = df.withColumn("_hits", hits).withColumns(
+    scored = df.withColumn("_folded", fold_case(F.col(message))).withColumn("_hits", hits).withColumns(
         {
             "_total": F.aggregate("_hits", F.lit(0), lambda acc, x: acc + x),
             "_top": F.array_max("_hits"),
@@ -101,7 +101,7 @@ def predict_by_rules(
     )
     return scored.withColumns(
         settle(raw, confidence, threshold) | {"all_probabilities": probabilities}
-    ).drop("_hits", "_total", "_top")
+    ).drop("_hits", "_total", "_top", "_folded")
 
 
 # --- nearest centroid -----------------------------------------------------------------------

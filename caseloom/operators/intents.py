@@ -12,9 +12,8 @@ from caseloom.functions.text import count_matching, split_words
 Rules = dict[str, list[str]]
 
 
-def intent_hits(message: Column, rules: Rules = INTENT_PATTERNS) -> Column:
-    """Array of ``(hits, order, intent)``, one entry per intent, ``order`` falling."""
-    text = F.lower(message)
+def intent_hits(text: str, rules: Rules = INTENT_PATTERNS) -> Column:
+    """Array of ``(hits, order, intent)`` for a column of lower-cased text, ``order`` falling."""
     return F.array(
         *[
             F.struct(
@@ -34,7 +33,8 @@ def label_intents(
 
     The intent with the most matching patterns wins and the one declared first breaks ties.
     """
-    best = df.withColumn("_best", F.array_max(intent_hits(F.col(message), rules)))
+    lower = df.withColumn("_text", F.lower(F.col(message)))
+    best = lower.withColumn("_best", F.array_max(intent_hits("_text", rules)))
     hits = F.col("_best.hits")
     confidence = F.least(F.lit(1.0), half_up(hits * F.lit(0.4) + F.lit(0.2), 2))
     return best.withColumns(
@@ -42,13 +42,15 @@ def label_intents(
             "intent": F.when(hits > 0, F.col("_best.intent")).otherwise(F.lit(OTHER)),
             "intent_confidence": F.when(hits > 0, confidence).otherwise(F.lit(0.0)),
         }
-    ).drop("_best")
+    ).drop("_best", "_text")
 
 
 def hit_table(df: DataFrame, key: str, message: str, rules: Rules = INTENT_PATTERNS) -> DataFrame:
     """Long form ``(key, intent, hits)`` of the intents with at least one matching pattern."""
-    entry = F.explode(intent_hits(F.col(message), rules)).alias("e")
-    return df.select(key, entry).select(key, "e.intent", "e.hits").where(F.col("hits") > 0)
+    # The outer form keeps Spark from testing the array in an added filter, at double cost.
+    lower = df.select(key, F.lower(F.col(message)).alias("_text"))
+    entry = F.explode_outer(intent_hits("_text", rules)).alias("e")
+    return lower.select(key, entry).select(key, "e.intent", "e.hits").where(F.col("hits") > 0)
 
 
 def intent_counts(labelled: DataFrame) -> DataFrame:

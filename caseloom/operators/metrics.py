@@ -80,7 +80,8 @@ def evaluate(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def most_confused(counts: DataFrame, n: int = 10) -> DataFrame:
-    wrong = counts.where(F.col("truth") != F.col("predicted"))
+    # The condition includes the count, so that it stays above the aggregation.
+    wrong = counts.where((F.col("n") > 0) & (F.when(F.col("truth") != F.col("predicted"), F.col("n")) > 0))
     return wrong.orderBy(F.desc("n"), "truth", "predicted").limit(n)
 
 

@@ -18,7 +18,7 @@ POST = "ESCALATED_POST_GENERATION"
 AUTO = "AUTO_HANDLED"
 
 
-def asks_unavailable_action(message: Column) -> Column:
+def asks_unavailable_action(message: str = "message") -> Column:
     return matches_any(message, K.UNAVAILABLE_ACTION_PATTERNS, ignore_case=True)
 
 
@@ -26,7 +26,7 @@ def is_too_short(message: Column) -> Column:
     return F.length(strip_links_and_handles(message)) < K.MIN_CLEAR_LENGTH
 
 
-def is_ambiguous_phrase(message: Column) -> Column:
+def is_ambiguous_phrase(message: str = "message") -> Column:
     return matches_any(message, K.AMBIGUOUS_PATTERNS, ignore_case=True)
 
 
@@ -50,9 +50,9 @@ def rule_flags(df: DataFrame) -> DataFrame:
     message = F.col("message")
     return df.withColumns(
         {
-            "rule_action": asks_unavailable_action(message),
+            "rule_action": asks_unavailable_action(),
             "rule_short": is_too_short(message),
-            "rule_phrase": is_ambiguous_phrase(message),
+            "rule_phrase": is_ambiguous_phrase(),
             "rule_taxonomy": (F.col("intent") == K.OTHER) | F.col("is_uncertain"),
             "rule_no_cases": case_count(F.col("cases")) <= 0,
             "rule_conflict": is_conflicting(F.col("cases"), F.col("intent")),
@@ -74,9 +74,9 @@ def escalate(
     confidence, similarity = F.col("confidence"), top_similarity(cases)
     conf_limit, sim_limit = F.lit(min_confidence), F.lit(min_similarity)
     rules = [
-        ("ACTION", asks_unavailable_action(message), F.lit(K.REASON_ACTION)),
+        ("ACTION", asks_unavailable_action(), F.lit(K.REASON_ACTION)),
         ("TOO_SHORT", is_too_short(message), F.lit(K.REASON_AMBIGUOUS)),
-        ("AMBIGUOUS", is_ambiguous_phrase(message), F.lit(K.REASON_AMBIGUOUS)),
+        ("AMBIGUOUS", is_ambiguous_phrase(), F.lit(K.REASON_AMBIGUOUS)),
         ("TAXONOMY", (F.col("intent") == K.OTHER) | F.col("is_uncertain"), F.lit(K.REASON_TAXONOMY)),
         ("CONFIDENCE", confidence < conf_limit, F.format_string(K.REASON_CONFIDENCE, confidence, conf_limit)),
         ("NO_CASES", case_count(cases) <= 0, F.lit(K.REASON_NO_CASES)),
@@ -117,8 +117,8 @@ def trust_checks(
             "_t1": intent != K.OTHER,
             "_t2": F.col("confidence") >= F.lit(min_confidence),
             "_t3": (top_similarity(cases) >= F.lit(min_similarity)) & (case_count(cases) > 0),
-            "_t4": ~asks_unavailable_action(message),
-            "_t5": ~(is_too_short(message) | is_ambiguous_phrase(message)),
+            "_t4": ~asks_unavailable_action(),
+            "_t5": ~(is_too_short(message) | is_ambiguous_phrase()),
             "_t6": ~is_conflicting(cases, intent),
         }
     )

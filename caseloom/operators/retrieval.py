@@ -160,20 +160,20 @@ def nearest_cases(
         wanted_cells.join(plan, "cell")
         .withColumn("qb", F.pmod(F.xxhash64("rep"), F.col("query_blocks")).cast("int"))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("case_blocks") - 1)))
-        .select("cell", "cb", "qb", "rep", "embedding")
+        .select("cell", "cb", "qb", F.col("rep").alias("rep"), F.col("embedding").alias("asked"))
     )
     right = (
         placed.join(plan, "cell")
         .withColumn("cb", F.pmod(F.xxhash64("case_id"), F.col("case_blocks")).cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select("cell", "cb", "qb", "case_id", "embedding")
+        .select("cell", "cb", "qb", F.col("case_id").alias("case_id"), F.col("embedding").alias("known"))
     )
 
     def score(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or known.empty:
             return pd.DataFrame({"rep": [], "case_id": [], "similarity": []})
         known = known.sort_values("case_id", kind="stable")
-        raw = _unit_rows(asked["embedding"], True) @ _unit_rows(known["embedding"]).T
+        raw = _unit_rows(asked["asked"], True) @ _unit_rows(known["known"]).T
         similarity = np.floor(raw * 1e6 + 0.5) / 1e6
         rows, cols = _best(similarity, want)
         return pd.DataFrame(
@@ -192,9 +192,9 @@ def nearest_cases(
     lists = best.groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("place", "case_id", "similarity"))).alias("found")
     )
-    answers = searches.join(lists, "rep").select("embedding", "found")
+    answers = cut_lineage(searches.join(lists, "rep").select("embedding", "found"))
     asked = queries.select(F.col(query_id), "embedding")
-    joined = lookup_join(asked, answers, "embedding", query_id, "inner")
+    joined = lookup_join(asked, answers, "embedding", query_id, "inner", asked.count())
     found = F.col("found")
     if exclude_self:
         found = F.filter(found, lambda f: ~f["case_id"].eqNullSafe(F.col(query_id)))

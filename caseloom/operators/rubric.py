@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import constants as K
 from caseloom.functions.numbers import at_least, half_up, share
-from caseloom.functions.text import java_pattern, split_words, with_bigrams, word_tokens
+from caseloom.functions.text import fold_case, java_pattern, required_start, split_words, with_bigrams, word_tokens
 from caseloom.operators.tfidf import smooth_idf
 
 SCORES = ["groundedness", "relevance", "tone", "correctness", "helpfulness", "overall"]
@@ -63,7 +63,7 @@ def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
     corpora = F.array(
         *[F.struct(F.lit(kind).alias("kind"), texts.alias("texts")) for kind, texts in kinds.items()]
     )
-    rows = replies.select(key, F.explode(corpora).alias("c")).select(
+    rows = replies.select(key, F.explode_outer(corpora).alias("c")).select(
         F.struct(F.col(key).alias("key"), F.col("c.kind").alias("kind")).alias("pair"), "c.texts"
     )
     sims = pairwise_similarity(rows, "pair")
@@ -117,7 +117,10 @@ def unsupported_claims(draft: Column) -> Column:
     """Text of the first match of each pattern that matches."""
     found = F.array(
         *[
-            F.regexp_extract(draft, java_pattern(f"({p})", ignore_case=True), 1)
+            F.when(
+                F.contains(fold_case(draft), F.lit(required_start(p).lower())),
+                F.regexp_extract(draft, java_pattern(f"({p})", ignore_case=True), 1),
+            ).otherwise(F.lit(""))
             for p in K.UNSUPPORTED_CLAIM_PATTERNS
         ]
     )
@@ -160,16 +163,18 @@ def score_replies(replies: DataFrame, key: str) -> DataFrame:
 
 def quality_summary(scored: DataFrame) -> DataFrame:
     """One row of average scores and the rate of unsupported claims, unescalated rows only."""
-    auto = scored.where(~F.col("escalate")) if "escalate" in scored.columns else scored
-    return auto.agg(
-        F.count("*").alias("replies"),
-        *[half_up(F.avg(s), 3).alias(f"avg_{s}") for s in SCORES],
-        share(F.count_if(F.col("has_unsupported_claim")), F.count("*")).alias("unsupported_claim_rate"),
+    auto = ~F.col("escalate") if "escalate" in scored.columns else F.lit(True)
+    return scored.agg(
+        F.count_if(auto).alias("replies"),
+        *[half_up(F.avg(F.when(auto, F.col(s))), 3).alias(f"avg_{s}") for s in SCORES],
+        share(F.count_if(auto & F.col("has_unsupported_claim")), F.count_if(auto)).alias("unsupported_claim_rate"),
     )
 
 
 def quality_by_intent(scored: DataFrame, true_intent: str = "true_intent") -> DataFrame:
-    auto = scored.where(~F.col("escalate")) if "escalate" in scored.columns else scored
-    return auto.groupBy(true_intent).agg(
-        half_up(F.avg("overall"), 3).alias("avg_overall"), F.count("*").alias("replies")
+    auto = ~F.col("escalate") if "escalate" in scored.columns else F.lit(True)
+    per_intent = scored.groupBy(true_intent).agg(
+        half_up(F.avg(F.when(auto, F.col("overall"))), 3).alias("avg_overall"),
+        F.count_if(auto).alias("replies"),
     )
+    return per_intent.where(F.col("replies") > 0)

@@ -17,10 +17,11 @@ SMALL_ROWS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys with at least ``HOT_SHARE`` of the rows that have a key; at most 1000 rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    """``_hot``: keys with at least ``HOT_SHARE`` of the rows that have a key; at most 1000 rows."""
+    keys = df.select(F.col(key).alias("_hot")).where(F.col("_hot").isNotNull())
+    counts = keys.groupBy("_hot").agg(F.count("*").alias("_n"))
     floor = counts.select(F.greatest(F.sum("_n") * F.lit(HOT_SHARE), F.lit(MIN_HOT_ROWS)).alias("f"))
-    return counts.where(F.col("_n") >= floor.scalar()).select(key)
+    return counts.where(F.col("_n") >= floor.scalar()).select("_hot")
 
 
 def lookup_join(
@@ -40,21 +41,26 @@ def lookup_join(
     """
     if rows is not None and rows <= SMALL_ROWS:
         return left.join(right, key, how)
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left, key))
+    is_hot = F.col("_hot").isNotNull()
     spread = (
-        left.join(hot, key, "left")
+        left.join(hot, F.col(key) == F.col("_hot"), "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(
+            F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(
                 F.lit(0)
             ),
         )
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
-    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    copied = (
+        right.join(hot, F.col(key) == F.col("_hot"), "left")
+        .withColumn("_salt", F.explode_outer(copies))
+        .drop("_hot")
+    )
     return spread.join(copied, [key, "_salt"], how).drop("_salt")
 
 

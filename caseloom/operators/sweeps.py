@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import constants as K
@@ -49,19 +49,23 @@ def policy_metrics(decided: DataFrame) -> DataFrame:
 
 
 def reason_counts(decided: DataFrame) -> DataFrame:
-    """Escalations by the raw reason text, numbers included."""
-    return (
-        decided.where(F.col("escalate"))
-        .groupBy(F.col("escalation_reason").alias("reason"))
-        .agg(F.count("*").alias("n"))
+    """Escalations by the raw reason text, numbers included.
+
+    The rows that are not escalated are counted as 0 and dropped after the aggregation: a
+    filter before it would make Spark evaluate the whole rule chain twice per row.
+    """
+    counts = decided.groupBy(F.col("escalation_reason").alias("reason")).agg(
+        F.count_if(F.col("escalate")).alias("n")
     )
+    return counts.where(F.col("n") > 0)
 
 
 def rule_shares(decided: DataFrame) -> DataFrame:
     """Escalations by rule, so that reasons with numbers count as one, and their share."""
-    counts = decided.where(F.col("escalate")).groupBy("rule_id").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
-    return counts.withColumn("share_pct", share(F.col("n") * 100.0, total, 2))
+    counts = decided.groupBy("rule_id").agg(F.count_if(F.col("escalate")).alias("n"))
+    # One row per rule.
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.withColumn("share_pct", share(F.col("n") * 100.0, total, 2)).where(F.col("n") > 0)
 
 
 def _reached(value: Column, limits: list[float]) -> Column:
@@ -83,7 +87,7 @@ def _sweep(rows: DataFrame, blocked: Column, human: Column, grid: tuple[list[flo
         F.coalesce(blocked, F.lit(False)).alias("blocked"),
         F.coalesce(human, F.lit(False)).alias("human"),
     ).agg(F.count("*").alias("n"))
-    cells = F.explode(
+    cells = F.explode_outer(
         F.array(
             *[
                 F.struct(

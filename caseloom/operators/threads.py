@@ -252,7 +252,7 @@ def summarise_threads(turns: DataFrame) -> DataFrame:
     key = F.struct("depth", "path")
     outbound = ~F.col("inbound")
     later_customer = F.col("inbound") & (F.col("depth") > 0)
-    resolved = later_customer & matches_any(F.lower("text"), RESOLUTION_PATTERNS)
+    resolved = later_customer & matches_any("lower(text)", RESOLUTION_PATTERNS)
     first = F.struct("author_id", "created_at", "text")
     per_thread = turns.groupBy("conversation_id", "root_tweet_id").agg(
         F.min_by(first, F.when(F.col("depth") == 0, key)).alias("root"),

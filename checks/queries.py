@@ -323,7 +323,7 @@ def cls_rules_uncertain(spark, d):
 
 def cls_rules_probabilities(spark, d):
     rows = classifiers.predict_by_rules(messages(spark, d), "message")
-    return rows.select("message_id", F.explode("all_probabilities").alias("intent", "probability")).where(
+    return rows.select("message_id", F.explode_outer("all_probabilities").alias("intent", "probability")).where(
         F.col("probability") > 0
     )
 
@@ -341,7 +341,7 @@ def cls_centroid(spark, d):
 
 def cls_centroid_probabilities(spark, d):
     return _centroid_predictions(spark, d).select(
-        "vec_id", F.explode("all_probabilities").alias("label", "probability")
+        "vec_id", F.explode_outer("all_probabilities").alias("label", "probability")
     )
 
 
@@ -503,7 +503,7 @@ def policy_metrics(spark, d):
 
 def trust_checks(spark, d):
     rows = policy.trust_checks(predicted_messages(spark, d))
-    return rows.select("message_id", F.inline("trust_checks"))
+    return rows.select("message_id", F.inline_outer("trust_checks"))
 
 
 def _records(spark, d):

@@ -46,8 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PHRASE_ARRAY = "array(" + ", ".join(f"'{p}'" for p in PHRASES) + ")"
+
+
 def phrase(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (index + 1).cast("int"))
+    return F.element_at(F.expr(_PHRASE_ARRAY), (index + 1).cast("int"))
 
 
 def raw_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
