@@ -84,9 +84,8 @@ def predict_by_rules(
         }
     )
     found = F.col("_total") > 0
-    raw = F.when(
-        found, F.element_at(names, F.array_position(F.col("_hits"), F.col("_top")).cast("int"))
-    ).otherwise(F.lit(OTHER))
+    winner = F.element_at(names, F.array_position(F.col("_hits"), F.col("_top")).cast("int"))
+    raw = F.coalesce(F.when(found, winner), F.lit(OTHER))
     confidence = (
         F.when(~found, F.lit(1.0))
         .when(F.col("_top") == 1, F.lit(0.5))

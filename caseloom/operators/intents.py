@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.constants import INTENT_PATTERNS, INTENT_TEXTS, OTHER
 from caseloom.functions.numbers import half_up
 from caseloom.functions.text import count_matching, split_words
+from caseloom.session import small_table
 
 Rules = dict[str, list[str]]
 
@@ -39,7 +40,8 @@ def label_intents(
     confidence = F.least(F.lit(1.0), half_up(hits * F.lit(0.4) + F.lit(0.2), 2))
     return best.withColumns(
         {
-            "intent": F.when(hits > 0, F.col("_best.intent")).otherwise(F.lit(OTHER)),
+            # Not nullable, so that joins on it need no null filter over these expressions.
+            "intent": F.coalesce(F.when(hits > 0, F.col("_best.intent")), F.lit(OTHER)),
             "intent_confidence": F.when(hits > 0, confidence).otherwise(F.lit(0.0)),
         }
     ).drop("_best", "_text")
@@ -78,7 +80,8 @@ def taxonomy_texts(spark, rules: Rules = INTENT_PATTERNS) -> DataFrame:
     """One row per declared intent and one for the rest: order, name and describing texts."""
     names = [*rules, OTHER]
     rows = [(i, name, *INTENT_TEXTS.get(name, ("", "", ""))) for i, name in enumerate(names)]
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "intent_order INT, name STRING, description STRING, inclusion_criteria STRING, "
         "exclusion_criteria STRING",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from caseloom.operators.tfidf import TfidfModel, fit_tfidf
+from caseloom.session import cut_lineage
 
 
 @dataclass
@@ -62,6 +63,53 @@ class LsaModel:
         return cls(TfidfModel.load(spark, f"{path}/terms"), np.array([r["row"] for r in rows]))
 
 
+def _gram_times(features: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """``X' X basis`` for the rows ``(indices, values)`` of X, in one pass.
+
+    A task adds up its rows and passes on the terms it met; Spark sums them per term. The
+    result has ``max_features`` rows, which is what bounds it.
+    """
+    context = features.sparkSession.sparkContext
+    shared = context.broadcast(basis)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        total = np.zeros_like(q)
+        for batch in batches:
+            for i, v in zip(batch["indices"], batch["values"]):
+                i, v = np.asarray(i, dtype=int), np.asarray(v, dtype=float)
+                total[i] += np.outer(v, v @ q[i])
+        met = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"term_index": met.astype(np.int32), "part": list(total[met])})
+
+    parts = features.select("indices", "values").mapInPandas(add_up, "term_index int, part array<double>")
+    sums = parts.groupBy("term_index").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
+    rows = sums.select("term_index", vector_to_array("s").alias("s")).toPandas()
+    shared.unpersist()
+    out = np.zeros_like(basis)
+    if len(rows):
+        out[rows["term_index"].to_numpy()] = np.vstack(rows["s"])
+    return out
+
+
+def singular_vectors(
+    features: DataFrame, n_terms: int, components: int, rounds: int = 5, extra: int = 10, seed: int = 42
+) -> np.ndarray:
+    """Leading right singular vectors by randomised subspace iteration.
+
+    It takes ``rounds + 1`` passes over the data whatever the number of components, where a
+    Lanczos solver needs a pass per vector and more.
+    """
+    width = min(components + extra, n_terms)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(_gram_times(features, basis))[0]
+    values, turn = np.linalg.eigh(basis.T @ _gram_times(features, basis))
+    best = np.argsort(values)[::-1][:components]
+    best = best[values[best] > max(values.max(), 0.0) * 1e-9]
+    return basis @ turn[:, best]
+
+
 def fit_lsa(
     docs: DataFrame,
     key: str,
@@ -70,13 +118,8 @@ def fit_lsa(
     min_df: int = 2,
     max_features: int = 35_000,
 ) -> LsaModel:
-    """Fit on the uncentred TF-IDF matrix; Spark multiplies, the driver holds ``components`` rows."""
+    """Fit on the uncentred TF-IDF matrix."""
     tfidf = fit_tfidf(docs, key, text, min_df, max_features)
-    features = tfidf.features(docs.select(key, text), key, text).select("features")
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(features, "features"))
-        svd = matrix.computeSVD(min(components, tfidf.size))
-        return LsaModel(tfidf, svd.V.toArray())
-    finally:
-        features.unpersist()
+    # Written down once, since every pass reads it.
+    features = cut_lineage(tfidf.transform(docs.select(key, text), key, text).select("indices", "values"))
+    return LsaModel(tfidf, singular_vectors(features, tfidf.size, components))

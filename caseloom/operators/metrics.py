@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.numbers import half_up
+from caseloom.session import small_table
 
 
 def confusion_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -20,7 +21,7 @@ def confusion_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def confusion_matrix(counts: DataFrame, classes: list[str]) -> DataFrame:
     """One row per true class and one column per predicted class, missing pairs as 0."""
     wide = counts.groupBy("truth").pivot("predicted", classes).agg(F.sum("n"))
-    labels = counts.sparkSession.createDataFrame([(c,) for c in classes], "truth STRING")
+    labels = small_table(counts.sparkSession, [(c,) for c in classes], "truth STRING")
     return labels.join(wide, "truth", "left").na.fill(0, classes)
 
 

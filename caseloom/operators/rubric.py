@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import constants as K
 from caseloom.functions.numbers import at_least, half_up, share
 from caseloom.functions.text import fold_case, java_pattern, required_start, split_words, with_bigrams, word_tokens
 from caseloom.operators.tfidf import smooth_idf
+from caseloom.session import spread_by_key
 
 SCORES = ["groundedness", "relevance", "tone", "correctness", "helpfulness", "overall"]
 
 
-def pairwise_similarity(pairs: DataFrame, key: str, texts: str = "texts") -> DataFrame:
-    """``(key, similarity)``: largest TF-IDF cosine of the first text to any other of the row.
+def pairwise_similarity(pairs: DataFrame, key: str, texts: str = "texts", kind: str | None = None) -> DataFrame:
+    """``(key[, kind], similarity)``: largest TF-IDF cosine of the first text to any other.
 
     Each row of ``pairs`` is a corpus of its own: ``texts`` is an array whose first entry is
-    compared with the rest. A corpus without any token has no similarity (null). The texts are partitioned by ``key`` once; every later grouping
+    compared with the rest. A corpus without any token has no similarity (null). ``kind``
+    names a second key column. The texts are partitioned by ``key`` once; every later grouping
     starts with ``key`` and needs no further shuffle.
     """
-    placed = pairs.select(key, texts).repartition(F.col(key))
-    docs = placed.select(key, F.size(texts).alias("n"), F.posexplode(texts).alias("doc", "text"))
+    keys = [key] + ([kind] if kind else [])
+    placed = spread_by_key(pairs.select(*keys, texts), key)
+    docs = placed.select(*keys, F.size(texts).alias("n"), F.posexplode_outer(texts).alias("doc", "text"))
     terms = docs.select(
-        key, "n", "doc", F.explode(with_bigrams(word_tokens(F.coalesce("text", F.lit(""))))).alias("term")
+        *keys, "n", "doc", F.explode(with_bigrams(word_tokens(F.coalesce("text", F.lit(""))))).alias("term")
     )
-    counts = terms.groupBy(key, "n", "doc", "term").agg(F.count("*").alias("tf"))
-    # One entry per text of the corpus that has the term.
-    by_term = counts.groupBy(key, "n", "term").agg(
-        F.count("*").alias("df"),
-        F.coalesce(F.max(F.when(F.col("doc") == 0, F.col("tf"))), F.lit(0)).alias("tf0"),
-        F.collect_list(F.struct("doc", "tf")).alias("in_docs"),
-    )
-    idf = smooth_idf(F.col("df"), F.col("n"))
-    weighted = by_term.select(
-        key, (F.col("tf0") * idf).alias("w0"), idf.alias("idf"), F.explode("in_docs").alias("d")
-    ).select(key, "w0", F.col("d.doc").alias("doc"), (F.col("d.tf") * F.col("idf")).alias("w"))
-    per_doc = weighted.groupBy(key, "doc").agg(
+    counts = terms.groupBy(*keys, "n", "doc", "term").agg(F.count("*").alias("tf"))
+    # The texts of one corpus that share a term; as many rows as the corpus has texts.
+    sharing = Window.partitionBy(*keys, "term")
+    idf = smooth_idf(F.count("*").over(sharing), F.col("n"))
+    first_tf = F.coalesce(F.max(F.when(F.col("doc") == 0, F.col("tf"))).over(sharing), F.lit(0))
+    weighted = counts.select(*keys, "doc", (F.col("tf") * idf).alias("w"), (first_tf * idf).alias("w0"))
+    per_doc = weighted.groupBy(*keys, "doc").agg(
         F.sum(F.col("w0") * F.col("w")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("square")
     )
     first = F.max(F.when(F.col("doc") == 0, F.col("square")))
     others = F.max(F.when(F.col("doc") > 0, F.col("dot") / F.sqrt("square")))
-    found = per_doc.groupBy(key).agg(
+    found = per_doc.groupBy(*keys).agg(
         F.coalesce(half_up(others / F.sqrt(first), 6), F.lit(0.0)).alias("similarity")
     )
-    return pairs.select(key).join(found, key, "left")
+    return pairs.select(*keys).join(found, keys, "left")
 
 
 def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
@@ -63,13 +61,10 @@ def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
     corpora = F.array(
         *[F.struct(F.lit(kind).alias("kind"), texts.alias("texts")) for kind, texts in kinds.items()]
     )
-    rows = replies.select(key, F.explode_outer(corpora).alias("c")).select(
-        F.struct(F.col(key).alias("key"), F.col("c.kind").alias("kind")).alias("pair"), "c.texts"
-    )
-    sims = pairwise_similarity(rows, "pair")
-    value = F.col("similarity")
-    return sims.groupBy(F.col("pair.key").alias(key)).agg(
-        *[F.max(F.when(F.col("pair.kind") == kind, value)).alias(kind) for kind in kinds]
+    rows = replies.select(key, F.explode_outer(corpora).alias("c")).select(key, "c.kind", "c.texts")
+    sims = pairwise_similarity(rows, key, "texts", "kind")
+    return sims.groupBy(key).agg(
+        *[F.max(F.when(F.col("kind") == kind, F.col("similarity"))).alias(kind) for kind in kinds]
     ).na.fill(0.0, ["to_evidence", "to_message"])
 
 

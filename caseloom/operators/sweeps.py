@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import constants as K
 from caseloom.functions.numbers import half_up, share
 from caseloom.operators.policy import rule_flags
+from caseloom.session import small_table
 
 # --- fixed values: grid of the validation sweep, steps of 0.05 in binary floating point ---
 VALIDATION_GRID = (
@@ -176,8 +177,8 @@ def safe_thresholds(grid: DataFrame) -> DataFrame:
 
 def against_targets(metrics: DataFrame) -> DataFrame:
     """Join ``(metric, value)`` rows with the fixed targets and tell which are met."""
-    targets = metrics.sparkSession.createDataFrame(
-        K.METRIC_TARGETS, "metric STRING, direction STRING, target DOUBLE"
+    targets = small_table(
+        metrics.sparkSession, K.METRIC_TARGETS, "metric STRING, direction STRING, target DOUBLE"
     )
     met = F.when(F.col("direction") == ">=", F.col("value") >= F.col("target")).otherwise(
         F.col("value") <= F.col("target")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import with_bigrams, word_tokens
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, spread_by_key
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", bigrams: bool = True) -> DataFrame:
@@ -20,7 +20,7 @@ def term_counts(docs: DataFrame, key: str, text: str = "text", bigrams: bool = T
     """
     tokens = word_tokens(F.coalesce(F.col(text), F.lit("")))
     terms = with_bigrams(tokens) if bigrams else tokens
-    placed = docs.select(key, text).repartition(F.col(key))
+    placed = spread_by_key(docs.select(key, text), key)
     exploded = placed.select(key, terms.alias("terms")).select(key, F.explode("terms").alias("term"))
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +61,20 @@ def cut_and_count(df: DataFrame, where: Column | None = None) -> tuple[DataFrame
     counter = F.count(F.lit(1)) if where is None else F.count_if(where)
     done = df.observe(seen, counter.alias("n")).checkpoint(eager=True)
     return done, int(seen.get["n"])
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table, which the optimizer sees as a local relation of known size."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+
+
+def spread_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Partition by ``key`` for work that is heavy per byte.
+
+    The number of partitions is given, so that adaptive execution, which goes by bytes, does
+    not fold them together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, F.col(key))

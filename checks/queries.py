@@ -676,7 +676,8 @@ def source_csv(spark, d):
     """Write the messages as CSV, line breaks and quotes included, and read them back."""
     folder = scratch(spark, "csv")
     noted = raw_tweets(spark, d).withColumn("text", F.concat(F.col("text"), F.lit('\n"quoted", line ')))
-    noted.write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    writer = noted.write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return readers.read_tweets_csv(spark, folder)
 
 

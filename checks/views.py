@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.operators.intents import label_intents
+from caseloom.session import small_table
 
 PHRASES = [
     "where is my package the tracking has not updated",
@@ -112,7 +113,7 @@ def raw_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_intents(spark: SparkSession) -> Column:
     """Array with the intent of each phrase, as a scalar subquery."""
-    rows = spark.createDataFrame(list(enumerate(PHRASES)), "i INT, phrase STRING")
+    rows = small_table(spark, list(enumerate(PHRASES)), "i INT, phrase STRING")
     labelled = label_intents(rows, "phrase").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("i", "intent"))), lambda x: x["intent"]
