@@ -84,7 +84,7 @@ def _gram_times(features: DataFrame, basis: np.ndarray) -> np.ndarray:
 
     parts = features.select("indices", "values").mapInPandas(add_up, "term_index int, part array<double>")
     sums = parts.groupBy("term_index").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
-    rows = sums.select("term_index", vector_to_array("s").alias("s")).toPandas()
+    rows = sums.select("term_index", vector_to_array("s").alias("s")).toArrow().to_pandas()
     shared.unpersist()
     out = np.zeros_like(basis)
     if len(rows):

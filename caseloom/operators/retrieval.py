@@ -53,7 +53,7 @@ def _pivots(cases: DataFrame, n_cases: int, block_rows: int) -> np.ndarray:
     """A hash-chosen sample of the cases, one per block of cases and at most MAX_PIVOTS."""
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n_cases / block_rows)))
     sample = cases.orderBy(F.xxhash64("case_id"), "case_id").limit(wanted).select("embedding")
-    return _unit_rows(sample.toPandas()["embedding"])
+    return _unit_rows(sample.toArrow().to_pandas()["embedding"])
 
 
 def nearest_cases(
@@ -121,7 +121,7 @@ def nearest_cases(
         F.max("distance").alias("radius"), F.count("*").alias("members")
     )
     # At most MAX_PIVOTS rows.
-    size_rows = sizes.toPandas().set_index("cell")
+    size_rows = sizes.toArrow().to_pandas().set_index("cell")
     n_cells = len(pivots.value)
     radius = np.full(n_cells, -np.inf)
     radius[size_rows.index] = size_rows["radius"]
