@@ -80,7 +80,8 @@ def _gram_times(features: DataFrame, basis: np.ndarray) -> np.ndarray:
                 i, v = np.asarray(i, dtype=int), np.asarray(v, dtype=float)
                 total[i] += np.outer(v, v @ q[i])
         met = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"term_index": met.astype(np.int32), "part": list(total[met])})
+        if len(met):
+            yield pd.DataFrame({"term_index": met.astype(np.int32), "part": list(total[met])})
 
     parts = features.select("indices", "values").mapInPandas(add_up, "term_index int, part array<double>")
     sums = parts.groupBy("term_index").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
