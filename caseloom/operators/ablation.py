@@ -18,7 +18,7 @@ COLUMNS = ["setting", "true_intent", "intent", "draft_reply", "evidence", "escal
 
 def _without_policy(df: DataFrame, key: str, setting: str, generate: Generator) -> DataFrame:
     drafted = generate(df).withColumn("escalate", F.lit(False))
-    return score_replies(drafted, key).select(key, F.lit(setting).alias("setting"), *COLUMNS[1:])
+    return score_replies(drafted).select(key, F.lit(setting).alias("setting"), *COLUMNS[1:])
 
 
 def setting_a(df: DataFrame, key: str, generate: Generator = draft_from_template) -> DataFrame:
@@ -35,7 +35,7 @@ def setting_b(df: DataFrame, key: str, generate: Generator = draft_from_template
 def setting_c(df: DataFrame, key: str, generate: Generator = draft_from_template, **limits: float) -> DataFrame:
     """The whole chain; an escalated row scores 0 and is left out of the averages."""
     decided = decide(generate(escalate(df, **limits)))
-    scored = score_replies(decided, key)
+    scored = score_replies(decided)
     zeroed = {s: F.when(F.col("escalate"), F.lit(0)).otherwise(F.col(s)) for s in SCORES}
     zeroed["has_unsupported_claim"] = ~F.col("escalate") & F.col("has_unsupported_claim")
     return scored.withColumns(zeroed).select(key, F.lit("C").alias("setting"), *COLUMNS[1:])

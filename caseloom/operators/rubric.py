@@ -2,70 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from caseloom.functions import constants as K
 from caseloom.functions.numbers import at_least, half_up, share
-from caseloom.functions.text import fold_case, java_pattern, required_start, split_words, with_bigrams, word_tokens
-from caseloom.operators.tfidf import smooth_idf
-from caseloom.session import spread_by_key
+from caseloom.functions.text import fold_case, java_pattern, required_start, split_words
 
 SCORES = ["groundedness", "relevance", "tone", "correctness", "helpfulness", "overall"]
 
 
-def pairwise_similarity(pairs: DataFrame, key: str, texts: str = "texts", kind: str | None = None) -> DataFrame:
-    """``(key[, kind], similarity)``: largest TF-IDF cosine of the first text to any other.
+_TOKEN = re.compile(r"\w{2,}")
 
-    Each row of ``pairs`` is a corpus of its own: ``texts`` is an array whose first entry is
-    compared with the rest. A corpus without any token has no similarity (null). ``kind``
-    names a second key column. The texts are partitioned by ``key`` once; every later grouping
-    starts with ``key`` and needs no further shuffle.
-    """
-    keys = [key] + ([kind] if kind else [])
-    placed = spread_by_key(pairs.select(*keys, texts), key)
-    docs = placed.select(*keys, F.size(texts).alias("n"), F.posexplode_outer(texts).alias("doc", "text"))
-    terms = docs.select(
-        *keys, "n", "doc", F.explode(with_bigrams(word_tokens(F.coalesce("text", F.lit(""))))).alias("term")
-    )
-    counts = terms.groupBy(*keys, "n", "doc", "term").agg(F.count("*").alias("tf"))
-    # The texts of one corpus that share a term; as many rows as the corpus has texts.
-    sharing = Window.partitionBy(*keys, "term")
-    idf = smooth_idf(F.count("*").over(sharing), F.col("n"))
-    first_tf = F.coalesce(F.max(F.when(F.col("doc") == 0, F.col("tf"))).over(sharing), F.lit(0))
-    weighted = counts.select(*keys, "doc", (F.col("tf") * idf).alias("w"), (first_tf * idf).alias("w0"))
-    per_doc = weighted.groupBy(*keys, "doc").agg(
-        F.sum(F.col("w0") * F.col("w")).alias("dot"), F.sum(F.col("w") * F.col("w")).alias("square")
-    )
-    first = F.max(F.when(F.col("doc") == 0, F.col("square")))
-    others = F.max(F.when(F.col("doc") > 0, F.col("dot") / F.sqrt("square")))
-    found = per_doc.groupBy(*keys).agg(
-        F.coalesce(half_up(others / F.sqrt(first), 6), F.lit(0.0)).alias("similarity")
-    )
-    return pairs.select(*keys).join(found, keys, "left")
 
+def _term_counts(text: str | None) -> Counter:
+    tokens = _TOKEN.findall((text or "").lower())
+    return Counter(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])])
+
+
+def _first_to_others(texts: list[str]) -> float | None:
+    """Largest TF-IDF cosine of the first text to any other, the texts being the corpus."""
+    counts = [_term_counts(t) for t in texts]
+    seen = Counter(term for c in counts for term in c)
+    if not seen:
+        return None
+    idf = {term: math.log((1 + len(texts)) / (1 + df)) + 1 for term, df in seen.items()}
+
+    def length(c: Counter) -> float:
+        return math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in c.items()))
 
-def reply_similarities(replies: DataFrame, key: str) -> DataFrame:
-    """Similarity of each draft to its evidence, its message and the true reply.
+    first = counts[0]
+    best = 0.0
+    for other in counts[1:]:
+        scale = length(first) * length(other)
+        if scale > 0:
+            shared = sum(tf * other[t] * idf[t] ** 2 for t, tf in first.items() if t in other)
+            best = max(best, shared / scale)
+    return best
 
-    All three corpora of all rows go through one :func:`pairwise_similarity`.
+
+@F.pandas_udf(DoubleType())
+def _similarity(texts: pd.Series) -> pd.Series:
+    return texts.map(_first_to_others).astype("float64")
+
+
+def pair_similarity(texts: Column) -> Column:
+    """Similarity of the first text of an array to the rest; null if no text has a token.
+
+    Each row is a corpus of its own. In Arrow batches this is a projection, linear in the
+    text; with built-in operators every single term of every row would have to be exploded,
+    grouped and sorted.
     """
+    return half_up(_similarity(texts), 6)
+
+
+def reply_similarities(replies: DataFrame) -> DataFrame:
+    """Add the similarity of each draft to its evidence, its message and the true reply."""
     draft = F.col("draft_reply")
-    kinds = {
-        "to_evidence": F.concat(
-            F.array(draft), F.filter("evidence", lambda e: F.trim(e) != "")
-        ),
-        "to_message": F.array(draft, F.coalesce("message", F.lit(""))),
-        "to_truth": F.array(draft, F.coalesce("true_reply", F.lit(""))),
-    }
-    corpora = F.array(
-        *[F.struct(F.lit(kind).alias("kind"), texts.alias("texts")) for kind, texts in kinds.items()]
+    evidence = F.filter("evidence", lambda e: F.trim(e) != "")
+    return replies.withColumns(
+        {
+            "to_evidence": F.coalesce(pair_similarity(F.concat(F.array(draft), evidence)), F.lit(0.0)),
+            "to_message": F.coalesce(pair_similarity(F.array(draft, F.coalesce("message", F.lit("")))), F.lit(0.0)),
+            "to_truth": pair_similarity(F.array(draft, F.coalesce("true_reply", F.lit("")))),
+        }
     )
-    rows = replies.select(key, F.explode_outer(corpora).alias("c")).select(key, "c.kind", "c.texts")
-    sims = pairwise_similarity(rows, key, "texts", "kind")
-    return sims.groupBy(key).agg(
-        *[F.max(F.when(F.col("kind") == kind, F.col("similarity"))).alias(kind) for kind in kinds]
-    ).na.fill(0.0, ["to_evidence", "to_message"])
 
 
 def groundedness(draft: Column, evidence: Column, similarity: Column) -> Column:
@@ -130,11 +137,11 @@ def correctness(true_reply: Column, similarity: Column) -> Column:
     return F.when(nothing, F.lit(3)).otherwise(scored)
 
 
-def score_replies(replies: DataFrame, key: str) -> DataFrame:
+def score_replies(replies: DataFrame) -> DataFrame:
     """Add all scores to rows with ``message``, ``intent``, ``draft_reply``, ``evidence`` and
     ``true_reply``. An empty draft scores 1 throughout."""
     draft = F.col("draft_reply")
-    rows = replies.join(reply_similarities(replies, key), key)
+    rows = reply_similarities(replies)
     scored = rows.withColumns(
         {
             "groundedness": groundedness(draft, F.col("evidence"), F.col("to_evidence")),

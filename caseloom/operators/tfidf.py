@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.text import with_bigrams, word_tokens
+from caseloom.functions.vectors import unit
 from caseloom.session import cut_lineage, spread_by_key
 
 
@@ -45,10 +46,10 @@ def vocabulary(
     return kept.withColumn("idf", smooth_idf(F.col("df"), n))
 
 
-def weights(
-    counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True, bounded: bool = True
+def raw_weights(
+    counts: DataFrame, vocab: DataFrame, sublinear: bool = True, bounded: bool = True
 ) -> DataFrame:
-    """``(key, term, weight)``, each document scaled to length 1.
+    """Known terms with ``raw``, their weight before scaling.
 
     ``bounded`` says that the vocabulary was cut to ``max_features`` rows, and only then is it
     broadcast.
@@ -56,9 +57,16 @@ def weights(
     terms = vocab.select([c for c in ["term", "term_index", "idf"] if c in vocab.columns])
     known = counts.join(F.broadcast(terms) if bounded else terms, "term")
     tf = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = known.withColumn("raw", tf * F.col("idf"))
+    return known.withColumn("raw", tf * F.col("idf")).drop("idf", "tf")
+
+
+def weights(
+    counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True, bounded: bool = True
+) -> DataFrame:
+    """``(key, term, weight)``, each document scaled to length 1."""
+    raw = raw_weights(counts, vocab, sublinear, bounded)
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.withColumn("weight", F.col("raw") / length).drop("raw", "idf", "tf")
+    return raw.withColumn("weight", F.col("raw") / length).drop("raw")
 
 
 @F.udf(VectorUDT(), useArrow=True)
@@ -76,14 +84,14 @@ class TfidfModel:
 
     def transform(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         """Add ``indices``, ``values`` and ``n_known_terms`` to every document."""
-        scored = weights(term_counts(docs, key, text), self.terms, key, self.sublinear)
+        scored = raw_weights(term_counts(docs, key, text), self.terms, self.sublinear)
         packed = (
             scored.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("e"))
+            .agg(F.array_sort(F.collect_list(F.struct("term_index", "raw"))).alias("e"))
             .select(
                 key,
                 F.transform("e", lambda x: x["term_index"]).alias("indices"),
-                F.transform("e", lambda x: x["weight"]).alias("values"),
+                unit(F.transform("e", lambda x: x["raw"])).alias("values"),
             )
         )
         # A document without any known term keeps its row and gets an empty vector.

@@ -35,7 +35,7 @@ def system_metrics(scored: DataFrame) -> DataFrame:
     scores = metrics.evaluate(scored, "true_intent", "intent")
     found = retrieval.retrieval_metrics(retrieval_hits(scored))
     policy = sweeps.policy_metrics(scored)
-    quality = rubric.quality_summary(rubric.score_replies(scored, "conversation_id"))
+    quality = rubric.quality_summary(rubric.score_replies(scored))
     rows = (
         sweeps.as_metric_rows(scores, {"macro_f1": "macro_f1", "accuracy": "accuracy"})
         .unionByName(sweeps.as_metric_rows(found, {"recall_at_5": "recall_at_5", "mrr": "mrr"}))

@@ -257,7 +257,7 @@ def cosine_neighbour_turns(spark, d):
     pairs = turns.join(after, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.array("text", "next_text").alias("texts")
     )
-    return rubric.pairwise_similarity(pairs, "turn_id")
+    return pairs.select("turn_id", rubric.pair_similarity(F.col("texts")).alias("similarity"))
 
 
 def dense_unit(spark, d):
@@ -626,7 +626,7 @@ def _replies(spark, d):
 
 
 def _scored(spark, d):
-    return rubric.score_replies(_replies(spark, d), "message_id")
+    return rubric.score_replies(_replies(spark, d))
 
 
 def quality_scores(spark, d):
@@ -638,7 +638,7 @@ def quality_scores(spark, d):
 
 def quality_summary(spark, d):
     decided = policy.decide(drafting.draft_from_template(_decided(spark, d)))
-    return rubric.quality_summary(rubric.score_replies(decided, "message_id"))
+    return rubric.quality_summary(rubric.score_replies(decided))
 
 
 def quality_by_intent(spark, d):

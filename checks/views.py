@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.operators.intents import label_intents
-from caseloom.session import small_table
+from caseloom.session import small_table, spread_by_key
 
 PHRASES = [
     "where is my package the tracking has not updated",
@@ -125,6 +125,8 @@ def phrase_intents(spark: SparkSession) -> Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One customer message per event, with a noisy true intent, a model confidence and cases."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    if len(events.inputFiles()) < spark.sparkContext.defaultParallelism:
+        events = spread_by_key(events, "event_id")  # one small file would be one task
     n = F.col("event_id")
     text = phrase(n % 20)
     text = F.when(n % 11 == 0, F.upper(text)).otherwise(text)

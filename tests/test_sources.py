@@ -123,7 +123,7 @@ def test_rubric_edges(spark):
     df = spark.createDataFrame(
         rows, "id INT, message STRING, intent STRING, draft_reply STRING, evidence ARRAY<STRING>, true_reply STRING"
     )
-    empty, order, refund, no_words = rubric.score_replies(df, "id").orderBy("id").collect()
+    empty, order, refund, no_words = rubric.score_replies(df).orderBy("id").collect()
     assert [empty[s] for s in rubric.SCORES] == [1, 1, 1, 1, 1, 1.0]
     assert (order["groundedness"], order["correctness"]) == (5, 3)
     assert order["unsupported_claims"] == ["your order will be cancelled"]
