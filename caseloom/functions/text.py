@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseloom.functions.constants import CREATED_AT_FORMAT
+from caseloom.functions.vectors import let
 
 _WORD = r"[\p{L}\p{N}_]"
 _EDGE = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -102,6 +103,31 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
+def term_frequencies(terms: Column) -> Column:
+    """Array of ``(term, tf)``, one entry per distinct term of the array.
+
+    Counted inside the row: the terms are sorted and the lengths of the runs of equal terms
+    are taken, so neither a shuffle nor an aggregation of single terms is needed.
+    """
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda start, k: F.struct(
+                    F.get(s, start).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), F.size(s)) - start).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<term: string, tf: bigint>>")
+    return let(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+
+
 def strip_links_and_handles(text: Column) -> Column:
     no_links = F.regexp_replace(text, java_pattern(r"https?://\S+"), "")
     return strip(F.regexp_replace(no_links, java_pattern(r"@\w+"), ""))

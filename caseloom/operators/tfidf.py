@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions.text import with_bigrams, word_tokens
-from caseloom.functions.vectors import unit
+from caseloom.functions.text import term_frequencies, with_bigrams, word_tokens
 from caseloom.session import cut_lineage, spread_by_key
 
 
 def term_counts(docs: DataFrame, key: str, text: str = "text", bigrams: bool = True) -> DataFrame:
     """``(key, term, tf)``.
 
-    The texts are partitioned by ``key`` once; counting and everything later that works per
-    document then needs no further shuffle, and the exploded terms are never shuffled as such.
+    Terms are counted inside each row. The texts are partitioned by ``key`` once, which all
+    uses in one plan share; what later works per document needs no further shuffle.
     """
     tokens = word_tokens(F.coalesce(F.col(text), F.lit("")))
     terms = with_bigrams(tokens) if bigrams else tokens
     placed = spread_by_key(docs.select(key, text), key)
-    exploded = placed.select(key, terms.alias("terms")).select(key, F.explode("terms").alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counted = placed.select(key, terms.alias("terms")).select(key, term_frequencies(F.col("terms")).alias("e"))
+    return counted.select(key, F.explode_outer("e").alias("e")).select(key, "e.term", "e.tf").where(
+        F.col("term").isNotNull()
+    )
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
@@ -46,10 +51,10 @@ def vocabulary(
     return kept.withColumn("idf", smooth_idf(F.col("df"), n))
 
 
-def raw_weights(
-    counts: DataFrame, vocab: DataFrame, sublinear: bool = True, bounded: bool = True
+def weights(
+    counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True, bounded: bool = True
 ) -> DataFrame:
-    """Known terms with ``raw``, their weight before scaling.
+    """``(key, term, weight)``, each document scaled to length 1.
 
     ``bounded`` says that the vocabulary was cut to ``max_features`` rows, and only then is it
     broadcast.
@@ -57,16 +62,9 @@ def raw_weights(
     terms = vocab.select([c for c in ["term", "term_index", "idf"] if c in vocab.columns])
     known = counts.join(F.broadcast(terms) if bounded else terms, "term")
     tf = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    return known.withColumn("raw", tf * F.col("idf")).drop("idf", "tf")
-
-
-def weights(
-    counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True, bounded: bool = True
-) -> DataFrame:
-    """``(key, term, weight)``, each document scaled to length 1."""
-    raw = raw_weights(counts, vocab, sublinear, bounded)
+    raw = known.withColumn("raw", tf * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.withColumn("weight", F.col("raw") / length).drop("raw")
+    return raw.withColumn("weight", F.col("raw") / length).drop("raw", "idf", "tf")
 
 
 @F.udf(VectorUDT(), useArrow=True)
@@ -82,26 +80,46 @@ class TfidfModel:
     size: int
     sublinear: bool = True
 
+    def _lookup(self) -> Broadcast:
+        """Index and idf per term, bounded by ``max_features``, shipped once."""
+        if not hasattr(self, "_shared"):
+            rows = self.terms.select("term", "term_index", "idf").toArrow().to_pydict()
+            table = dict(zip(rows["term"], zip(rows["term_index"], rows["idf"])))
+            self._shared = self.terms.sparkSession.sparkContext.broadcast(table)
+        return self._shared
+
     def transform(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """Add ``indices``, ``values`` and ``n_known_terms`` to every document."""
-        scored = raw_weights(term_counts(docs, key, text), self.terms, self.sublinear)
-        packed = (
-            scored.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("term_index", "raw"))).alias("e"))
-            .select(
-                key,
-                F.transform("e", lambda x: x["term_index"]).alias("indices"),
-                unit(F.transform("e", lambda x: x["raw"])).alias("values"),
-            )
-        )
-        # A document without any known term keeps its row and gets an empty vector.
-        return docs.join(packed, key, "left").withColumns(
+        """Add ``indices``, ``values`` (of length 1) and ``n_known_terms`` to every document.
+
+        A projection: terms are counted inside the row and looked up in the small vocabulary,
+        so scoring shuffles nothing. A document without any known term gets an empty vector.
+        """
+        shared, sublinear = self._lookup(), self.sublinear
+
+        @F.pandas_udf("struct<indices: array<int>, values: array<double>>")
+        def look_up(terms: pd.Series, counts: pd.Series) -> pd.DataFrame:
+            table = shared.value
+            indices, values = [], []
+            for names, tfs in zip(terms, counts):
+                found = sorted(
+                    (*table[t], tf) for t, tf in zip(names, tfs) if t in table
+                )
+                row = np.array([idf * (1.0 + math.log(tf) if sublinear else tf) for _, idf, tf in found])
+                length = math.sqrt(float(row @ row)) if len(row) else 1.0
+                indices.append(np.array([i for i, _, _ in found], dtype=np.int32))
+                values.append(row / length)
+            return pd.DataFrame({"indices": indices, "values": values})
+
+        terms = with_bigrams(word_tokens(F.coalesce(F.col(text), F.lit(""))))
+        counted = docs.withColumn("_terms", terms).withColumn("_e", term_frequencies(F.col("_terms")))
+        looked_up = counted.withColumn("_v", look_up("_e.term", "_e.tf"))
+        return looked_up.withColumns(
             {
-                "indices": F.coalesce("indices", F.array().cast("array<int>")),
-                "values": F.coalesce("values", F.array().cast("array<double>")),
-                "n_known_terms": F.coalesce(F.size("indices"), F.lit(0)),
+                "indices": F.col("_v.indices"),
+                "values": F.col("_v.values"),
+                "n_known_terms": F.size("_v.indices"),
             }
-        ).withColumn("n_known_terms", F.greatest("n_known_terms", F.lit(0)))
+        ).drop("_terms", "_e", "_v")
 
     def features(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         """``transform`` with a sparse ``features`` vector for MLlib."""
