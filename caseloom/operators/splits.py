@@ -22,33 +22,41 @@ def random_split(
 ) -> DataFrame:
     """Add ``split`` with exact sizes: rows in the order of a seeded hash, cut at the ratios.
 
-    Rows are ranked inside 65,536 hash buckets and the bucket sizes are summed up in a table
-    of that many rows, so nothing is sorted globally. Ids hash evenly, so no bucket is hot.
+    Two passes over the ids find the last row of each split: the sizes of 65,536 hash
+    buckets, then the rank inside the one or two buckets that hold a cut. Ids hash evenly, so
+    such a bucket is small. The rows themselves are only compared with the two cuts; they
+    are neither sorted nor shuffled.
     """
-    hashed = df.withColumn("_h", shuffle_key(key, seed)).withColumn(
-        "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
-    )
-    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    place_of = F.struct(shuffle_key(key, seed).alias("h"), F.col(key).alias("k"))
+    keyed = df.select(place_of.alias("_o")).withColumn("_bucket", F.substring("_o.h", 1, BUCKET_DIGITS))
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    # At most 65,536 rows.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    total = F.sum("_n").over(Window.partitionBy())
     offsets = sizes.select(
         "_bucket",
+        "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(everything).alias("_total"),
+        F.floor(total * F.lit(ratios["train"])).alias("_train"),
+        (F.floor(total * F.lit(ratios["train"])) + F.floor(total * F.lit(ratios["val"]))).alias("_val"),
     )
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", key))
-    place = F.col("_before") + F.col("_in_bucket")
-    train_end = F.floor(F.col("_total") * F.lit(ratios["train"]))
-    val_end = train_end + F.floor(F.col("_total") * F.lit(ratios["val"]))
-    split = (
-        F.when(place <= train_end, F.lit("train")).when(place <= val_end, F.lit("val"))
-    ).otherwise(F.lit("test"))
-    return (
-        hashed.withColumn("_in_bucket", in_bucket)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("split", split)
-        .drop("_h", "_bucket", "_in_bucket", "_before", "_total")
+
+    def holds(cut: str) -> Column:
+        return (F.col("_before") < F.col(cut)) & (F.col(cut) <= F.col("_before") + F.col("_n"))
+
+    cutting = F.broadcast(offsets.where(holds("_train") | holds("_val")))
+    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_o"))
+    ranked = keyed.join(cutting, "_bucket").withColumn("_place", F.col("_before") + in_bucket)
+    cuts = ranked.agg(
+        F.struct(
+            F.max(F.when(F.col("_place") <= F.col("_train"), F.col("_o"))).alias("train"),
+            F.max(F.when(F.col("_place") <= F.col("_val"), F.col("_o"))).alias("val"),
+        ).alias("c")
+    ).scalar()
+    split = F.when(place_of <= F.col("_cuts.train"), F.lit("train")).when(
+        place_of <= F.col("_cuts.val"), F.lit("val")
     )
+    return df.withColumn("_cuts", cuts).withColumn("split", split.otherwise(F.lit("test"))).drop("_cuts")
 
 
 def bucket_split(
@@ -68,14 +76,17 @@ def temporal_split(
 ) -> DataFrame:
     """Add ``is_temporal_test``: the latest part of all rows, unreadable times first.
 
-    Only ids and times are ranked; many rows with one time are split over tasks by their ids.
+    Only ids and times are sorted, to find the last earlier row; the rows are then compared
+    with it. Many rows with one time are split over tasks by their ids.
     """
-    keyed = df.select(F.col(key), time.alias("_time"))
-    placed = number_rows(keyed, [F.asc_nulls_first("_time"), F.col(key)])
-    total = keyed.agg(F.count("*").alias("n")).scalar()
-    cut = F.floor(total * F.lit(1.0 - test_ratio))
-    flags = placed.select(key, (F.col("position") > cut).alias("is_temporal_test"))
-    return df.join(flags, key)
+    moment = F.struct(time.alias("t"), F.col(key).alias("k"))
+    keyed = df.select(moment.alias("_m")).select("_m.t", "_m.k")
+    placed = number_rows(keyed, [F.asc_nulls_first("t"), F.col("k")])
+    n = placed.agg(F.floor(F.count("*") * F.lit(1.0 - test_ratio)).alias("n")).scalar()
+    last = placed.where(F.col("position") == n).agg(F.max(F.struct("t", "k")).alias("m")).scalar()
+    flagged = df.withColumn("_last", last)
+    late = F.coalesce(moment > F.col("_last"), F.lit(True))
+    return flagged.withColumn("is_temporal_test", late).drop("_last")
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
