@@ -646,10 +646,10 @@ ORACLES = {
         FROM comparison b, comparison o WHERE b.split = 'test' AND o.split = 'test' AND o.model <> b.model
         AND b.model = (SELECT model FROM comparison WHERE split = 'val' ORDER BY macro_f1 DESC, model LIMIT 1)""", COMPARISON),
     "dense_topk": f"WITH {NEIGHBOURS} SELECT vec_id, rank::INT AS rank, neighbour_id, {half('greatest(s, 0e0)', 4)} AS similarity_score FROM near",
-    "retrieval_hits": f"WITH {NEIGHBOURS} SELECT vec_id, true_intent, first_hit::INT AS first_hit, hit_1, hit_3, hit_5 FROM marked",
+    "retrieval_hits": f"WITH {NEIGHBOURS} SELECT vec_id, true_intent, coalesce(first_hit, 0)::INT AS first_hit, hit_1, hit_3, hit_5 FROM marked",
     "retrieval_metrics": f"WITH {NEIGHBOURS} SELECT count(*) AS queries, " + ", ".join(
         f"{half(f'avg(hit_{n}::INT)', 4)} AS recall_at_{n}" for n in (1, 3, 5)) + f", {half('avg(coalesce(1e0 / first_hit, 0e0))', 4)} AS mrr FROM marked",
-    "retrieval_examples": f"""WITH {NEIGHBOURS} SELECT * FROM (SELECT vec_id, hit_1, first_hit::INT AS first_hit,
+    "retrieval_examples": f"""WITH {NEIGHBOURS} SELECT * FROM (SELECT vec_id, hit_1, coalesce(first_hit, 0)::INT AS first_hit,
         row_number() OVER (PARTITION BY hit_1 ORDER BY vec_id)::INT AS example FROM marked) WHERE example <= 5""",
     "retrieval_best_case": f"""WITH parted AS ({split_of('embeddings', 'vec_id')}) SELECT vec_id, case_id, {half('greatest(s, 0e0)', 4)} AS similarity_score, stored_label
         FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, case_id) AS k FROM (

@@ -447,7 +447,7 @@ def _judged_neighbours(spark, d):
 
 
 def retrieval_hits(spark, d):
-    return _judged_neighbours(spark, d)
+    return _judged_neighbours(spark, d).withColumn("first_hit", F.coalesce("first_hit", F.lit(0)))
 
 
 def retrieval_metrics(spark, d):
@@ -456,7 +456,7 @@ def retrieval_metrics(spark, d):
 
 def retrieval_examples(spark, d):
     return retrieval.hit_and_miss_examples(_judged_neighbours(spark, d), "vec_id").select(
-        "vec_id", "hit_1", "first_hit", "example"
+        "vec_id", "hit_1", F.coalesce("first_hit", F.lit(0)).alias("first_hit"), "example"
     )
 
 
