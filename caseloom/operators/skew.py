@@ -58,7 +58,7 @@ def lookup_join(
     )
     copied = (
         right.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode_outer(copies))
+        .withColumn("_salt", F.explode(copies))
         .drop("_hot")
     )
     return spread.join(copied, [key, "_salt"], how).drop("_salt")

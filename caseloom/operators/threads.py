@@ -161,6 +161,16 @@ def _to_heads(nodes: DataFrame, roots: DataFrame, edges: DataFrame) -> tuple[Dat
     return finished.drop("done"), into_heads
 
 
+def _flat(labels: DataFrame) -> DataFrame:
+    """Labels as plain columns, taken apart before a join rather than after it."""
+    return labels.select(
+        "tweet_id",
+        F.col("label.root").alias("label_root"),
+        F.col("label.depth").alias("label_depth"),
+        F.col("label.path").alias("label_path"),
+    )
+
+
 def label_messages(nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
     """``(tweet_id, root_id, depth, path)`` of every message that some root reaches.
 
@@ -191,14 +201,14 @@ def label_messages(nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
         while True:
             offers = (
                 lookup_join(
-                    links.withColumnRenamed("from", "tweet_id"), frontier, "tweet_id", "child", "inner", n_links
+                    links.withColumnRenamed("from", "tweet_id"), _flat(frontier), "tweet_id", "child", "inner", n_links
                 )
                 .select(
                     F.col("child").alias("tweet_id"),
                     F.struct(
-                        F.col("label.root").alias("root"),
-                        (F.col("label.depth") + F.col("hops")).alias("depth"),
-                        F.concat(F.col("label.path"), F.col("path")).alias("path"),
+                        F.col("label_root").alias("root"),
+                        (F.col("label_depth") + F.col("hops")).alias("depth"),
+                        F.concat("label_path", "path").alias("path"),
                     ).alias("label"),
                 )
                 .groupBy("tweet_id")
@@ -216,16 +226,16 @@ def label_messages(nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
             frontier = merged.where("better").select("tweet_id", "label")
             if not n_better:
                 break
-    heads = labels.select(F.col("tweet_id").alias("head"), "label")
+    heads = _flat(labels).withColumnRenamed("tweet_id", "head")
     members = lookup_join(
         to_head.select("tweet_id", "head", F.col("hops"), F.col("path")),
         heads, "head", "tweet_id", "inner", n_nodes,
     )
     return members.select(
         "tweet_id",
-        F.col("label.root.text").alias("root_id"),
-        (F.col("label.depth") + F.col("hops")).alias("depth"),
-        F.concat(F.col("label.path"), F.col("path")).alias("path"),
+        F.col("label_root.text").alias("root_id"),
+        (F.col("label_depth") + F.col("hops")).alias("depth"),
+        F.concat("label_path", "path").alias("path"),
     )
 
 
