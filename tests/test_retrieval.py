@@ -72,3 +72,17 @@ def test_metrics(spark):
     df = spark.createDataFrame(rows, "query_id INT, true_intent STRING, rank INT, intent STRING")
     m = retrieval.retrieval_metrics(retrieval.judge_hits(df, "query_id")).head()
     assert (m["recall_at_1"], m["recall_at_3"], m["recall_at_5"], m["mrr"]) == (0.3333, 0.6667, 0.6667, 0.5)
+
+
+def test_hot_vectors_are_spread(spark, monkeypatch):
+    from caseloom.operators import skew
+
+    monkeypatch.setattr(skew, "SMALL_ROWS", -1)
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 2.0)
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.0)
+    cases = clustered(120, 3)
+    frame = vectors(spark, cases)
+    got = retrieval.nearest_cases(
+        frame.withColumnRenamed("id", "qid"), frame.withColumnRenamed("id", "cid"), "qid", "cid", 5, True, 40
+    )
+    assert found(got) == brute_force(cases, cases, 5, True)
