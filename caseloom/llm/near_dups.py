@@ -9,7 +9,7 @@ similarity exceeds with a chance below ``MISS``. All links are confirmed on the
 Pairs inside a key's bucket are not listed. First each document is compared with the smallest
 document it shares a bucket with. In buckets whose documents then lie in one component every
 link is implied; in the others, documents outside the bucket's largest component are compared
-with all that lie in another component.
+with all that lie in another component, block by block.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from caseloom.llm.common import if_small, materialise, slices
 
 SYMBOLS = 64
 MISS = 1e-5
+BLOCK = 256
 SEED = 0x9E3779B97F4A7C15
 FIELDS = "_id bigint, n_shingles bigint, _set_a bigint, _set_b bigint, _sig array<int>"
 
@@ -144,6 +145,85 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     return materialise(both.where(100 * shared >= percent * union).select("_id", "_to"), "links")
 
 
+def unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` (_key, _id, ...) whose bucket spans several components.
+
+    Adds ``_root``, the row's component, and ``_main``, the largest one of the bucket.
+    """
+    labelled = buckets.join(labels, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+    parts = labelled.groupBy("_key", "_root").agg(F.count("*").alias("_rows"))
+    open_ = (
+        parts.groupBy("_key")
+        .agg(F.max_by("_root", F.struct("_rows", "_root")).alias("_main"), F.count("*").alias("_parts"))
+        .where("_parts > 1")
+        .select("_key", "_main")
+    )
+    return materialise(labelled.join(open_, "_key"), "open")
+
+
+def missing_links(
+    docs: DataFrame, buckets: DataFrame, signs: DataFrame, width: int, percent: int, distance: int
+) -> DataFrame:
+    """Links (_id, _to) that join the components of ``buckets`` (_key, _id, _root, _main) further.
+
+    Buckets with one largest component are taken together. The documents outside of it meet all
+    documents of these buckets, in pairs of blocks of about ``BLOCK`` documents: signatures first,
+    then full sets. A block pair returns a link only if it joins two of its components, so its
+    links are no more than its documents.
+    """
+    rows = materialise(buckets.select("_main", "_id", "_root").distinct(), "outsiders")
+    sizes = rows.groupBy("_main").agg(
+        F.ceil(F.count("*") / BLOCK).alias("_all"), F.ceil(F.count_if(F.col("_root") != F.col("_main")) / BLOCK).alias("_out")
+    )
+    dealt = rows.join(sizes, "_main")
+    place = F.xxhash64("_id")
+    out = dealt.where("_root <> _main").select(
+        "_main", "_id", "_root", F.lit(True).alias("_asks"), F.pmod(place, "_out").alias("_i"),
+        F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("_j"),
+    )
+    every = dealt.select(
+        "_main", "_id", "_root", F.lit(False).alias("_asks"),
+        F.explode(F.sequence(F.lit(0), F.col("_out") - 1)).alias("_i"), F.pmod(place, "_all").alias("_j"),
+    )
+    ids = materialise(rows.select("_id").distinct(), "ids")
+    found = docs.join(if_small(ids, ids.count()), "_id", "left_semi")
+    sets = materialise(keyed_sets(found, ["_id"], width).join(signs, "_id"), "sets")
+
+    def link(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(
+            joining_links(table, percent, distance), pa.schema([("_id", pa.int64()), ("_to", pa.int64())])
+        )
+
+    blocks = out.union(every).join(sets, "_id").groupBy("_main", "_i", "_j")
+    return materialise(blocks.applyInArrow(link, "_id bigint, _to bigint"), "links")
+
+
+def joining_links(table: pa.Table, percent: int, distance: int) -> list[dict[str, int]]:
+    """A spanning set of the links between the asking and the other rows of a pair of blocks."""
+    ids = table.column("_id").to_numpy()
+    roots = table.column("_root").to_numpy().copy()
+    asks = table.column("_asks").to_numpy(zero_copy_only=False)
+    signs = np.array(table.column("_sig").to_pylist(), np.int32)
+    sets = [np.array(s, np.int64).view(np.uint64) for s in table.column("_set").to_pylist()]
+    lengths = np.array([len(s) for s in sets])
+    others, links = np.nonzero(~asks)[0], []
+    for x in np.nonzero(asks)[0]:
+        near = others[(signs[others] != signs[x]).sum(axis=1) <= distance]
+        near = near[roots[near] != roots[x]]
+        if not len(near):
+            continue
+        flat = np.concatenate([sets[y] for y in near])
+        at = np.minimum(np.searchsorted(sets[x], flat), lengths[x] - 1)
+        starts = np.cumsum(lengths[near]) - lengths[near]
+        shared = np.add.reduceat((sets[x][at] == flat).astype(np.int64), starts)
+        linked = near[100 * shared >= percent * (lengths[x] + lengths[near] - shared)]
+        for y in linked:
+            if roots[y] != roots[x]:
+                roots[roots == roots[y]] = roots[x]
+                links.append({"_id": int(ids[x]), "_to": int(ids[y])})
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """``_id, _root``: the smallest id reachable over ``links`` (_id, _to), for all linked ids.
 
@@ -212,38 +292,9 @@ def near_duplicates(
     first = placed.groupBy("_id").agg(F.min("_low").alias("_to")).where("_to < _id")
     links = confirmed(texts, first, width, percent)
 
-    # What the first links leave open.
-    labels = components(links)
-    labelled = placed.select("_key", "_id").join(labels, "_id", "left").select(
-        "_key", "_id", F.coalesce("_root", "_id").alias("_root")
-    )
-    parts = labelled.groupBy("_key", "_root").agg(F.count("*").alias("_n"))
-    open_ = (
-        parts.groupBy("_key")
-        .agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count("*").alias("_parts"))
-        .where("_parts > 1")
-        .select("_key", "_main")
-    )
-    left_open = materialise(labelled.join(open_, "_key"), "open")
-    others = left_open.select("_key", F.col("_id").alias("_to"), F.col("_root").alias("_to_root"))
-    pairs = (
-        left_open.where("_root <> _main")
-        .join(others, "_key")
-        .where("_root <> _to_root and (_to_root = _main or _to < _id)")
-        .select("_id", "_to")
-        .distinct()
-    )
+    left_open = unsettled(placed.select("_key", "_id"), components(links))
     signs = classes.select(F.col("_rep").alias("_id"), "_sig")
-    differ = F.aggregate(
-        F.zip_with("_sig", "_other", lambda a, b: (a != b).cast("int")), F.lit(0), lambda total, x: total + x
-    )
-    close = (
-        pairs.join(signs, "_id")
-        .join(signs.select(F.col("_id").alias("_to"), F.col("_sig").alias("_other")), "_to")
-        .where(differ <= distance)
-        .select("_id", "_to")
-    )
-    links = links.union(confirmed(texts, close, width, percent)).union(equal)
+    links = links.union(missing_links(texts, left_open, signs, width, percent, distance)).union(equal)
     labels = components(links)
     return (
         signed.join(labels, "_id", "left")
