@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import table
+from caseloom.llm.languages import fit_languages, language_mixtures
 from caseloom.llm.near_dups import near_duplicates
+from caseloom.llm.quality_classifier import fit_compression_model, score_quality
 from caseloom.llm.sharding import shard_rows
 from caseloom.llm.tokens import prefix_counts
+from caseloom.llm.warc import archive_folder, read_archives, write_archives
 
 CONTEXT_TOKENS = 4096
 
@@ -22,6 +25,39 @@ def op2_shards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written into archives, indexed, and read back by byte ranges."""
+    pages = table(spark, d, "pages")
+    folder = archive_folder(pages)
+    return read_archives(write_archives(pages, folder), folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def fold(n: int) -> Column:
+    """The fold of a document, by the checksum of its id as text; null without an id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language mixtures of all documents, learned from four of five folds."""
+    docs = table(spark, d, "documents")
+    model = fit_languages(docs.where(fold(5) != 0))
+    # A row without an id is in no learning fold.
+    marked = docs.select("doc_id", "text", F.coalesce(fold(5) == 0, F.lit(True)).alias("held_out"))
+    return language_mixtures(marked, ["doc_id", "held_out"], model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Quality scores of all documents, learned from two of three folds."""
+    docs = table(spark, d, "documents")
+    model = fit_compression_model(docs, table(spark, d, "labels"), fold(3) != 1)
+    marked = docs.select("doc_id", "text", F.coalesce(fold(3) == 1, F.lit(True)).alias("held_out"))
+    return score_quality(marked, ["doc_id", "held_out"], model).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Groups of documents with a similarity of 0.85 on shingles of three words."""
     return near_duplicates(table(spark, d, "documents"), width=3, percent=85)
@@ -38,4 +74,4 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op6_languages, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
