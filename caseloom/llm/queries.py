@@ -10,6 +10,7 @@ from caseloom.llm.common import table
 from caseloom.llm.languages import fit_languages, language_mixtures
 from caseloom.llm.near_dups import near_duplicates
 from caseloom.llm.quality_classifier import fit_compression_model, score_quality
+from caseloom.llm.quality_rules import apply_rules, fit_rules
 from caseloom.llm.sharding import shard_rows
 from caseloom.llm.tokens import prefix_counts
 from caseloom.llm.warc import archive_folder, read_archives, write_archives
@@ -48,6 +49,12 @@ def op6_languages(spark: SparkSession, d: str) -> DataFrame:
     return language_mixtures(marked, ["doc_id", "held_out"], model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all documents and the verdict of a decision list learned from the labels."""
+    docs = table(spark, d, "documents")
+    return apply_rules(docs, ["doc_id"], fit_rules(docs, table(spark, d, "labels")))
+
+
 def op8_quality_scores(spark: SparkSession, d: str) -> DataFrame:
     """Quality scores of all documents, learned from two of three folds."""
     docs = table(spark, d, "documents")
@@ -74,4 +81,4 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op6_languages, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op6_languages, op7_quality_rules, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
