@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import table
 from caseloom.llm.languages import fit_languages, language_mixtures
 from caseloom.llm.near_dups import near_duplicates
+from caseloom.llm.pii import pseudonymise
 from caseloom.llm.quality_classifier import fit_compression_model, score_quality
 from caseloom.llm.quality_rules import apply_rules, fit_rules
 from caseloom.llm.sharding import shard_rows
@@ -16,6 +17,8 @@ from caseloom.llm.tokens import prefix_counts
 from caseloom.llm.warc import archive_folder, read_archives, write_archives
 
 CONTEXT_TOKENS = 4096
+# For the supplied tables only; a real key comes from a secret store.
+PSEUDONYM_KEY = "key of the supplied tables"
 
 
 def op2_shards(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +43,11 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op5_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with personal data replaced by pseudonyms of the same format."""
+    return pseudonymise(table(spark, d, "documents"), ["doc_id"], PSEUDONYM_KEY)
+
+
 def op6_languages(spark: SparkSession, d: str) -> DataFrame:
     """Language mixtures of all documents, learned from four of five folds."""
     docs = table(spark, d, "documents")
@@ -81,4 +89,4 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op6_languages, op7_quality_rules, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op5_pseudonyms, op6_languages, op7_quality_rules, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
