@@ -1,3 +1,21 @@
-"""SQL for the corpus queries that SQL can express."""
+"""SQL for the corpus queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others rest on trained models, schedules, tokenizers or keyed permutations; their tests compare
+them with brute force, properties or round trips.
+"""
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), q AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+    min(page_id) OVER (PARTITION BY body) AS first_id
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3}

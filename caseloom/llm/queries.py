@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import table
+from caseloom.llm.decontamination import contaminated
 from caseloom.llm.languages import fit_languages, language_mixtures
+from caseloom.llm.mixing import mixed_rows
 from caseloom.llm.near_dups import near_duplicates
 from caseloom.llm.pii import pseudonymise
 from caseloom.llm.quality_classifier import fit_compression_model, score_quality
@@ -21,6 +23,15 @@ CONTEXT_TOKENS = 4096
 PSEUDONYM_KEY = "key of the supplied tables"
 
 
+def op1_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of all documents mixed to an entropy of 0.95, in as many tokens as there are."""
+    docs = table(spark, d, "documents")
+    tokens = docs.agg(
+        F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint"))
+    ).first()[0]
+    return mixed_rows(docs, budget=tokens or 1)
+
+
 def op2_shards(spark: SparkSession, d: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     return shard_rows(table(spark, d, "documents"), 40).select(
@@ -43,6 +54,11 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op4_contaminated(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that hold passages of the benchmark, also with other numbers or names."""
+    return contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op5_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
     """All texts with personal data replaced by pseudonyms of the same format."""
     return pseudonymise(table(spark, d, "documents"), ["doc_id"], PSEUDONYM_KEY)
@@ -89,4 +105,10 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_shards, op3_warc, op5_pseudonyms, op6_languages, op7_quality_rules, op8_quality_scores, op9_near_duplicates, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixture, op2_shards, op3_warc, op4_contaminated, op5_pseudonyms, op6_languages, op7_quality_rules,
+        op8_quality_scores, op9_near_duplicates, op10_token_counts,
+    )
+}

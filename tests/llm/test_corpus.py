@@ -1,0 +1,260 @@
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseloom.llm.decontamination import contaminated
+from caseloom.llm.languages import fit_languages, language_mixtures
+from caseloom.llm.mixing import mixed_rows
+from caseloom.llm.pii import KINDS, pseudonymise
+from caseloom.llm.quality_classifier import fit_compression_model, score_quality
+from caseloom.llm.quality_rules import FEATURES, apply_rules, learn_rules
+from caseloom.llm.sharding import schedule, shard_rows
+from caseloom.llm.warc import archive_folder, planned_reads, read_archives, write_archives
+
+
+# --- sharding
+
+
+def test_schedule():
+    assert Counter(schedule([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], 2).values()) == Counter({0: 2, 1: 3})
+
+
+def test_shards(frame):
+    chance = random.Random(1)
+    rows = [(k, "x" * chance.randint(0, 400) + str(k % 300)) for k in range(900)] + [(5000 + k, "hot" * 50) for k in range(200)]
+    rows += [(None, None), (7000, None), (8000, ""), (9000, ""), (9000, "")]
+    got = shard_rows(frame(rows), 8).collect()
+    assert len(got) == len(rows)
+    by_text, slots, loads, texts = defaultdict(set), defaultdict(list), Counter(), defaultdict(list)
+    for k, t in rows:
+        texts[k].append(t)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+        if r.text_crc32 is not None:
+            by_text[r.text_crc32, r["size"]].add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads.values()) <= max(200 * 166, 1.02 * sum(loads.values()) / 8)
+    assert sum(loads.values()) == sum(len((t or "").encode()) + 16 for _, t in rows)
+    assert {r.text_crc32 for r in got if r.doc_id == 8000} == {zlib.crc32(b"")}
+    assert shard_rows(frame([]), 8).count() == 0
+
+
+# --- WARC
+
+
+def test_archives(frame):
+    long, chance = "é<p>long</p>\r\n\r\n" * 30, random.Random(2)
+    rows = [(3, "http://a/\r\nX: 1", long), (1, None, long), (2, "u", long), (4, "u", "short"), (5, "u", "short"),
+            (6, "u", None), (None, "u", long), (7, "u", ""), (8, "u", long + "!"), (8, "u", long + "!")]
+    rows += [(100 + k, f"http://h/{k}", "".join(chance.choice("abc") for _ in range(3000))) for k in range(60)]
+    pages = frame(rows, "page_id bigint, url string, html string")
+    folder = archive_folder(pages)
+    index = write_archives(pages, folder)
+    got = read_archives(index, folder).collect()
+    assert len(got) == len(rows)
+    first = {}
+    for page, _, html in rows:
+        if page is not None:
+            first[html or ""] = min(page, first.get(html or "", page))
+
+    def expected(page, html):
+        again = len(html.encode()) >= 100 and page != first[html]
+        return (page, len(html.encode()), hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response",
+                first[html] if again else None)
+
+    assert sorted(map(str, (tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got))) == sorted(
+        str(expected(page, html or "")) for page, _, html in rows
+    )
+    assert all(r.payload.decode() == {p: h or "" for p, _, h in rows}[r.page_id] for r in got if r.record_type == "response")
+    some = index.where("page_id in (4, 130)")
+    assert {r.page_id for r in read_archives(some, folder).collect()} == {4, 130}
+    assert planned_reads(index).count() < len(rows)
+    none = frame([], "page_id bigint, url string, html string")
+    assert read_archives(write_archives(none, folder), folder).count() == 0
+
+
+# --- decontamination
+
+ITEM = "Mary bought 12 apples and 5 km of red rope at the old market near the river"
+
+
+def test_templates(frame):
+    docs = frame([
+        (1, "so " + ITEM.lower().replace("mary", "Mary") + " again"), (2, "Text before. " + ITEM.replace("12", "40").replace("5 km", "7km") + " etc"),
+        (3, "she bought some apples and a rope at the market"), (4, None), (5, ""), (None, ITEM), (6, ITEM.upper() + "!!"),
+        (7, "x " * 30000 + ITEM), (7, ITEM), (8, "the sum of 3 and 3 gives what total in the end"), (9, "the sum of 3 and 4 gives what total in the end"),
+    ])
+    items = frame([(10, ITEM), (11, None), (12, "too short"), (10, ITEM), (13, "the sum of 5 and 5 gives what total in the end")],
+                  "item_id bigint, text string")
+    for size in (1_000_000, 3):
+        got = {(r.doc_id, r.item_id): r.kind for r in contaminated(docs, items, size).collect()}
+        assert got == {(1, 10): "exact", (2, 10): "reparameterised", (6, 10): "exact", (7, 10): "exact", (8, 13): "reparameterised"}
+    assert contaminated(docs, items.where("false")).count() == 0
+    assert contaminated(docs.where("false"), items).count() == 0
+
+
+# --- mixing
+
+
+def test_mixture(frame):
+    chance = random.Random(4)
+    rows = [(k, "w " * chance.randint(1, 60), "big" if k % 3 else f"s{k % 4}") for k in range(1200)] + [(None, None, None), (5, "", "empty"), (6, "a b", None)]
+    docs = frame(rows, "doc_id bigint, text string, source string")
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source] += len((text or "").split())
+    budget = sum(tokens.values()) // 2
+    got = mixed_rows(docs, budget=budget, entropy_share=0.9, block_tokens=300).collect()
+    taken = Counter()
+    weights = {r.source: r.weight for r in got}
+    for r in got:
+        taken[r.source] += r.n_tokens
+    for source, weight in weights.items():
+        limit = int(weight * budget + 1e-3)
+        assert limit - 60 <= taken[source] <= limit or not tokens[source]
+    each = Counter((r.doc_id, r.epoch) for r in got if r.source == "big")
+    assert max(each.values()) == 1
+    whole = mixed_rows(docs, budget=None, entropy_share=1.0, max_repeats=3.0, block_tokens=300).collect()
+    assert Counter(r.source for r in whole if r.epoch == 0) == Counter(s for _, _, s in rows)
+    assert max(r.epoch for r in whole) in (1, 2)
+    assert all(0 <= r.mix_key <= 1 for r in whole)
+    assert mixed_rows(docs.where("false"), budget=10).count() == 0
+
+
+# --- personal data
+
+
+def test_pseudonyms(frame):
+    card, date, other = "4111111111111111", "31/12/1999", "4111 1111 1111 1111"
+    text = f"a@b.org {card} {other} {date} 1999-12-31 10.0.0.256 10.0.0.1 GB82 WEST 1234 5698 7654 32 {'ab12' * 10} +49 30 123456 078-05-1120 4111111111111112"
+    docs = frame([(1, text), (2, f"x{card} y {card}."), (3, None), (4, ""), (5, "no data"), (None, card)])
+    got = {r.doc_id: r for r in pseudonymise(docs, ["doc_id"], "k").collect()}
+    new = got[1].text
+    for value in ("a@b.org", card, other, date, "1999-12-31", "10.0.0.1 ", "GB82", "ab12ab12", "123456 ", "078-05-1120"):
+        assert value not in new
+    assert "10.0.0.256" in new and "4111111111111112" in new
+    assert [got[1][f"n_{k}"] for k in KINDS] == [1, 1, 1, 2, 1, 1, 1, 2]
+    assert got[None].text in new and new.split()[1] == got[2].text.split()[-1].rstrip(".")
+    assert f"x{card}" in got[2].text
+    assert got[3].text is None and got[4].text == "" and got[5].text == "no data"
+    assert pseudonymise(docs, ["doc_id"], "other").where("doc_id = 1").first().text != new
+
+
+def test_pseudonyms_are_a_permutation(spark):
+    days = spark.range(0, 146097, 7).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    got = pseudonymise(days, [], "k")
+    assert got.where("n_date = 1").select("text").distinct().count() == days.count()
+
+
+# --- languages
+
+
+def test_languages(frame, spark):
+    chance = random.Random(7)
+    parts = {"aa": ["ka", "to", "mi"], "bb": ["ri", "nu", "pe"], "cc": ["ló", "ßu", "żi"]}
+
+    def prose(lang, n):
+        return " ".join("".join(chance.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+
+    train = spark.createDataFrame([(prose(lang, 40), lang) for lang in parts for _ in range(20)] + [(None, "aa"), ("x", None)], "text string, lang string")
+    model = fit_languages(train)
+    rows = [(1, prose("aa", 50)), (2, prose("cc", 3).upper()), (3, prose("aa", 60) + " " + prose("bb", 30)), (4, None), (5, "12 .!"), (6, prose("bb", 300_000)), (None, "")]
+    got = {r.doc_id: r for r in language_mixtures(frame(rows), ["doc_id"], model).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 4, 5, 6, None)] == ["aa", "cc", "aa", "und", "und", "bb", "und"]
+    assert abs(got[3].mixture["aa"] - 2 / 3) < 0.1 and len(got[3].mixture) == 2 and len(got[1].mixture) == 1
+    assert got[4].score == 0.0 and all(0 <= r.score <= 1 for r in got.values())
+    empty = fit_languages(train.where("false"))
+    assert {r.lang_pred for r in language_mixtures(frame(rows[:3]), ["doc_id"], empty).collect()} == {"und"}
+
+
+# --- quality rules
+
+
+def counted(text):
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w]
+    places = defaultdict(list)
+    for i in range(len(words) - 7):
+        places[tuple(words[i : i + 8])].append(i)
+    covered = {i + k for p in places.values() if len(p) > 1 for i in p for k in range(8)}
+    lines = [line for line in text.split("\n") if __import__("re").search("[^\x20\x09-\x0d]", line)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for w in words for c in w), len(lines) - len(set(lines)), len(covered))
+
+
+def test_rule_counts(frame):
+    chance = random.Random(8)
+    texts = ["", " \n\t", "a", "\x00 \xa0b c", "é# <b>\n\nx\nx\n x\n"]
+    for _ in range(40):
+        words = [chance.choice(["a", "b", "ç|", "d\n", "e"]) for _ in range(chance.randint(1, 120))]
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[:20] * 3 + words))
+    rows = list(enumerate(texts)) + [(None, None), (3, "twice"), (3, "twice")]
+    got = apply_rules(frame(rows), ["doc_id"], [], "text")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert sorted(str((r.doc_id, *[r[n] for n in names])) for r in got.collect()) == sorted(
+        str((k, *counted(t or ""))) for k, t in rows
+    )
+    assert all(r.kept != r.base_failed for r in got.collect())
+    assert apply_rules(frame([]), ["doc_id"], []).count() == 0
+
+
+def test_learned_rules():
+    chance = random.Random(9)
+    rows = []
+    for _ in range(900):
+        row = {f: chance.random() for f in FEATURES}
+        row["bad"] = row["symbol_share"] > 0.8 or (row["upper_share"] > 0.7 and row["mean_word"] <= 0.4)
+        rows.append(row)
+    rules = learn_rules(rows)
+    wrong = sum(any(all(c.holds(r) for c in rule) for rule in rules) != r["bad"] for r in rows)
+    assert 2 <= len(rules) <= 12 and wrong < 60
+    assert learn_rules([]) == [] and learn_rules([{**rows[0], "bad": False}] * 9) == []
+
+
+# --- quality classifier
+
+
+def test_compression_classifier(frame, spark):
+    chance = random.Random(10)
+
+    def text(good):
+        words = ["orchard", "meadow", "river", "stone"] if good else ["BUY!!", "cheap$$$", "WIN###", "now!!!"]
+        return " ".join(chance.choice(words) + chance.choice("abcdef") for _ in range(chance.randint(20, 200)))
+
+    rows = [(k, text(k % 4)) for k in range(400)]
+    labels = spark.createDataFrame([(k, min(k % 4, 1)) for k in range(300)] + [(1, 1), (None, 0), (7, None)], "doc_id bigint, quality int")
+    model = fit_compression_model(frame(rows), labels, F.lit(True))
+    odd = [(900, None), (901, ""), (None, "a"), (902, text(True) * 200)]
+    got = score_quality(frame(rows[300:] + odd), ["doc_id"], model).collect()
+    assert all(0 <= r.score <= 1 for r in got) and len(got) == 104
+    assert sum((r.score >= 0.5) == bool(r.doc_id % 4) for r in got if r.doc_id and r.doc_id < 400) >= 98
+    none = fit_compression_model(frame(rows), labels.where("false"), F.lit(True))
+    assert {r.score for r in score_quality(frame(rows[:3]), ["doc_id"], none).collect()} == {0.5}
+
+
+# --- pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    data = "/root/testdata/sf0.001"
+    if not __import__("pathlib").Path(data).exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0), (0, None, "en", None, 1)], docs.schema)
+    docs = docs.union(odd).withColumn("_row", F.lit(1)).withColumn("shard", F.lit("x"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, data), "test")
+        assert docs.columns == columns and docs.count() > 100, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, data)
+    assert empty.count() == 0
