@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int, symbols: int) -> DataFrame:
 
 
 def keyed_sets(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
-    """``columns`` and ``_set``, the shingle set of ``_text``."""
+    """``columns`` and ``_set``, the shingle set of ``_text``, for texts that have one."""
     schema = ", ".join([f"{c} bigint" for c in columns] + ["_set array<bigint>"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def keyed_sets(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
                     [part.column(c) for c in columns] + [pa.array(sets, pa.list_(pa.int64()))], [*columns, "_set"]
                 )
 
-    return docs.select(*columns, F.col("_text").cast("binary").alias("_text")).mapInArrow(build, schema)
+    return docs.select(*columns, F.col("_text").cast("binary").alias("_text")).mapInArrow(build, schema).where(F.size("_set") > 0)
 
 
 def masked_keys(symbols: int, distance: int) -> Column:
