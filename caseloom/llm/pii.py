@@ -20,7 +20,7 @@ KINDS = ["email", "phone", "ip", "date", "ssn", "iban", "secret", "card"]
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
-    r"(?<![\d+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,8}(?:[ -]\d{2,8}){0,4}(?!\d)",
+    r"(?<![\d+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,8}(?:[ -]\d{2,8}){0,3}(?!\d)",
     r"(?<![A-Za-z0-9])(?<!\d[.])(?:"
     + "|".join([
         r"\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)",

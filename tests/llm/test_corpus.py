@@ -132,11 +132,11 @@ def test_mixture(frame):
 
 def test_pseudonyms(frame):
     card, date, other = "4111111111111111", "31/12/1999", "4111 1111 1111 1111"
-    text = f"a@b.org {card} {other} {date} 1999-12-31 10.0.0.256 10.0.0.1 GB82 WEST 1234 5698 7654 32 {'ab12' * 10} +49 30 123456 078-05-1120 4111111111111112"
+    text = f"a@b.org {card} {other} {date} 1999-12-31 10.0.0.256 10.0.0.1 GB82 WEST 1234 5698 7654 32 {'ab12' * 10} +49 30 123456, 078-05-1120 4111111111111112"
     docs = frame([(1, text), (2, f"x{card} y {card}."), (3, None), (4, ""), (5, "no data"), (None, card)])
     got = {r.doc_id: r for r in pseudonymise(docs, ["doc_id"], "k").collect()}
     new = got[1].text
-    for value in ("a@b.org", card, other, date, "1999-12-31", "10.0.0.1 ", "GB82", "ab12ab12", "123456 ", "078-05-1120"):
+    for value in ("a@b.org", card, other, date, "1999-12-31", "10.0.0.1 ", "GB82", "ab12ab12", "123456,", "078-05-1120"):
         assert value not in new
     assert "10.0.0.256" in new and "4111111111111112" in new
     assert [got[1][f"n_{k}"] for k in KINDS] == [1, 1, 1, 2, 1, 1, 1, 2]
