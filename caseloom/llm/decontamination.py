@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -28,7 +29,7 @@ LITERALS = 4
 # Benchmark windows per pass over the documents: their hashes are sent to every task.
 PASS_WINDOWS = 1_000_000
 # A task remembers so many tokens, then starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 LITERAL, NUMBER, UNIT, NAME, DROPPED = 0, 1, 2, 3, 4
 PLACEHOLDERS = {NUMBER: "\0number", UNIT: "\0unit", NAME: "\0name"}
@@ -41,52 +42,92 @@ UNITS = frozenset(
     " euro euros cent cents usd eur gbp mph kmh km/h k w kw v a hz j n pa".split()
 )
 MARKS = ".,;:!?\"'()[]{}<>|*#&$%€£…«»“”‘’–—-/\\`~^=+@_"
+CLOSING = "\"')]}»”’"
+DIGIT = re.compile("[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*$")
 SPLIT_UNIT = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
 CURRENCY_FIRST = re.compile(r"([$€£])\s?(\d[\d.,]*)")
 
 
 class Tokens(dict):
-    """Facts about a raw token: hash and kind inside and at the start of a sentence, and more."""
-
-    def __missing__(self, raw: str) -> tuple[int, int, int, int, int, int]:
-        core = raw.strip(MARKS)
-        ends = int(not core or raw.rstrip("\"')]}»”’")[-1:] in ".!?:;")
-        unit = int((core or raw).lower() in UNITS)
-        if not core and not unit:
-            facts = (0, DROPPED, 0, DROPPED, ends, unit)
+    """A number for each raw token, and its hash and facts by that number.
+
+    Facts are bits: the kind inside a sentence, from bit 3 the kind at the start of one, then
+    whether the token ends a sentence, is a unit after a number, and is a mark alone.
+    """
+
+    ENDS, UNIT_WORD, MARK = 64, 128, 256
+
+    def __init__(self):
+        self.new_hashes, self.new_facts = [], []
+        self.hashes, self.facts = np.zeros(0, np.uint64), np.zeros(0, np.int16)
+
+    def __missing__(self, raw: str) -> int:
+        if raw.isalpha() and raw.islower():
+            word, facts = raw, self.UNIT_WORD if raw in UNITS else 0
         else:
+            core = raw.strip(MARKS)
             word = (core or raw).lower()
-            literal = xxhash.xxh3_64_intdigest(word)
-            if NUMERIC.match(core):
-                facts = (0, NUMBER, 0, NUMBER, ends, 0)
-            elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-                facts = (0, NAME, literal, LITERAL, ends, unit)
-            else:
-                facts = (literal, LITERAL, literal, LITERAL, ends, unit)
-        self[raw] = facts
-        return facts
-
-
-def template(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template hashes, kinds and raw tokens of a text, without tokens that are marks alone."""
-    if any(c in text for c in "0123456789"):
+            facts = self.UNIT_WORD if word in UNITS else 0
+            if not core:
+                facts |= self.MARK | self.ENDS
+                if not facts & self.UNIT_WORD:
+                    facts |= DROPPED * 9
+            elif NUMERIC.match(core):
+                facts = NUMBER * 9
+            elif core[0].isupper() and len(core) > 1 and core[1:].islower():
+                facts |= NAME
+            if raw.rstrip(CLOSING)[-1:] in ".!?:;":
+                facts |= self.ENDS
+        self.new_hashes.append(xxhash.xxh3_64_intdigest(word))
+        self.new_facts.append(facts)
+        self[raw] = number = len(self)
+        return number
+
+    def look_up(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes and facts of ``raw``."""
+        numbers = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
+        if self.new_facts:
+            self.hashes = np.concatenate([self.hashes, np.array(self.new_hashes, np.uint64)])
+            self.facts = np.concatenate([self.facts, np.array(self.new_facts, np.int16)])
+            self.new_hashes.clear()
+            self.new_facts.clear()
+        return self.hashes[numbers], self.facts[numbers]
+
+    def forget(self) -> None:
+        self.clear()
+        self.__init__()
+
+
+def raw_tokens(text: str) -> list[str]:
+    """The tokens of a text; a unit is taken off its number, a currency mark put behind it."""
+    if DIGIT.search(text):
         text = SPLIT_UNIT.sub(" ", CURRENCY_FIRST.sub(r"\2 \1 ", text))
-    raw = text.split()
-    if not raw:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), raw
+    return text.split()
+
+
+def templates(texts: list[str], tokens: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """For each text its template hashes, kinds and raw tokens, without tokens that are marks alone."""
     if len(tokens) > REMEMBERED:
-        tokens.clear()
-    inside, kind, first, first_kind, ends, unit = (
-        np.array(c, t)
-        for c, t in zip(zip(*map(tokens.__getitem__, raw)), (np.uint64, np.int8, np.uint64, np.int8, bool, bool))
-    )
-    starts = np.concatenate([[True], ends[:-1]])
-    hashes, kinds = np.where(starts, first, inside), np.where(starts, first_kind, kind)
+        tokens.forget()
+    raw = [raw_tokens(t) for t in texts]
+    hashes, facts = tokens.look_up(list(chain.from_iterable(raw)))
+    end = 0
+    for own in raw:
+        start, end = end, end + len(own)
+        yield template(own, hashes[start:end], facts[start:end])
+
+
+def template(raw: list[str], hashes: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    if not raw:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int16), raw
+    starts = np.concatenate([[True], facts[:-1] & Tokens.ENDS != 0])
+    kinds = np.where(starts, (facts >> 3) & 7, facts & 7)
+    unit = facts & Tokens.UNIT_WORD != 0
     after_number = np.concatenate([[False], kinds[:-1] == NUMBER])
-    kinds = np.where(unit & after_number, UNIT, kinds)
+    kinds = np.where(unit & after_number, np.int16(UNIT), kinds)
     # A currency or percent mark is a token after a number only.
-    kinds = np.where(unit & ~after_number & np.array([not r.strip(MARKS) for r in raw]), DROPPED, kinds) if unit.any() else kinds
+    kinds = np.where(unit & ~after_number & (facts & Tokens.MARK != 0), np.int16(DROPPED), kinds)
     for k, name in PLACEHOLDERS.items():
         hashes = np.where(kinds == k, np.uint64(xxhash.xxh3_64_intdigest(name)), hashes)
     kept = kinds != DROPPED
@@ -141,8 +182,8 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = []
-                for row, text in zip(part.column("_id").to_pylist(), part.column("_text").to_pylist()):
-                    hashes, kinds, raw = template(text or "", tokens)
+                texts = [t or "" for t in part.column("_text").to_pylist()]
+                for row, (hashes, kinds, raw) in zip(part.column("_id").to_pylist(), templates(texts, tokens)):
                     n = len(hashes)
                     for size in sizes if shared is not None else [min(n, WINDOW)] if n >= SHORTEST else []:
                         own = windows(hashes, kinds, size)
