@@ -39,8 +39,11 @@ def required_start(pattern: str) -> str:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case, with the two letters that only case-insensitive matching equates."""
-    return F.translate(F.lower(text), "\u017f\u0131", "si")
+    """Lower case, with the letters that only case-insensitive matching equates.
+
+    The dotted capital I goes first, since it has two characters in lower case.
+    """
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), "\u017f\u0131", "si")
 
 
 def _match_sql(text: str, pattern: str, ignore_case: bool, folded: str | None) -> str:
@@ -49,7 +52,7 @@ def _match_sql(text: str, pattern: str, ignore_case: bool, folded: str | None) -
     if not letters:
         return test
     if ignore_case:
-        within = folded or f"translate(lower({text}), '\u017f\u0131', 'si')"
+        within = folded or f"translate(lower(translate({text}, '\u0130', 'i')), '\u017f\u0131', 'si')"
         return f'(contains({within}, "{letters.lower()}") AND {test})'
     return f'(contains({text}, "{letters}") AND {test})'
 
@@ -139,5 +142,5 @@ def parse_created_at(created_at: Column) -> Column:
     The weekday is checked by form only and cut away, since Spark's parser has no pattern
     letter for it.
     """
-    shaped = F.when(created_at.rlike(r"^[A-Z][a-z]{2} "), F.substring(created_at, 5, 64))
+    shaped = F.when(created_at.rlike(r"^[A-Z][a-z]{2} "), F.substr(created_at, F.lit(5)))
     return F.try_to_timestamp(shaped, F.lit(CREATED_AT_FORMAT))

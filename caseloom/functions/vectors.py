@@ -36,11 +36,6 @@ def unit(v: Column) -> Column:
     return let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    lengths = norm(a) * norm(b)
-    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))
-
-
 def softmax(scores: Column, temperature: float = 5.0) -> Column:
     """Soft arg-max of an array of scores, sharpened by the factor ``temperature``."""
     powers = let(

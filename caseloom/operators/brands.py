@@ -85,14 +85,6 @@ def rank_brands(scores: DataFrame, n: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def select_brand(scores: DataFrame) -> str:
-    """Name of the best brand; fails when no brand is large enough."""
-    best = rank_brands(scores, 1).select("brand").head()
-    if best is None:
-        raise ValueError("no brand has enough conversations")
-    return best["brand"]
-
-
 def of_best_brand(conversations: DataFrame, scores: DataFrame) -> DataFrame:
     """Conversations of the best brand, as a lazy semi join with a one-row table."""
     return conversations.join(F.broadcast(rank_brands(scores, 1).select("brand")), "brand", "left_semi")

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.functions.constants import OTHER
 from caseloom.functions.numbers import half_up
+from caseloom.functions.text import strip
 from caseloom.operators.skew import lookup_join
 from caseloom.session import cut_lineage
 
@@ -230,15 +232,15 @@ def pack_cases(detailed: DataFrame, query_id: str) -> DataFrame:
 
 
 def case_rows(conversations: DataFrame, min_fields: tuple[str, str] = ("customer_message", "brand_response")) -> DataFrame:
-    """Rows worth indexing: both texts non-empty after trimming, with the context line."""
-    message, reply = (F.trim(F.col(c)) for c in min_fields)
+    """Rows worth indexing: both texts more than white space, with the context line."""
+    message, reply = (strip(F.col(c)) for c in min_fields)
     context = F.concat(F.lit("Brand: "), F.coalesce("brand", F.lit("AmazonHelp")), F.lit(" | Turns: "),
                        F.coalesce("turns", F.lit(1)).cast("string"))
     return conversations.where((message != "") & (reply != "")).select(
         "conversation_id",
         message.alias("customer_message"),
         reply.alias("brand_response"),
-        "intent",
+        F.coalesce("intent", F.lit(OTHER)).alias("intent"),
         "turns",
         context.alias("context"),
         "timestamp",

@@ -307,12 +307,9 @@ def history_pages(turns: DataFrame, page_turns: int = PAGE_TURNS) -> DataFrame:
     )
 
 
-def conversations(tweets: DataFrame, order: str | None = None, page_turns: int = PAGE_TURNS) -> DataFrame:
-    """The full conversation record; a thread longer than a page has one row per page."""
+def conversations(
+    tweets: DataFrame, order: str | None = None, page_turns: int = PAGE_TURNS
+) -> tuple[DataFrame, DataFrame]:
+    """The records, one row per conversation whatever its length, and their histories in pages."""
     turns = cut_lineage(thread_turns(tweets, order))
-    summary = summarise_threads(turns)
-    return summary.join(history_pages(turns, page_turns), "conversation_id").select(
-        "conversation_id", "root_tweet_id", "brand", "customer_id", "timestamp",
-        "customer_message", "brand_response", "conversation_history", "turns",
-        "resolution_available", "page",
-    )
+    return summarise_threads(turns), history_pages(turns, page_turns)

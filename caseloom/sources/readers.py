@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.functions.constants import OTHER
+from caseloom.functions.text import strip
+
+# Holds the text of a JSON line that cannot be parsed, else null.
+CORRUPT = "corrupt_record"
 
 
 def _strings_to_null(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
@@ -50,10 +54,10 @@ def head_rows(df: DataFrame, n: int, order: str | list[str] = "ordinal", where:
 
 
 def has_text(*columns: str) -> Column:
-    """True where every column is non-empty after trimming."""
+    """True where every column has more than white space."""
     cond = F.lit(True)
     for c in columns:
-        cond = cond & (F.trim(F.coalesce(c, F.lit(""))) != "")
+        cond = cond & (strip(F.coalesce(c, F.lit(""))) != "")
     return cond
 
 
@@ -62,18 +66,27 @@ def of_known_intent(intent: str = "intent") -> Column:
 
 
 def read_labelled_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Labelled conversations from JSON lines; blank lines are skipped.
+    """Labelled conversations from JSON lines, one row per line; blank lines are skipped.
 
-    ``strict`` fails on a row without message or intent once that row is read.
+    A line that is no JSON object gives a row of nulls with its text in ``corrupt_record``. ``strict``
+    fails on such a line and on a row without message or intent, whatever columns are selected.
     """
-    df = spark.read.schema(schemas.LABELLED).json(path).where(F.col("conversation_id").isNotNull())
+    df = (
+        spark.read.schema(f"{schemas.LABELLED}, {CORRUPT} STRING")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path)
+    )
     if not strict:
         return df
     missing = F.col("customer_message").isNull() | F.col("intent").isNull()
-    checked = F.when(
-        missing, F.raise_error(F.concat(F.lit("missing message or intent in "), "conversation_id")).cast("string")
-    ).otherwise(F.col("customer_message"))
-    return df.withColumn("customer_message", checked)
+    name = F.coalesce("conversation_id", F.lit("a row without id"))
+    # A filter stays in the plan when columns are pruned.
+    sound = (
+        F.when(F.col(CORRUPT).isNotNull(), F.raise_error(F.concat(F.lit("corrupt line: "), CORRUPT)).cast("boolean"))
+        .when(missing, F.raise_error(F.concat(F.lit("missing message or intent in "), name)).cast("boolean"))
+        .otherwise(F.lit(True))
+    )
+    return df.where(sound)
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:

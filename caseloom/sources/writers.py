@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +38,15 @@ def write_taxonomy(taxonomy: DataFrame, path: str, version: str = "1.0") -> None
 
 
 def write_report(table: DataFrame, path: str) -> None:
-    """A report is a table: Parquet for later use and CSV for reading, if it has flat columns."""
+    """A report is a table: Parquet for later use and CSV for reading, if it has flat columns.
+
+    The CSV copy is made from the Parquet files, so the report's plan runs once.
+    """
     table.write.mode("overwrite").parquet(f"{path}/parquet")
     flat = all(t not in k for _, k in table.dtypes for t in ("array", "struct", "map"))
     if flat:
-        table.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+        stored = table.sparkSession.read.schema(table.schema).parquet(f"{path}/parquet")
+        stored.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
 @dataclass
@@ -76,7 +81,7 @@ def artifact_status(spark: SparkSession, artifacts: dict[str, tuple[str, str]])
     for name, (fmt, path) in artifacts.items():
         try:
             n = spark.read.format(fmt).load(path).count()
-        except Exception:  # a missing path or one without data files
+        except AnalysisException:  # a missing path or one without data files
             n = 0
         rows.append((name, n, n > 0))
     return spark.createDataFrame(rows, "artifact STRING, rows BIGINT, ok BOOLEAN")

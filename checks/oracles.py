@@ -606,6 +606,8 @@ ORACLES = {
     "intent_conversations": threads(f"SELECT conversation_id, brand, intent, intent_confidence FROM ({labelled('convs', 'customer_message')})"),
     "split_random": f"SELECT doc_id, split FROM ({split_of('documents', 'doc_id')})",
     "split_sizes": f"SELECT split, count(*) AS rows FROM ({split_of('documents', 'doc_id')}) GROUP BY 1",
+    "split_bucket": """SELECT CASE WHEN p < 7000 THEN 'train' WHEN p < 8500 THEN 'val' ELSE 'test' END AS split, count(*) AS rows
+        FROM (SELECT CAST('0x' || substr(md5(doc_id || ':42'), 1, 8) AS BIGINT) % 10000 AS p FROM documents) GROUP BY 1""",
     "split_temporal": f"SELECT event_id, is_temporal_test FROM ({temporal_of('events', 'ts NULLS FIRST, event_id')})",
     "split_temporal_tweets": tweets(f"SELECT tweet_id, is_temporal_test FROM ({temporal_of('cleaned', epoch('created_at') + ' NULLS FIRST, tweet_id')})"),
     "leak_audit": f"WITH parted AS ({split_of('documents', 'doc_id')}) {audit('parted', ['doc_id', 'text', 'source'])}",
@@ -717,5 +719,14 @@ ORACLES = {
     "source_csv": tweets("SELECT * REPLACE (text || chr(10) || '\"quoted\", line ' AS text) FROM tweets"),
     "source_json": threads(f"""SELECT conversation_id, root_tweet_id, brand, customer_id, timestamp, customer_message, brand_response, turns,
         resolution_available, intent, intent_confidence FROM ({labelled('convs', 'customer_message')})"""),
+    "source_json_damaged": """SELECT count(*) AS n_rows, count(*) FILTER (doc_id % 10 = 3) AS n_without_id,
+        count(*) FILTER (doc_id % 10 = 7) AS n_corrupt,
+        CAST(coalesce(sum(length(text)) FILTER (doc_id % 10 <> 7), 0) AS BIGINT) AS n_chars FROM documents""",
+    "index_cases": """SELECT CAST(doc_id AS VARCHAR) AS conversation_id,
+        CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS BIGINT) AS message_length,
+        'reply ' || doc_id AS brand_response,
+        CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'OTHER / UNKNOWN' END AS intent,
+        'Brand: AmazonHelp | Turns: 2' AS context
+        FROM documents WHERE doc_id % 7 <> 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""",
     "source_head": messages(f"SELECT message_id, message, intent FROM messages WHERE intent <> {q(OTHER)} ORDER BY message_id LIMIT 500"),
 }

@@ -280,12 +280,12 @@ def _corpus(spark, d):
 
 
 def lsa_embedding(spark, d):
-    index = build_case_index(_corpus(spark, d), components=16, max_features=5000)
+    index = build_case_index(_corpus(spark, d))
     return index.cases.select("conversation_id", "intent", "n_known_terms", norm(F.col("embedding")).alias("length"))
 
 
 def case_index_search(spark, d):
-    index = build_case_index(_corpus(spark, d), components=16, max_features=5000)
+    index = build_case_index(_corpus(spark, d))
     asked = table(spark, d, "benchmark").select("item_id", "text")
     asked = cut_lineage(index.model.embed(asked, "item_id", "text"))
     found = retrieval.nearest_cases(asked, index.cases, "item_id", "conversation_id", 5)
@@ -689,7 +689,43 @@ def source_json(spark, d):
     )
     writers.write_json_lines(rows.drop("conversation_history"), folder)
     read = readers.read_labelled_json(spark, folder, strict=True)
-    return read.where(readers.has_text("customer_message", "brand_response")).drop("conversation_history")
+    return read.where(readers.has_text("customer_message", "brand_response")).drop("conversation_history", readers.CORRUPT)
+
+
+def source_json_damaged(spark, d):
+    """Records of the documents, some without an id and some cut off, written and read back."""
+    folder = scratch(spark, "damaged")
+    n = F.col("doc_id") % 10
+    record = F.to_json(
+        F.struct(
+            F.when(n != 3, F.col("doc_id").cast("string")).alias("conversation_id"),
+            F.col("text").alias("customer_message"), F.col("lang").alias("intent"),
+        )
+    )
+    line = F.when(n == 7, F.substr(record, F.lit(1), F.length(record) - 5)).otherwise(record)
+    table(spark, d, "documents").select(line.alias("value")).write.text(folder)
+    read = readers.read_labelled_json(spark, folder)
+    sound = F.col(readers.CORRUPT).isNull()
+    return read.agg(
+        F.count("*").alias("n_rows"), F.count_if(sound & F.col("conversation_id").isNull()).alias("n_without_id"),
+        F.count_if(~sound).alias("n_corrupt"),
+        F.coalesce(F.sum(F.when(sound, F.length("customer_message"))), F.lit(0)).alias("n_chars"),
+    )
+
+
+def index_cases(spark, d):
+    """Cases worth indexing, of messages with tabs and line breaks at their ends."""
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        n.cast("string").alias("conversation_id"),
+        F.when(n % 7 == 0, F.lit("\n\t ")).otherwise(F.concat(F.lit("\t"), "text", F.lit(" \n"))).alias("customer_message"),
+        F.concat(F.lit("\n reply "), n.cast("string"), F.lit("\t")).alias("brand_response"),
+        F.when(n % 3 != 0, F.col("lang")).alias("intent"), F.lit(None).cast("string").alias("brand"),
+        F.lit(2).cast("bigint").alias("turns"), F.lit("").alias("timestamp"),
+    )
+    return retrieval.case_rows(rows).select(
+        "conversation_id", F.length("customer_message").cast("bigint").alias("message_length"), "brand_response", "intent", "context"
+    )
 
 
 def source_head(spark, d):
@@ -847,6 +883,8 @@ QUERIES = {
     "ablation_deltas": ablation_deltas,
     "source_csv": source_csv,
     "source_json": source_json,
+    "source_json_damaged": source_json_damaged,
+    "index_cases": index_cases,
     "source_head": source_head,
     "plan_prepare": plan_prepare,
     "plan_decide": plan_decide,

@@ -125,8 +125,7 @@ def phrase_intents(spark: SparkSession) -> Column:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One customer message per event, with a noisy true intent, a model confidence and cases."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    if len(events.inputFiles()) < spark.sparkContext.defaultParallelism:
-        events = spread_by_key(events, "event_id")  # one small file would be one task
+    events = spread_by_key(events, "event_id")  # however few files they come in
     n = F.col("event_id")
     text = phrase(n % 20)
     text = F.when(n % 11 == 0, F.upper(text)).otherwise(text)

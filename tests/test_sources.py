@@ -51,7 +51,19 @@ def test_json_lines(spark, tmp_path):
     df = readers.read_labelled_json(spark, str(tmp_path / "c.jsonl"))
     assert df.count() == 2 and df.where(readers.has_text("customer_message", "brand_response")).count() == 0
     with pytest.raises(Exception, match="missing message or intent"):
-        readers.read_labelled_json(spark, str(tmp_path / "c.jsonl"), strict=True).select("customer_message").collect()
+        readers.read_labelled_json(spark, str(tmp_path / "c.jsonl"), strict=True).select("conversation_id").collect()
+
+
+def test_damaged_json_lines(spark, tmp_path):
+    lines = [json.dumps({"customer_message": "no id", "intent": "X"}), '{"customer_message": "cut o',
+             json.dumps({"conversation_id": "b", "customer_message": "\n\t", "intent": "X", "brand_response": "x"})]
+    (tmp_path / "d.jsonl").write_text("\n".join(lines))
+    df = readers.read_labelled_json(spark, str(tmp_path / "d.jsonl"))
+    got = {(r["customer_message"], r[readers.CORRUPT]) for r in df.collect()}
+    assert got == {("no id", None), (None, lines[1]), ("\n\t", None)}
+    assert df.where(readers.has_text("customer_message")).count() == 1
+    with pytest.raises(Exception, match="corrupt line"):
+        readers.read_labelled_json(spark, str(tmp_path / "d.jsonl"), strict=True).select("intent").collect()
 
 
 def test_index_survives_storage(spark, plan, tmp_path):

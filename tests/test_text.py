@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import constants as K
 from caseloom.functions.text import (
-    clean_text, count_matching, matches_any, parse_created_at, required_start, with_bigrams, word_tokens,
+    clean_text, count_matching, java_pattern, matches_any, parse_created_at, required_start, with_bigrams, word_tokens,
 )
 
 
@@ -66,3 +66,13 @@ def test_tokens_and_bigrams(spark):
     assert ask(df, with_bigrams(word_tokens(F.col("text")))) == [
         ["bc", "de", "gh", "bc de", "de gh"], [], [], ["café", "2fa", "café 2fa"],
     ]
+
+
+def test_letters_that_matching_equates(spark):
+    """The substring test before a pattern never rules out what the pattern matches."""
+    texts = ["LEGAL ACT\u0130ON", "legal act\u0131on", "LEGAL ACTION", "di\u017fpute", "\u212aindle", "legalaction"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"\blegal action\b", r"\bdispute\b", r"\bkindle\b"):
+        plain = F.col("t").rlike(java_pattern(pattern, True))
+        rows = df.select("t", plain.alias("plain"), matches_any("t", [pattern], True).alias("guarded")).collect()
+        assert [r["plain"] for r in rows] == [r["guarded"] for r in rows], pattern

@@ -105,16 +105,15 @@ def test_record_fields(spark):
         ("6", "BrandC", False, at, "hello?", "7", None),  # not a root
         ("7", "cust", True, at, "orphan of 8", None, "8"),  # its parent is missing: a root
     ]
-    found = {
-        r["conversation_id"]: r
-        for r in threads.conversations(spark.createDataFrame(rows, schemas.TWEETS)).collect()
-    }
+    records, pages = threads.conversations(spark.createDataFrame(rows, schemas.TWEETS))
+    found = {r["conversation_id"]: r for r in records.collect()}
     assert set(found) == {"conv_1"}
     conv = found["conv_1"]
     assert (conv["brand"], conv["customer_id"], conv["turns"]) == ("BrandA", "cust", 4)
     assert (conv["customer_message"], conv["brand_response"]) == ("hello", "first reply")
     assert conv["resolution_available"] is True
-    assert [t["tweet_id"] for t in conv["conversation_history"]] == ["1", "2", "3", "4"]
+    history = pages.where("conversation_id = 'conv_1'").collect()
+    assert [t["tweet_id"] for page in history for t in page["conversation_history"]] == ["1", "2", "3", "4"]
 
 
 def test_history_pages_hold_every_turn(spark):
@@ -125,6 +124,7 @@ def test_history_pages_hold_every_turn(spark):
         for i in range(25)
     ]
     turns = threads.thread_turns(spark.createDataFrame(rows, schemas.TWEETS))
+    assert threads.conversations(spark.createDataFrame(rows, schemas.TWEETS), page_turns=10)[0].count() == 1
     pages = threads.history_pages(turns, page_turns=10).orderBy("page").collect()
     assert [len(p["conversation_history"]) for p in pages] == [10, 10, 5]
     assert [t["tweet_id"] for p in pages for t in p["conversation_history"]] == [str(i) for i in range(25)]
