@@ -258,3 +258,24 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0
+
+
+# --- SQL
+
+
+def test_same_as_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from caseloom.llm.oracles import ORACLES
+    from caseloom.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not __import__("pathlib").Path(data).exists():
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, data)
+        found = con.execute(sql)
+        columns = [c[0] for c in found.description]
+        assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, found.fetchall()))
+        assert sorted(got.columns) == sorted(columns)
