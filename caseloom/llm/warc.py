@@ -188,7 +188,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=READ)
 
-    ranges = planned_reads(index)
+    # The list of reads is small and the reads are not, so their partitions are not left to sizes.
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranges = planned_reads(index).repartition(n, "archive", "start")
     return ranges.mapInArrow(
         read,
         "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string,"
