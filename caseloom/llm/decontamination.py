@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ LITERALS = 4
 PASS_WINDOWS = 1_000_000
 # A task remembers so many tokens, then starts anew.
 REMEMBERED = 300_000
+# The odd factor of the window hashes.
+POLYNOMIAL = 0xD6E8FEB86659FD93
 
 LITERAL, NUMBER, UNIT, NAME, DROPPED = 0, 1, 2, 3, 4
 PLACEHOLDERS = {NUMBER: "\0number", UNIT: "\0unit", NAME: "\0name"}
@@ -106,57 +109,85 @@ def raw_tokens(text: str) -> list[str]:
     return text.split()
 
 
-def templates(texts: list[str], tokens: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-    """For each text its template hashes, kinds and raw tokens, without tokens that are marks alone."""
+class Templates(NamedTuple):
+    """The templates of several texts, one after the other; text ``k`` ends before token ``ends[k]``.
+
+    Tokens that are marks alone are left out; ``at`` is a token's place in ``raw``.
+    """
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    at: np.ndarray
+    raw: list[str]
+    ends: np.ndarray
+
+
+def templates(texts: list[str], tokens: Tokens) -> Templates:
     if len(tokens) > REMEMBERED:
         tokens.forget()
-    raw = [raw_tokens(t) for t in texts]
-    hashes, facts = tokens.look_up(list(chain.from_iterable(raw)))
-    end = 0
-    for own in raw:
-        start, end = end, end + len(own)
-        yield template(own, hashes[start:end], facts[start:end])
-
-
-def template(raw: list[str], hashes: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    if not raw:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int16), raw
-    starts = np.concatenate([[True], facts[:-1] & Tokens.ENDS != 0])
+    own = [raw_tokens(t) for t in texts]
+    raw = list(chain.from_iterable(own))
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+    hashes, facts = tokens.look_up(raw)
+    # The first token of a text starts a sentence and follows no number.
+    first = np.zeros(len(raw) + 1, bool)
+    first[0] = True
+    first[ends] = True
+    first = first[:-1]
+    starts = first.copy()
+    starts[1:] |= facts[:-1] & Tokens.ENDS != 0
     kinds = np.where(starts, (facts >> 3) & 7, facts & 7)
     unit = facts & Tokens.UNIT_WORD != 0
-    after_number = np.concatenate([[False], kinds[:-1] == NUMBER])
-    kinds = np.where(unit & after_number, np.int16(UNIT), kinds)
+    after_number = ~first
+    after_number[1:] &= kinds[:-1] == NUMBER
+    kinds[unit & after_number] = UNIT
     # A currency or percent mark is a token after a number only.
-    kinds = np.where(unit & ~after_number & (facts & Tokens.MARK != 0), np.int16(DROPPED), kinds)
+    kinds[unit & ~after_number & (facts & Tokens.MARK != 0)] = DROPPED
     for k, name in PLACEHOLDERS.items():
-        hashes = np.where(kinds == k, np.uint64(xxhash.xxh3_64_intdigest(name)), hashes)
+        hashes[kinds == k] = xxhash.xxh3_64_intdigest(name)
     kept = kinds != DROPPED
-    if not kept.all():
-        raw = [r for r, k in zip(raw, kept) if k]
-    return hashes[kept], kinds[kept], raw
+    at = np.nonzero(kept)[0]
+    return Templates(hashes[at], kinds[at], at, raw, np.concatenate([[0], np.cumsum(kept)])[ends])
+
 
+def windows(cut: Templates, size: int) -> np.ndarray:
+    """A hash for each window of ``size`` tokens.
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each window of ``size`` tokens; 0 for windows with too few literal words."""
-    n = len(hashes) - size + 1
+    It is 0 for windows with too few literal words and for those that leave their text.
+    """
+    n = len(cut.hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64)
-    for k in range(size):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
+    # A polynomial of the token hashes, put together from windows whose width is a power of two.
+    total, done, wide, width, factor = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64), 0, cut.hashes, 1, POLYNOMIAL
+    while True:
+        if size & width:
+            total = total * np.uint64(factor) + wide[done : done + n]
+            done += width
+        if width * 2 > size:
+            break
+        wide = wide[:-width] * np.uint64(factor) + wide[width:]
+        width, factor = width * 2, factor * factor % (1 << 64)
     total ^= total >> np.uint64(32)
-    total *= np.uint64(0xD6E8FEB86659FD93)
+    total *= np.uint64(POLYNOMIAL)
     total ^= total >> np.uint64(29)
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    enough = literal[size:] - literal[:n] >= min(LITERALS, (size + 1) // 2)
-    return np.where(enough, np.where(total == 0, np.uint64(1), total), np.uint64(0))
+    total[total == 0] = 1
+    literal = np.concatenate([[0], np.cumsum(cut.kinds == LITERAL)])
+    total[literal[size:] - literal[:n] < min(LITERALS, (size + 1) // 2)] = 0
+    # The last windows of a text reach into the next one.
+    last = (cut.ends[:-1, None] - np.arange(1, size)).ravel()
+    total[last[(last >= 0) & (last < n)]] = 0
+    return total
 
 
-def slots(kinds: np.ndarray, raw: list[str], start: int, size: int) -> list[str]:
+def slots(cut: Templates, start: int, size: int) -> list[str]:
     """The values in the placeholders of a window, with their types."""
-    return [
-        f"{int(kinds[k])} {raw[k].strip(MARKS).lower() or raw[k]}" for k in range(start, start + size) if kinds[k] != LITERAL
-    ]
+    found = []
+    for k in range(start, start + size):
+        if cut.kinds[k] != LITERAL:
+            raw = cut.raw[cut.at[k]]
+            found.append(f"{int(cut.kinds[k])} {raw.strip(MARKS).lower() or raw}")
+    return found
 
 
 SCHEMA = "_id bigint, _at bigint, _size bigint, _tokens bigint, _hash bigint, _slots array<string>"
@@ -182,21 +213,26 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = []
-                texts = [t or "" for t in part.column("_text").to_pylist()]
-                for row, (hashes, kinds, raw) in zip(part.column("_id").to_pylist(), templates(texts, tokens)):
-                    n = len(hashes)
-                    for size in sizes if shared is not None else [min(n, WINDOW)] if n >= SHORTEST else []:
-                        own = windows(hashes, kinds, size)
-                        if shared is None:
-                            places = np.nonzero(own)[0]
-                        else:
-                            places = np.nonzero(quick[own >> np.uint64(44)] & (own != 0))[0]
-                            places = places[np.isin(own[places], known)]
-                        for at in places.tolist():
-                            found.append({
-                                "_id": row, "_at": at, "_size": size, "_tokens": n,
-                                "_hash": int(own[at].view(np.int64)), "_slots": slots(kinds, raw, at, size),
-                            })
+                ids = part.column("_id").to_pylist()
+                cut_texts = templates([t or "" for t in part.column("_text").to_pylist()], tokens)
+                first = np.concatenate([[0], cut_texts.ends[:-1]])
+                n_tokens = cut_texts.ends - first
+                for size in sizes if shared is not None else range(SHORTEST, WINDOW + 1):
+                    own = windows(cut_texts, size)
+                    if shared is None:
+                        places = np.nonzero(own)[0]
+                    else:
+                        places = np.nonzero(quick[own >> np.uint64(44)] & (own != 0))[0]
+                        places = places[known[np.searchsorted(known[:-1], own[places])] == own[places]]
+                    texts = np.searchsorted(cut_texts.ends, places, "right")
+                    if shared is None:
+                        fitting = np.minimum(n_tokens[texts], WINDOW) == size
+                        places, texts = places[fitting], texts[fitting]
+                    for at, k in zip(places.tolist(), texts.tolist()):
+                        found.append({
+                            "_id": ids[k], "_at": at - int(first[k]), "_size": size, "_tokens": int(n_tokens[k]),
+                            "_hash": int(own[at].view(np.int64)), "_slots": slots(cut_texts, at, size),
+                        })
                 yield pa.RecordBatch.from_pylist(found, schema=FIELDS)
 
     return rows.mapInArrow(cut, SCHEMA)
