@@ -194,9 +194,14 @@ def nearest_cases(
     lists = best.groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("place", "case_id", "similarity"))).alias("found")
     )
-    answers = cut_lineage(searches.join(lists, "rep").select("embedding", "found"))
-    asked = queries.select(F.col(query_id), "embedding")
-    joined = lookup_join(asked, answers, "embedding", query_id, "inner", asked.count())
+    # A hash stands for the vector as the key, so that the table of hot keys stays small.
+    answers = cut_lineage(
+        searches.join(lists, "rep").select(
+            F.xxhash64("embedding").alias("_vector"), F.col("embedding").alias("_same"), "found"
+        )
+    )
+    asked = queries.select(F.col(query_id), "embedding", F.xxhash64("embedding").alias("_vector"))
+    joined = lookup_join(asked, answers, "_vector", query_id, "inner").where("embedding = _same")
     found = F.col("found")
     if exclude_self:
         found = F.filter(found, lambda f: ~f["case_id"].eqNullSafe(F.col(query_id)))

@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut_lineage
 
-# A key is hot when it holds at least this part of all rows, so there are at most
-# 1 / HOT_SHARE hot keys: that bounds the table that is broadcast.
-HOT_SHARE = 1.0 / 1000
-MIN_HOT_ROWS = 1000.0
-SALTS = 64
-# A left side known to have no more rows than this has no group too large for one task.
-SMALL_ROWS = 1_000_000
+# A key with more rows than this is hot: it is spread so that a task gets about so many of them.
+TARGET_ROWS = 100_000
+# There are fewer hot keys than this, which bounds the table that is broadcast; the target rises
+# for it from 100 billion rows on.
+HOT_KEYS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """``_hot``: keys with at least ``HOT_SHARE`` of the rows that have a key; at most 1000 rows."""
+    """``_hot, _salts``: the hot keys and the number of tasks that each is spread over."""
     keys = df.select(F.col(key).alias("_hot")).where(F.col("_hot").isNotNull())
     counts = keys.groupBy("_hot").agg(F.count("*").alias("_n"))
-    floor = counts.select(F.greatest(F.sum("_n") * F.lit(HOT_SHARE), F.lit(MIN_HOT_ROWS)).alias("f"))
-    return counts.where(F.col("_n") >= floor.scalar()).select("_hot")
+    target = counts.select(F.greatest(F.sum("_n") / F.lit(HOT_KEYS), F.lit(float(TARGET_ROWS))).alias("t"))
+    salts = F.ceil(F.col("_n") / target.scalar()).cast("int")
+    return counts.select("_hot", salts.alias("_salts")).where(F.col("_salts") > 1)
 
 
 def lookup_join(
@@ -34,32 +33,25 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``left`` rows per key with few ``right`` rows per key.
 
-    Left rows of a hot key are spread over ``SALTS`` tasks by the hash of ``spread_by``, and only
-    the right rows of hot keys are copied, so no task gets a whole hot group. The hash, unlike a
-    random salt, is the same when a lost task runs again. ``rows`` is the number of left rows,
-    if the caller knows it: few rows are joined directly.
+    Left rows of a hot key are spread over tasks, as many as their number asks for, by the hash of
+    ``spread_by``, and only the right rows of hot keys are copied, so no task gets a whole hot
+    group. The hash, unlike a random salt, is the same when a lost task runs again. ``rows`` is
+    the number of left rows, if the caller knows it: no key can be hot among ``TARGET_ROWS`` rows,
+    so none is looked for.
     """
-    if rows is not None and rows <= SMALL_ROWS:
+    if rows is not None and rows <= TARGET_ROWS:
         return left.join(right, key, how)
     hot = F.broadcast(hot_keys(left, key))
-    is_hot = F.col("_hot").isNotNull()
+    salts = F.coalesce("_salts", F.lit(1))
     spread = (
         left.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(
-                F.lit(0)
-            ),
-        )
-        .drop("_hot")
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+        .withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+        .drop("_hot", "_salts")
     )
     copied = (
         right.join(hot, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_hot", "_salts")
     )
     return spread.join(copied, [key, "_salt"], how).drop("_salt")
 

@@ -77,9 +77,7 @@ def test_metrics(spark):
 def test_hot_vectors_are_spread(spark, monkeypatch):
     from caseloom.operators import skew
 
-    monkeypatch.setattr(skew, "SMALL_ROWS", -1)
-    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 2.0)
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(skew, "TARGET_ROWS", 1)
     cases = clustered(120, 3)
     frame = vectors(spark, cases)
     got = retrieval.nearest_cases(

@@ -87,9 +87,7 @@ def found_threads(spark, rows):
 @pytest.mark.parametrize("hot", [False, True])
 def test_random_graphs(spark, monkeypatch, hot):
     if hot:  # treat nearly every key as hot
-        monkeypatch.setattr(skew, "SMALL_ROWS", -1)
-        monkeypatch.setattr(skew, "MIN_HOT_ROWS", 2.0)
-        monkeypatch.setattr(skew, "HOT_SHARE", 0.0)
+        monkeypatch.setattr(skew, "TARGET_ROWS", 1)
     rows = random_table(11 + hot, 600)
     assert found_threads(spark, rows) == expected_threads(rows)
 
