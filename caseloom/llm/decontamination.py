@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates.
 
 Numbers, units after numbers and names become typed placeholders. Windows of the resulting
-templates are hash-joined between documents and benchmark items. The values in the placeholders
-must then map to each other one to one, which tells a question with other numbers or names from a
-chance likeness.
+templates are hash-joined between documents and benchmark items. The values in the placeholders of
+a window must then map to each other one to one, which tells a question with other numbers or names
+from a chance likeness.
 """
 
 from __future__ import annotations
@@ -181,24 +181,24 @@ def windows(cut: Templates, size: int) -> np.ndarray:
 
 
 def slots(cut: Templates, start: int, size: int) -> list[str]:
-    """The values in the placeholders of a window, with their types."""
+    """The values in the placeholders of a window, each behind its place in it (one digit) and type."""
     found = []
     for k in range(start, start + size):
         if cut.kinds[k] != LITERAL:
             raw = cut.raw[cut.at[k]]
-            found.append(f"{int(cut.kinds[k])} {raw.strip(MARKS).lower() or raw}")
+            found.append(f"{k - start}{int(cut.kinds[k])} {raw.strip(MARKS).lower() or raw}")
     return found
 
 
-SCHEMA = "_id bigint, _at bigint, _size bigint, _tokens bigint, _hash bigint, _slots array<string>"
+SCHEMA = "_id bigint, _copy bigint, _at bigint, _size bigint, _tokens bigint, _hash bigint, _slots array<string>"
 FIELDS = pa.schema([
-    ("_id", pa.int64()), ("_at", pa.int64()), ("_size", pa.int64()), ("_tokens", pa.int64()), ("_hash", pa.int64()),
+    ("_id", pa.int64()), ("_copy", pa.int64()), ("_at", pa.int64()), ("_size", pa.int64()), ("_tokens", pa.int64()), ("_hash", pa.int64()),
     ("_slots", pa.list_(pa.string())),
 ])
 
 
 def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int]) -> DataFrame:
-    """Windows of ``rows`` (_id, _text) whose hash is in ``wanted`` (sorted).
+    """Windows of ``rows`` (_id, _copy, _text) whose hash is in ``wanted`` (sorted).
 
     Without ``wanted``: all windows, one of the item's own length if it is shorter than ``WINDOW``.
     """
@@ -213,7 +213,7 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = []
-                ids = part.column("_id").to_pylist()
+                ids, copies = part.column("_id").to_pylist(), part.column("_copy").to_pylist()
                 cut_texts = templates([t or "" for t in part.column("_text").to_pylist()], tokens)
                 first = np.concatenate([[0], cut_texts.ends[:-1]])
                 n_tokens = cut_texts.ends - first
@@ -230,7 +230,7 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
                         places, texts = places[fitting], texts[fitting]
                     for at, k in zip(places.tolist(), texts.tolist()):
                         found.append({
-                            "_id": ids[k], "_at": at - int(first[k]), "_size": size, "_tokens": int(n_tokens[k]),
+                            "_id": ids[k], "_copy": copies[k], "_at": at - int(first[k]), "_size": size, "_tokens": int(n_tokens[k]),
                             "_hash": int(own[at].view(np.int64)), "_slots": slots(cut_texts, at, size),
                         })
                 yield pa.RecordBatch.from_pylist(found, schema=FIELDS)
@@ -241,49 +241,66 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
 def contaminated(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Documents that hold passages of benchmark items: one row per ``doc_id`` and ``item_id``.
 
-    ``n_windows`` of the item's ``item_windows`` occur in the document, at places where the values
-    in the placeholders of both texts map one to one; ``kind`` is ``exact`` if all values are equal,
-    else ``reparameterised``. The benchmark is taken in passes of at most ``pass_windows`` windows.
+    ``n_windows`` of the item's ``item_windows`` occur in the document. A window counts if its values
+    are equal in both texts or if it has none. With other values it counts if they map one to one
+    and none of its placeholders stands in a window that gives one value of the item two values.
+    ``kind`` is ``exact`` if all values of the windows that count are equal, else
+    ``reparameterised``. The benchmark is taken in passes of at most ``pass_windows`` windows.
 
     Rows without id, null and empty texts match nothing, nor do items under four tokens. Rows with
     one doc_id count as one document. Repeated items give one row. Texts of any length are read
     whole. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
+    # Texts of one id are told apart by their hash, so that the values of one say nothing of another.
+    copy = F.xxhash64("text").alias("_copy")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("_id"), copy, F.col("text").alias("_text"))
     asked = materialise(template_windows(items.where("_id is not null"), None, []), "item-windows")
     bounds = asked.agg(F.count("*"), F.collect_set("_size")).first()
     n_windows, sizes = bounds[0], sorted(bounds[1])
     passes = max(1, ceil(n_windows / pass_windows))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_id"), copy, F.col("text").alias("_text"))
     found = None
     for k in range(passes):
         part = asked.where(F.pmod("_hash", F.lit(passes)) == k).select("_hash").distinct()
         wanted = np.sort(part.toArrow().column("_hash").to_numpy().astype(np.int64).view(np.uint64))
         hits = template_windows(texts, wanted, sizes)
         found = hits if found is None else found.union(hits)
-    hits = materialise(found.select("_id", "_at", "_hash", "_slots"), "hits")
+    hits = materialise(found.select("_id", "_copy", "_at", "_hash", "_slots"), "hits")
     theirs = asked.select(
-        F.col("_id").alias("_item"), F.col("_at").alias("_item_at"), "_tokens", "_size", "_hash",
+        F.col("_id").alias("_item"), F.col("_copy").alias("_item_copy"), F.col("_at").alias("_item_at"), "_tokens", "_size", "_hash",
         F.col("_slots").alias("_item_slots"),
     )
     pairs = hits.join(if_small(theirs, n_windows), "_hash").withColumn("_shift", F.col("_at") - F.col("_item_at"))
-    places = pairs.groupBy("_id", "_item", "_shift").agg(
-        F.collect_set("_item_at").alias("_places"), F.max(F.col("_tokens") - F.col("_size") + 1).alias("_windows"),
-        F.array_distinct(
-            F.flatten(F.collect_set(F.zip_with("_item_slots", "_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
-        ).alias("_values"),
+    value = F.zip_with(
+        "_item_slots", "_slots",
+        lambda a, b: F.struct(
+            (F.col("_item_at") + F.substring(a, 1, 1).cast("int")).alias("at"),
+            F.substr(a, F.lit(2)).alias("a"), F.substr(b, F.lit(2)).alias("b"),
+        ),
     )
-    one_to_one = (F.size(F.array_distinct("_values.a")) == F.size("_values")) & (
-        F.size(F.array_distinct("_values.b")) == F.size("_values")
+    pairs = pairs.withColumn("_values", value).withColumn("_equal", F.col("_item_slots") == F.col("_slots"))
+    n_values = F.size(F.array_distinct(F.transform("_values", lambda v: F.struct(v["a"], v["b"]))))
+    one_to_one = (F.size(F.array_distinct("_values.a")) == n_values) & (F.size(F.array_distinct("_values.b")) == n_values)
+    split = F.filter("_values", lambda v: F.exists("_values", lambda w: (w["a"] == v["a"]) & (w["b"] != v["b"])))
+    changed = F.when(~F.col("_equal") & one_to_one, F.struct(F.col("_item_at").alias("at"), F.col("_values.at").alias("slots")))
+    places = (
+        pairs.groupBy("_id", "_copy", "_item", "_item_copy", "_shift")
+        .agg(
+            F.collect_set(F.when(F.col("_equal"), F.col("_item_at"))).alias("_same"),
+            F.collect_set(changed).alias("_changed"),
+            F.array_distinct(F.flatten(F.collect_set(F.transform(split, lambda v: v["at"])))).alias("_split"),
+            F.max(F.col("_tokens") - F.col("_size") + 1).alias("_windows"),
+        )
+        .withColumn("_changed", F.filter("_changed", lambda w: ~F.arrays_overlap(w["slots"], F.col("_split"))))
+        .withColumn("_places", F.array_union("_same", F.col("_changed.at")))
     )
-    changed = F.exists("_values", lambda v: v["a"] != v["b"])
     return (
-        places.where(one_to_one)
+        places.where(F.size("_places") > 0)
         .groupBy(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"))
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("bigint").alias("n_windows"),
             F.max("_windows").alias("item_windows"),
-            F.when(F.min(changed), "reparameterised").otherwise("exact").alias("kind"),
+            F.when(F.min(F.size("_changed") > 0), "reparameterised").otherwise("exact").alias("kind"),
         )
     )

@@ -99,6 +99,27 @@ def test_templates(frame):
     assert contaminated(docs.where("false"), items).count() == 0
 
 
+def found_pairs(docs, items):
+    return {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.kind) for r in contaminated(docs, items).collect()}
+
+
+def test_templates_with_a_clashing_value(frame):
+    filler = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(90))
+    passage = f"{filler} founded in 1990 here and closed in 1990 again {filler[::-1]}"
+    question = "the sum of 3 and 5 gives what total in the very end of all"
+    docs = frame([
+        (1, passage.replace("closed in 1990", "closed in 1991")),
+        (2, question.replace("3", "7").replace("5", "7")),
+        (3, "give 4 of these and 4 of those to the old man there"), (3, "give 4 of these and 6 of those to the old man there"),
+    ])
+    items = frame([(10, passage), (11, question), (12, "give 2 of these and 2 of those to the old man there")], "item_id bigint, text string")
+    got = found_pairs(docs, items)
+    assert {k: v[2] for k, v in got.items()} == {(1, 10): "exact", (2, 11): "reparameterised", (3, 12): "reparameterised"}
+    # Lost are the windows that hold the changed value, all near the one it clashes with.
+    assert got[1, 10][1] - 8 == got[1, 10][0]
+    assert got[3, 12][0] == got[3, 12][1]
+
+
 # --- mixing
 
 
