@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates.
 
-Numbers, units after numbers and names become typed placeholders. Windows of the resulting
+Numbers, units after numbers and names become typed placeholders. A capitalised word at the start
+of a sentence or line is read both as a word and as a name. Windows of the resulting
 templates are hash-joined between documents and benchmark items. The values in the placeholders of
 a window must then map to each other one to one, which tells a question with other numbers or names
 from a chance likeness.
@@ -49,6 +50,9 @@ CLOSING = "\"')]}»”’"
 DIGIT = re.compile("[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*$")
 SPLIT_UNIT = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
+LINE_BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
+# Stands for a line break among the raw tokens.
+BREAK = "\0"
 CURRENCY_FIRST = re.compile(r"([$€£])\s?(\d[\d.,]*)")
 
 
@@ -56,17 +60,19 @@ class Tokens(dict):
     """A number for each raw token, and its hash and facts by that number.
 
     Facts are bits: the kind inside a sentence, from bit 3 the kind at the start of one, then
-    whether the token ends a sentence, is a unit after a number, and is a mark alone.
+    whether the token ends a sentence, is a unit after a number, is a mark alone, and a line break.
     """
 
-    ENDS, UNIT_WORD, MARK = 64, 128, 256
+    ENDS, UNIT_WORD, MARK, LINE_END = 64, 128, 256, 512
 
     def __init__(self):
         self.new_hashes, self.new_facts = [], []
         self.hashes, self.facts = np.zeros(0, np.uint64), np.zeros(0, np.int16)
 
     def __missing__(self, raw: str) -> int:
-        if raw.isalpha() and raw.islower():
+        if raw == BREAK:
+            word, facts = raw, self.LINE_END
+        elif raw.isalpha() and raw.islower():
             word, facts = raw, self.UNIT_WORD if raw in UNITS else 0
         else:
             core = raw.strip(MARKS)
@@ -106,17 +112,19 @@ def raw_tokens(text: str) -> list[str]:
     """The tokens of a text; a unit is taken off its number, a currency mark put behind it."""
     if DIGIT.search(text):
         text = SPLIT_UNIT.sub(" ", CURRENCY_FIRST.sub(r"\2 \1 ", text))
-    return text.split()
+    return LINE_BREAK.sub(f" {BREAK} ", text).split()
 
 
 class Templates(NamedTuple):
     """The templates of several texts, one after the other; text ``k`` ends before token ``ends[k]``.
 
-    Tokens that are marks alone are left out; ``at`` is a token's place in ``raw``.
+    Tokens that are marks alone are left out; ``at`` is a token's place in ``raw``. A token that is
+    ``either`` is a literal word by its kind and may be a name.
     """
 
     hashes: np.ndarray
     kinds: np.ndarray
+    either: np.ndarray
     at: np.ndarray
     raw: list[str]
     ends: np.ndarray
@@ -129,12 +137,17 @@ def templates(texts: list[str], tokens: Tokens) -> Templates:
     raw = list(chain.from_iterable(own))
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
     hashes, facts = tokens.look_up(raw)
+    # Line breaks are taken out: a unit may stand on the line after its number.
+    spot = np.nonzero(facts & Tokens.LINE_END == 0)[0]
+    ends = np.searchsorted(spot, ends)
+    hashes, facts = hashes[spot], facts[spot]
     # The first token of a text starts a sentence and follows no number.
-    first = np.zeros(len(raw) + 1, bool)
+    first = np.zeros(len(spot) + 1, bool)
     first[0] = True
     first[ends] = True
     first = first[:-1]
     starts = first.copy()
+    starts[1:] |= np.diff(spot) > 1
     starts[1:] |= facts[:-1] & Tokens.ENDS != 0
     kinds = np.where(starts, (facts >> 3) & 7, facts & 7)
     unit = facts & Tokens.UNIT_WORD != 0
@@ -143,50 +156,83 @@ def templates(texts: list[str], tokens: Tokens) -> Templates:
     kinds[unit & after_number] = UNIT
     # A currency or percent mark is a token after a number only.
     kinds[unit & ~after_number & (facts & Tokens.MARK != 0)] = DROPPED
+    either = starts & (facts & 7 == NAME) & (kinds == LITERAL)
     for k, name in PLACEHOLDERS.items():
         hashes[kinds == k] = xxhash.xxh3_64_intdigest(name)
     kept = kinds != DROPPED
     at = np.nonzero(kept)[0]
-    return Templates(hashes[at], kinds[at], at, raw, np.concatenate([[0], np.cumsum(kept)])[ends])
+    return Templates(hashes[at], kinds[at], either[at], spot[at], raw, np.concatenate([[0], np.cumsum(kept)])[ends])
 
 
-def windows(cut: Templates, size: int) -> np.ndarray:
-    """A hash for each window of ``size`` tokens.
-
-    It is 0 for windows with too few literal words and for those that leave their text.
-    """
-    n = len(cut.hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    # A polynomial of the token hashes, put together from windows whose width is a power of two.
-    total, done, wide, width, factor = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64), 0, cut.hashes, 1, POLYNOMIAL
+def sums(values: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial of each ``size`` values that follow each other."""
+    n = len(values) - size + 1
+    # Put together from windows whose width is a power of two.
+    total, done, wide, width, factor = np.full(n, 0x9E3779B97F4A7C15 + size, np.uint64), 0, values, 1, POLYNOMIAL
     while True:
         if size & width:
             total = total * np.uint64(factor) + wide[done : done + n]
             done += width
         if width * 2 > size:
-            break
+            return total
         wide = wide[:-width] * np.uint64(factor) + wide[width:]
         width, factor = width * 2, factor * factor % (1 << 64)
-    total ^= total >> np.uint64(32)
-    total *= np.uint64(POLYNOMIAL)
-    total ^= total >> np.uint64(29)
-    total[total == 0] = 1
+
+
+def mixed(total: np.ndarray) -> np.ndarray:
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(POLYNOMIAL)
+    return total ^ (total >> np.uint64(29))
+
+
+def windows(cut: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places and hashes of the windows of ``size`` tokens, one for each way to read a window.
+
+    The third array has a bit for each place in a window whose word is read as a name. Readings with
+    too few literal words are left out.
+    """
+    n = len(cut.hashes) - size + 1
+    if n <= 0:
+        return
+    total, least = sums(cut.hashes, size), min(LITERALS, (size + 1) // 2)
     literal = np.concatenate([[0], np.cumsum(cut.kinds == LITERAL)])
-    total[literal[size:] - literal[:n] < min(LITERALS, (size + 1) // 2)] = 0
+    literal = literal[size:] - literal[:n]
     # The last windows of a text reach into the next one.
+    inside = np.ones(n, bool)
     last = (cut.ends[:-1, None] - np.arange(1, size)).ravel()
-    total[last[(last >= 0) & (last < n)]] = 0
-    return total
-
-
-def slots(cut: Templates, start: int, size: int) -> list[str]:
+    inside[last[(last >= 0) & (last < n)]] = False
+    at = np.nonzero(inside & (literal >= least))[0]
+    yield at, mixed(total[at]), np.zeros(len(at), np.int64)
+    # A word read as a name changes the sum by the difference of the hashes times the factor of its place.
+    either = np.nonzero(cut.either)[0]
+    change = np.uint64(xxhash.xxh3_64_intdigest(PLACEHOLDERS[NAME])) - cut.hashes[either]
+    powers = np.array([pow(POLYNOMIAL, size - 1 - k, 1 << 64) for k in range(size)], np.uint64)
+    before = np.concatenate([[0], np.cumsum(cut.either)])
+    n_either = before[size:] - before[:n]
+    for reading in range(1, 1 << int(n_either.max())):
+        count, needed = reading.bit_count(), reading.bit_length()
+        if reading == 1 << needed - 1:
+            able = np.nonzero(inside & (n_either >= needed))[0]
+        at = able[literal[able] - count >= least]
+        if count > size - least or not len(at):
+            continue
+        own, names = total[at], np.zeros(len(at), np.int64)
+        for k in range(needed):
+            if reading >> k & 1:
+                word = before[at] + k
+                place = either[word] - at
+                own = own + change[word] * powers[place]
+                names |= 1 << place
+        yield at, mixed(own), names
+
+
+def slots(cut: Templates, start: int, size: int, names: int) -> list[str]:
     """The values in the placeholders of a window, each behind its place in it (one digit) and type."""
     found = []
     for k in range(start, start + size):
-        if cut.kinds[k] != LITERAL:
+        kind = NAME if names >> (k - start) & 1 else int(cut.kinds[k])
+        if kind != LITERAL:
             raw = cut.raw[cut.at[k]]
-            found.append(f"{k - start}{int(cut.kinds[k])} {raw.strip(MARKS).lower() or raw}")
+            found.append(f"{k - start}{kind} {raw.strip(MARKS).lower() or raw}")
     return found
 
 
@@ -218,21 +264,20 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
                 first = np.concatenate([[0], cut_texts.ends[:-1]])
                 n_tokens = cut_texts.ends - first
                 for size in sizes if shared is not None else range(SHORTEST, WINDOW + 1):
-                    own = windows(cut_texts, size)
-                    if shared is None:
-                        places = np.nonzero(own)[0]
-                    else:
-                        places = np.nonzero(quick[own >> np.uint64(44)] & (own != 0))[0]
-                        places = places[known[np.searchsorted(known[:-1], own[places])] == own[places]]
-                    texts = np.searchsorted(cut_texts.ends, places, "right")
-                    if shared is None:
-                        fitting = np.minimum(n_tokens[texts], WINDOW) == size
-                        places, texts = places[fitting], texts[fitting]
-                    for at, k in zip(places.tolist(), texts.tolist()):
-                        found.append({
-                            "_id": ids[k], "_copy": copies[k], "_at": at - int(first[k]), "_size": size, "_tokens": int(n_tokens[k]),
-                            "_hash": int(own[at].view(np.int64)), "_slots": slots(cut_texts, at, size),
-                        })
+                    for places, own, names in windows(cut_texts, size):
+                        texts = np.searchsorted(cut_texts.ends, places, "right")
+                        if shared is None:
+                            fitting = np.minimum(n_tokens[texts], WINDOW) == size
+                        else:
+                            fitting = np.nonzero(quick[own >> np.uint64(44)])[0]
+                            fitting = fitting[known[np.searchsorted(known[:-1], own[fitting])] == own[fitting]]
+                        for at, k, value, named in zip(
+                            places[fitting].tolist(), texts[fitting].tolist(), own[fitting].view(np.int64).tolist(), names[fitting].tolist()
+                        ):
+                            found.append({
+                                "_id": ids[k], "_copy": copies[k], "_at": at - int(first[k]), "_size": size,
+                                "_tokens": int(n_tokens[k]), "_hash": value, "_slots": slots(cut_texts, at, size, named),
+                            })
                 yield pa.RecordBatch.from_pylist(found, schema=FIELDS)
 
     return rows.mapInArrow(cut, SCHEMA)

@@ -120,6 +120,23 @@ def test_templates_with_a_clashing_value(frame):
     assert got[3, 12][0] == got[3, 12][1]
 
 
+def test_templates_with_names_at_starts(frame):
+    item = "Tom has 5 apples. Jane eats 2 pears. Sam buys 4 plums. Ann sells 3 figs."
+    other = item.replace("Tom", "Bob").replace("Jane", "Mia").replace("Sam", "Leo").replace("Ann", "Eva")
+    docs = frame([
+        (1, other), (2, "A heading\nTom has 5 apples and eats 2"), (3, "we know Bob has 5 apples and eats 2"),
+        (4, "We saw\nBob and then\nMia who had eaten 5 of the pears"), (5, "Tom has 5 apples. Tom eats 2 pears. Tom buys 4 plums. Tom sells 3 figs."),
+        (6, "apples\nTom\nhas 5\nkm of\nred rope left"),
+    ])
+    items = frame([(10, item), (11, "Tom has 5 apples and eats 2"), (12, "they say we saw Tom and then Ann who had eaten 7 of the pears"),
+                   (13, "Bob has 6 km of red rope left")], "item_id bigint, text string")
+    got = found_pairs(docs, items)
+    assert {k: v[2] for k, v in got.items() if k != (5, 10)} == {
+        (1, 10): "reparameterised", (2, 11): "exact", (3, 11): "reparameterised", (4, 12): "reparameterised", (6, 13): "reparameterised",
+    }
+    assert got[1, 10][0] == got[1, 10][1] == 9
+
+
 # --- mixing
 
 
