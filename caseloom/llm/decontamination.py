@@ -26,12 +26,15 @@ from caseloom.llm.common import if_small, materialise, slices
 WINDOW = 8
 # Items with fewer tokens than this cannot be told from chance and are never matched.
 SHORTEST = 4
-# At least this many tokens of a window must be literal words (of half of them, if it is shorter).
+# At least this many tokens of a window must be literal words (of half of them, if it is shorter);
+# others are compared by their tokens as they are.
 LITERALS = 4
 # Benchmark windows per pass over the documents: their hashes are sent to every task.
 PASS_WINDOWS = 1_000_000
 # A task remembers so many tokens, then starts anew.
 REMEMBERED = 300_000
+# Added to the hashes of windows without placeholders.
+AS_IS = 0x5851F42D4C957F2D
 # The odd factor of the window hashes.
 POLYNOMIAL = 0xD6E8FEB86659FD93
 
@@ -119,10 +122,12 @@ class Templates(NamedTuple):
     """The templates of several texts, one after the other; text ``k`` ends before token ``ends[k]``.
 
     Tokens that are marks alone are left out; ``at`` is a token's place in ``raw``. A token that is
-    ``either`` is a literal word by its kind and may be a name.
+    ``either`` is a literal word by its kind and may be a name. ``words`` are hashes without
+    placeholders.
     """
 
     hashes: np.ndarray
+    words: np.ndarray
     kinds: np.ndarray
     either: np.ndarray
     at: np.ndarray
@@ -157,11 +162,12 @@ def templates(texts: list[str], tokens: Tokens) -> Templates:
     # A currency or percent mark is a token after a number only.
     kinds[unit & ~after_number & (facts & Tokens.MARK != 0)] = DROPPED
     either = starts & (facts & 7 == NAME) & (kinds == LITERAL)
+    words = hashes.copy()
     for k, name in PLACEHOLDERS.items():
         hashes[kinds == k] = xxhash.xxh3_64_intdigest(name)
     kept = kinds != DROPPED
     at = np.nonzero(kept)[0]
-    return Templates(hashes[at], kinds[at], either[at], spot[at], raw, np.concatenate([[0], np.cumsum(kept)])[ends])
+    return Templates(hashes[at], words[at], kinds[at], either[at], spot[at], raw, np.concatenate([[0], np.cumsum(kept)])[ends])
 
 
 def sums(values: np.ndarray, size: int) -> np.ndarray:
@@ -188,7 +194,7 @@ def windows(cut: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     """The places and hashes of the windows of ``size`` tokens, one for each way to read a window.
 
     The third array has a bit for each place in a window whose word is read as a name. Readings with
-    too few literal words are left out.
+    too few literal words give the hash of the tokens as they are, once, and -1.
     """
     n = len(cut.hashes) - size + 1
     if n <= 0:
@@ -208,6 +214,9 @@ def windows(cut: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     powers = np.array([pow(POLYNOMIAL, size - 1 - k, 1 << 64) for k in range(size)], np.uint64)
     before = np.concatenate([[0], np.cumsum(cut.either)])
     n_either = before[size:] - before[:n]
+    few = np.nonzero(inside & (literal - n_either < least))[0]
+    if len(few):
+        yield few, mixed(sums(cut.words, size)[few] + np.uint64(AS_IS)), np.full(len(few), -1)
     for reading in range(1, 1 << int(n_either.max())):
         count, needed = reading.bit_count(), reading.bit_length()
         if reading == 1 << needed - 1:
@@ -226,8 +235,13 @@ def windows(cut: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def slots(cut: Templates, start: int, size: int, names: int) -> list[str]:
-    """The values in the placeholders of a window, each behind its place in it (one digit) and type."""
+    """The values in the placeholders of a window, each behind its place in it (one digit) and type.
+
+    ``names`` is what ``windows`` gives: -1 for a window without placeholders.
+    """
     found = []
+    if names < 0:
+        return found
     for k in range(start, start + size):
         kind = NAME if names >> (k - start) & 1 else int(cut.kinds[k])
         if kind != LITERAL:
@@ -292,6 +306,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS
     ``kind`` is ``exact`` if all values of the windows that count are equal, else
     ``reparameterised``. The benchmark is taken in passes of at most ``pass_windows`` windows.
 
+    Windows with fewer than ``LITERALS`` literal words are compared by their lower-case tokens.
+
     Rows without id, null and empty texts match nothing, nor do items under four tokens. Rows with
     one doc_id count as one document. Repeated items give one row. Texts of any length are read
     whole. Other columns are ignored.

@@ -137,6 +137,16 @@ def test_templates_with_names_at_starts(frame):
     assert got[1, 10][0] == got[1, 10][1] == 9
 
 
+def test_windows_of_numbers_and_names(frame):
+    sums, names = "Compute 12 + 7 * 3 - 4 / 2 + 9 * 8 - 6", "Anna Berta Clara Dora Emma Frieda Gerda Hanna Ida Jana"
+    docs = frame([
+        (1, f"Now solve this: {sums}"), (2, sums.replace("12", "13").replace("7", "5")), (3, f"we met {names} there"),
+        (4, f"we met {names.replace('Clara', 'Lea').replace('Gerda', 'Mia')} there"), (5, "so Solve 3 5 8 13 21 34 55 89 144 next"),
+    ])
+    items = frame([(10, sums), (11, names), (12, "Solve 3 5 8 13 21 34 55 89 144 next")], "item_id bigint, text string")
+    assert found_pairs(docs, items) == {(1, 10): (2, 2, "exact"), (3, 11): (3, 3, "exact"), (5, 12): (4, 4, "exact")}
+
+
 # --- mixing
 
 
