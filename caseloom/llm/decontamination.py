@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import if_small, materialise, slices
 
 WINDOW = 8
-# Items with fewer tokens than this cannot be told from chance and are never matched.
+# Items with fewer tokens than this are matched only where they stand alone: from the start of a
+# sentence or line to the end of one.
 SHORTEST = 4
 # At least this many tokens of a window must be literal words (of half of them, if it is shorter);
 # others are compared by their tokens as they are.
@@ -48,12 +49,20 @@ UNITS = frozenset(
     " kilogram kilograms pound pounds liter liters litre litres percent % ° °c °f $ € £ dollar dollars"
     " euro euros cent cents usd eur gbp mph kmh km/h k w kw v a hz j n pa".split()
 )
-MARKS = ".,;:!?\"'()[]{}<>|*#&$%€£…«»“”‘’–—-/\\`~^=+@_"
-CLOSING = "\"')]}»”’"
+MARKS = ".,;:!?\"'()[]{}<>|*#&$%€£…«»“”‘’–—-/\\`~^=+@_。，、．！？：；（）「」『』【】《》〈〉・"
+CLOSING = "\"')]}»”’）」』】》〉"
+STOPS = ".!?:;。．！？：；"
 DIGIT = re.compile("[0-9]")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/-]*$")
 SPLIT_UNIT = re.compile(r"(?<=\d)(?=[^\W\d_]|[%°])")
 LINE_BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
+# Letters of scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, Tai, Balinese,
+# Javanese, kana, bopomofo and Han. Each is a token, as are the stops between them.
+UNSPACED = re.compile(
+    "[\u0e00-\u0e4f\u0e5a-\u0ecf\u0eda-\u0f1f\u0f34-\u103f\u104a-\u108f\u109a-\u109f\u1780-\u17df\u1950-\u19cf\u19da-\u1a7f\u1a9a-\u1aaf"
+    "\u1b00-\u1b4f\u2e80-\u2fdf\u3001-\u303f\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9cf\ua9e0-\ua9ef"
+    "\ua9fa-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f\uff61-\uff9f\U00020000-\U0003ffff]"
+)
 # Stands for a line break among the raw tokens.
 BREAK = "\0"
 CURRENCY_FIRST = re.compile(r"([$€£])\s?(\d[\d.,]*)")
@@ -89,7 +98,7 @@ class Tokens(dict):
                 facts = NUMBER * 9
             elif core[0].isupper() and len(core) > 1 and core[1:].islower():
                 facts |= NAME
-            if raw.rstrip(CLOSING)[-1:] in ".!?:;":
+            if raw.rstrip(CLOSING)[-1:] in STOPS:
                 facts |= self.ENDS
         self.new_hashes.append(xxhash.xxh3_64_intdigest(word))
         self.new_facts.append(facts)
@@ -112,9 +121,14 @@ class Tokens(dict):
 
 
 def raw_tokens(text: str) -> list[str]:
-    """The tokens of a text; a unit is taken off its number, a currency mark put behind it."""
+    """The tokens of a text; a unit is taken off its number, a currency mark put behind it.
+
+    Scripts without spaces are cut into characters.
+    """
     if DIGIT.search(text):
         text = SPLIT_UNIT.sub(" ", CURRENCY_FIRST.sub(r"\2 \1 ", text))
+    if not text.isascii():
+        text = UNSPACED.sub(r" \g<0> ", text)
     return LINE_BREAK.sub(f" {BREAK} ", text).split()
 
 
@@ -122,7 +136,7 @@ class Templates(NamedTuple):
     """The templates of several texts, one after the other; text ``k`` ends before token ``ends[k]``.
 
     Tokens that are marks alone are left out; ``at`` is a token's place in ``raw``. A token that is
-    ``either`` is a literal word by its kind and may be a name. ``words`` are hashes without
+    at ``starts`` begins a sentence or line, one that is ``either`` is a literal word by its kind and may be a name. ``words`` are hashes without
     placeholders.
     """
 
@@ -130,6 +144,7 @@ class Templates(NamedTuple):
     words: np.ndarray
     kinds: np.ndarray
     either: np.ndarray
+    starts: np.ndarray
     at: np.ndarray
     raw: list[str]
     ends: np.ndarray
@@ -167,7 +182,7 @@ def templates(texts: list[str], tokens: Tokens) -> Templates:
         hashes[kinds == k] = xxhash.xxh3_64_intdigest(name)
     kept = kinds != DROPPED
     at = np.nonzero(kept)[0]
-    return Templates(hashes[at], words[at], kinds[at], either[at], spot[at], raw, np.concatenate([[0], np.cumsum(kept)])[ends])
+    return Templates(hashes[at], words[at], kinds[at], either[at], starts[at], spot[at], raw, np.concatenate([[0], np.cumsum(kept)])[ends])
 
 
 def sums(values: np.ndarray, size: int) -> np.ndarray:
@@ -194,18 +209,23 @@ def windows(cut: Templates, size: int) -> Iterator[tuple[np.ndarray, np.ndarray,
     """The places and hashes of the windows of ``size`` tokens, one for each way to read a window.
 
     The third array has a bit for each place in a window whose word is read as a name. Readings with
-    too few literal words give the hash of the tokens as they are, once, and -1.
+    too few literal words give the hash of the tokens as they are, once, and -1. So do windows under
+    ``SHORTEST`` tokens, which must stand alone.
     """
     n = len(cut.hashes) - size + 1
     if n <= 0:
         return
-    total, least = sums(cut.hashes, size), min(LITERALS, (size + 1) // 2)
-    literal = np.concatenate([[0], np.cumsum(cut.kinds == LITERAL)])
-    literal = literal[size:] - literal[:n]
     # The last windows of a text reach into the next one.
     inside = np.ones(n, bool)
     last = (cut.ends[:-1, None] - np.arange(1, size)).ravel()
     inside[last[(last >= 0) & (last < n)]] = False
+    if size < SHORTEST:
+        at = np.nonzero(inside & cut.starts[:n] & np.append(cut.starts, True)[size:])[0]
+        yield at, mixed(sums(cut.words, size)[at] + np.uint64(AS_IS)), np.full(len(at), -1)
+        return
+    total, least = sums(cut.hashes, size), min(LITERALS, (size + 1) // 2)
+    literal = np.concatenate([[0], np.cumsum(cut.kinds == LITERAL)])
+    literal = literal[size:] - literal[:n]
     at = np.nonzero(inside & (literal >= least))[0]
     yield at, mixed(total[at]), np.zeros(len(at), np.int64)
     # A word read as a name changes the sum by the difference of the hashes times the factor of its place.
@@ -277,7 +297,7 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
                 cut_texts = templates([t or "" for t in part.column("_text").to_pylist()], tokens)
                 first = np.concatenate([[0], cut_texts.ends[:-1]])
                 n_tokens = cut_texts.ends - first
-                for size in sizes if shared is not None else range(SHORTEST, WINDOW + 1):
+                for size in sizes if shared is not None else range(1, WINDOW + 1):
                     for places, own, names in windows(cut_texts, size):
                         texts = np.searchsorted(cut_texts.ends, places, "right")
                         if shared is None:
@@ -308,7 +328,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS
 
     Windows with fewer than ``LITERALS`` literal words are compared by their lower-case tokens.
 
-    Rows without id, null and empty texts match nothing, nor do items under four tokens. Rows with
+    Items under ``SHORTEST`` tokens are found where they stand alone.
+
+    Rows without id, null and empty texts match nothing. Rows with
     one doc_id count as one document. Repeated items give one row. Texts of any length are read
     whole. Other columns are ignored.
     """

@@ -147,6 +147,21 @@ def test_windows_of_numbers_and_names(frame):
     assert found_pairs(docs, items) == {(1, 10): (2, 2, "exact"), (3, 11): (3, 3, "exact"), (5, 12): (4, 4, "exact")}
 
 
+def test_scripts_without_spaces_and_short_items(frame):
+    chinese, japanese = "小明有12个苹果，他把其中的5个送给了住在河边的朋友。请问他还剩下多少个苹果？", "東京は日本の首都であり世界でも最も大きな都市の一つです。"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงและนครที่มีประชากรมากที่สุดของประเทศไทย"
+    docs = frame([
+        (1, f"前言在此{chinese}后面还有别的话"), (2, chinese.replace("12", "30").replace("5", "8")), (3, "彼は" + japanese), (4, "ใน" + thai + "และ"),
+        (5, "今天的天气很好，我们去河边散步。"), (6, "First line\nWhat is DNA?\nAn answer"), (7, "They know what is DNA and more"), (8, "请回答。何为熵？谢谢"),
+    ])
+    items = frame([(10, chinese), (11, japanese), (12, thai), (13, "what is DNA"), (14, "何为熵？"), (15, "..."), (16, "Osmosis")], "item_id bigint, text string")
+    got = found_pairs(docs, items)
+    assert {k: v[2] for k, v in got.items()} == {
+        (1, 10): "exact", (2, 10): "reparameterised", (3, 11): "exact", (4, 12): "exact", (6, 13): "exact", (8, 14): "exact",
+    }
+    assert all(n == whole for n, whole, _ in got.values())
+
+
 # --- mixing
 
 
