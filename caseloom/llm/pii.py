@@ -17,24 +17,42 @@ from caseloom.llm.common import let
 
 ROUNDS = 8
 KINDS = ["email", "phone", "ip", "date", "ssn", "iban", "secret", "card"]
+MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+# Day, month by name and year, or month first.
+NAMED_DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\.? {MONTHS}\.?,? \d{{4}}|{MONTHS}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})"
+# Area code and exchange start with 2 to 9.
+AMERICAN_PHONE = r"(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
+TRUNK_PHONE = r"(?:\(0[1-9]\d{1,3}\) ?|0[1-9]\d{1,3}[ /-])\d{3,8}(?:[ -]\d{2,6}){0,3}"
+HEX_GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+IPV6 = f"(?:{HEX_GROUPS}{{7}}|{HEX_GROUPS}{{0,5}}::(?:{HEX_GROUPS}{{0,5}})?)"
+TOKEN_PREFIX = "(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[spr]k_live_|[spr]k_test_|sk-)"
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     r"(?<![\d+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,8}(?:[ -]\d{2,8}){0,3}(?!\d)",
+    rf"(?<![A-Za-z0-9_-]){TOKEN_PREFIX}[A-Za-z0-9_-]{{16,}}",
+    rf"(?<![A-Za-z0-9:.]){IPV6}(?![A-Za-z0-9:]|\.\d)",
+    rf"(?<![A-Za-z0-9]){NAMED_DATE}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9+])(?<!\d[ .-]){AMERICAN_PHONE}(?!\d|[.-]\d)",
     r"(?<![A-Za-z0-9])(?<!\d[.])(?:"
     + "|".join([
         r"\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)",
         r"\d{4}-\d{2}-\d{2}(?![A-Za-z0-9]|-\d)",
-        r"\d{1,2}([./])\d{1,2}\1\d{4}(?![A-Za-z0-9]|[./]\d)",
+        r"\d{4}([./])\d{1,2}\1\d{1,2}(?![A-Za-z0-9]|[./]\d)",
+        r"\d{1,2}([./-])\d{1,2}\2\d{4}(?![A-Za-z0-9]|[./-]\d)",
+        r"(?<![./-])(?:\d{1,2}/\d{1,2}/|\d{2}\.\d{2}\.|\d{2}-\d{2}-)\d{2}(?![A-Za-z0-9]|[./-]\d)",
         r"\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
         r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"[0-9A-Fa-f]{32,}(?![A-Za-z0-9])",
         r"(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![A-Za-z0-9])",
     ])
     + ")",
+    rf"(?<![A-Za-z0-9+])(?<!\d[ .-]){TRUNK_PHONE}(?!\d)",
 ])
 # 400 years of the Gregorian calendar, in days, and two factors of that number.
 FIRST_DAY, DAYS, DATE_FACTORS = "1800-01-01", 146_097, (189, 773)
+# The same for two-digit years, which are taken as 2000 to 2099.
+SHORT_FIRST_DAY, SHORT_DAYS, SHORT_FACTORS = "2000-01-01", 36_525, (75, 487)
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -139,19 +157,29 @@ def mod97(text: Column) -> Column:
 
 def date_of(m: Column) -> Column:
     """The date of a match, null if there is no such day. Day before month where both are possible."""
-    parts = F.split(m, "[./]")
+    parts = F.split(m, "[./-]")
     year, first, second = F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(0)), 2, "0"), F.lpad(F.get(parts, F.lit(1)), 2, "0")
-    iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
-    return F.when(m.rlike("^\\d{4}-"), iso).otherwise(
-        F.coalesce(
-            F.try_to_timestamp(F.concat_ws("-", year, second, first), F.lit("yyyy-MM-dd")).cast("date"),
-            F.try_to_timestamp(F.concat_ws("-", year, first, second), F.lit("yyyy-MM-dd")).cast("date"),
-        )
+    year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
+    name = F.lower(F.substring(F.regexp_extract(m, MONTHS, 0), 1, 3))
+    month = F.lpad(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), name) + 2) / 3).cast("int").cast("string"), 2, "0")
+    day = F.lpad(F.regexp_extract(m, "(?<!\\d)(\\d{1,2})(?!\\d)", 1), 2, "0")
+
+    def parsed(*ymd: Column) -> Column:
+        return F.try_to_timestamp(F.concat_ws("-", *ymd), F.lit("yyyy-MM-dd")).cast("date")
+
+    return (
+        F.when(m.rlike("[A-Z]"), parsed(F.regexp_extract(m, "\\d{4}", 0), month, day))
+        .when(m.rlike("^\\d{4}"), parsed(F.get(parts, F.lit(0)), second, F.lpad(F.get(parts, F.lit(2)), 2, "0")))
+        .otherwise(F.coalesce(parsed(year, second, first), parsed(year, first, second)))
     )
 
 
+def short_year(m: Column) -> Column:
+    return m.rlike("^\\d{1,2}[./-]\\d{1,2}[./-]\\d{2}$")
+
+
 def day_number(m: Column) -> Column:
-    days = F.datediff(date_of(m), F.lit(FIRST_DAY).cast("date"))
+    days = F.datediff(date_of(m), F.when(short_year(m), F.lit(SHORT_FIRST_DAY)).otherwise(F.lit(FIRST_DAY)).cast("date"))
     return F.when((days >= 0) & (days < DAYS), days)
 
 
@@ -170,14 +198,19 @@ def kind_of(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.startswith("+"), F.when(F.length(digits_of(m)).between(7, 15), "phone"))
+        .when(m.rlike(f"^{TOKEN_PREFIX}"), F.when(m.rlike("[0-9]"), "secret"))
+        .when(m.contains(":"), F.when(m.rlike("[0-9]") & (F.length(m) >= 6), "ip"))
+        .when(m.rlike(f"^{NAMED_DATE}$"), F.when(day_number(m).isNotNull(), "date"))
+        .when(m.rlike(f"^{AMERICAN_PHONE}$"), "phone")
         .when(m.rlike("^\\d{1,3}(\\.\\d{1,3}){3}$"), F.when(valid_ip, "ip"))
-        .when(m.rlike("^(\\d{4}-\\d{2}-\\d{2}|\\d{1,2}[./]\\d{1,2}[./]\\d{4})$"), F.when(day_number(m).isNotNull(), "date"))
+        .when(m.rlike("^(\\d{4}[./-]\\d{1,2}[./-]\\d{1,2}|\\d{1,2}[./-]\\d{1,2}[./-](\\d{4}|\\d{2}))$"), F.when(day_number(m).isNotNull(), "date"))
         .when(m.rlike("^\\d{3}-\\d{2}-\\d{4}$"), F.when(ssn, "ssn"))
         .when(
             m.rlike("^[A-Z]{2}\\d{2}"),
             F.when(mod97(F.concat(F.substr(packed, F.lit(5)), F.substring(packed, 1, 4))) == 1, "iban"),
         )
         .when(m.rlike("^[0-9A-Fa-f]{32,}$"), "secret")
+        .when(m.rlike(f"^{TRUNK_PHONE}$"), F.when(F.length(digits_of(m)).between(9, 12), "phone"))
         .when(m.rlike("^[0-9 -]+$"), F.when(luhn_sum(digits_of(m), False) % 10 == 0, "card"))
     )
 
@@ -198,20 +231,38 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         )
 
     def date() -> Column:
-        a, b = DATE_FACTORS
-        pair = permuted_pair(key, "date", F.floor(day_number(m) / b), day_number(m) % b, (a, b))
-        moved = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * b + p["r"]).cast("int")))
-        first, second = F.date_format(moved, "dd"), F.date_format(moved, "MM")
-        parts = F.split(m, "[./]")
+        def moved_by(kind: str, first_day: str, factors: tuple[int, int]) -> Column:
+            a, b = factors
+            pair = permuted_pair(key, kind, F.floor(day_number(m) / b), day_number(m) % b, (a, b))
+            return let(pair, lambda p: F.date_add(F.lit(first_day).cast("date"), (p["l"] * b + p["r"]).cast("int")))
+
+        moved = F.when(short_year(m), moved_by("short date", SHORT_FIRST_DAY, SHORT_FACTORS)).otherwise(
+            moved_by("date", FIRST_DAY, DATE_FACTORS)
+        )
+        return let(moved, spelled)
+
+    def spelled(moved: Column) -> Column:
+        first, second, year = F.date_format(moved, "dd"), F.date_format(moved, "MM"), F.date_format(moved, "yyyy")
+        parts = F.split(m, "[./-]")
+        own_year = F.get(parts, F.lit(2))
         day_first = F.try_to_timestamp(
-            F.concat_ws("-", F.get(parts, F.lit(2)), F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0")),
+            F.concat_ws(
+                "-", F.when(F.length(own_year) == 2, F.concat(F.lit("20"), own_year)).otherwise(own_year),
+                F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0"),
+            ),
             F.lit("yyyy-MM-dd"),
         ).isNotNull()
-        mark = F.when(m.contains("/"), "/").otherwise(".")
-        spelled = F.when(day_first, F.concat(first, mark, second, mark, F.date_format(moved, "yyyy"))).otherwise(
-            F.concat(second, mark, first, mark, F.date_format(moved, "yyyy"))
+        mark = F.regexp_extract(m, "[./-]", 0)
+        year_last = F.when(short_year(m), F.substring(year, 3, 2)).otherwise(year)
+        full = m.rlike("(January|February|March|April|June|July|August|September|October|November|December)")
+        month = F.when(full, F.date_format(moved, "MMMM")).otherwise(F.date_format(moved, "MMM"))
+        return (
+            F.when(m.rlike("^[A-Z]"), F.concat(month, F.lit(" "), F.date_format(moved, "d"), F.when(m.contains(","), ", ").otherwise(" "), year))
+            .when(m.rlike("[A-Z]"), F.concat_ws(" ", F.date_format(moved, "d"), month, year))
+            .when(m.rlike("^\\d{4}"), F.concat(year, mark, second, mark, first))
+            .when(day_first, F.concat(first, mark, second, mark, year_last))
+            .otherwise(F.concat(second, mark, first, mark, year_last))
         )
-        return F.when(m.rlike("^\\d{4}-"), F.date_format(moved, "yyyy-MM-dd")).otherwise(spelled)
 
     def ssn() -> Column:
         part = F.split(m, "-")
@@ -243,13 +294,22 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
         body = permuted_text(key, "card", F.substr(m, F.lit(1), F.length(m) - 1))
         return let(body, lambda own: F.concat(own, F.pmod(-luhn_sum(digits_of(own), True), F.lit(10)).cast("string")))
 
+    def behind(kind: str, prefix: str, letters: int = 26) -> Column:
+        """What ``prefix`` matches stays, the rest is permuted."""
+        start = F.regexp_extract(m, prefix, 0)
+        return let(start, lambda p: F.concat(p, permuted_text(key, kind, F.substr(m, F.length(p) + 1), letters)))
+
     return (
         F.when(kind == "email", email())
+        # Without a country code the area, or 0 and a digit, stay, so that the number keeps its form.
+        .when((kind == "phone") & ~m.startswith("+"), behind("phone", "^(\\(?0[1-9]|(1[ .-])?\\(?[2-9]\\d{2}\\)?[ .-]?[2-9])"))
         .when(kind == "phone", F.concat(F.lit("+"), permuted_text(key, "phone", F.substr(m, F.lit(2)))))
+        .when((kind == "ip") & m.contains(":"), permuted_text(key, "ip", m, 6))
         .when(kind == "ip", ip())
         .when(kind == "date", date())
         .when(kind == "ssn", ssn())
         .when(kind == "iban", iban())
+        .when((kind == "secret") & m.rlike(f"^{TOKEN_PREFIX}"), behind("secret", f"^{TOKEN_PREFIX}"))
         .when(kind == "secret", permuted_text(key, "secret", m, 6))
         .when(kind == "card", card())
         .otherwise(m)
