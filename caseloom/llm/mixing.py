@@ -136,6 +136,8 @@ def mixed_rows(
         .groupBy("_source", own_block.alias("_block")).agg(F.sum("_n").alias("_block_tokens")),
         "mix-blocks",
     )
+    # Without a budget no document is dropped, nor a block without words that comes last.
+    first = "epoch = 0 and (_tokens = 0 or _block_tokens = 0)" if budget is None else "epoch = 0 and _tokens = 0"
     last = F.when(F.col("_tokens") > 0, F.floor((F.col("_budget") - 1) / F.col("_tokens"))).otherwise(0)
     order = Window.partitionBy("_source", "epoch").orderBy("_turn", "_block")
     drawn = (
@@ -144,7 +146,7 @@ def mixed_rows(
         .withColumn("_turn", F.xxhash64(F.lit(seed), "_source", "epoch", "_block"))
         .withColumn("_before", F.sum("_block_tokens").over(order) - F.col("_block_tokens"))
         .withColumn("_left", F.col("_budget") - F.col("epoch") * F.col("_tokens") - F.col("_before"))
-        .where("_left > 0 or (_tokens = 0 and epoch = 0)")
+        .where(f"_left > 0 or ({first})")
         .select(
             "_source", "_block", "epoch", "_left", (F.col("_left") >= F.col("_block_tokens")).alias("_whole"),
             F.col("_weight").alias("weight"),

@@ -190,6 +190,13 @@ def test_mixture(frame):
     assert mixed_rows(docs.where("false"), budget=10).count() == 0
 
 
+def test_mixture_keeps_blocks_without_words(frame):
+    rows = [(100 * s + k, "w w w" if k < 10 else "", f"s{s:02}") for s in range(20) for k in range(20)]
+    docs = frame(rows, "doc_id bigint, text string, source string")
+    got = mixed_rows(docs, budget=None, block_tokens=3).where("epoch = 0").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == [k for k, _, _ in rows]
+
+
 # --- personal data
 
 
