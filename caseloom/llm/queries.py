@@ -12,11 +12,15 @@ from caseloom.llm.languages import fit_languages, language_mixtures
 from caseloom.llm.mixing import mixed_rows
 from caseloom.llm.near_dups import near_duplicates
 from caseloom.llm.pii import pseudonymise
+from caseloom.llm.prefix_trie import prefix_trie, rebuilt, turn_rows, with_ends
 from caseloom.llm.quality_classifier import fit_compression_model, score_quality
 from caseloom.llm.quality_rules import apply_rules, fit_rules
 from caseloom.llm.sharding import shard_rows
+from caseloom.llm.source_audit import divergence_audit
 from caseloom.llm.tokens import prefix_counts
+from caseloom.llm.url_filter import Rule, after_scheme, path_of, url_verdicts
 from caseloom.llm.warc import archive_folder, read_archives, write_archives
+from caseloom.operators.skew import lookup_join
 
 CONTEXT_TOKENS = 4096
 # For the supplied tables only; a real key comes from a secret store.
@@ -105,10 +109,41 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that tell them apart."""
+    return divergence_audit(table(spark, d, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    """The trie of all conversations, each with the first turns of its family's head."""
+    trie = with_ends(prefix_trie(*rebuilt(turn_rows(table(spark, d, "conversations")))))
+    return trie.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+URL_RULES = [
+    Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")
+]
+
+
+def op13_url_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """All pages judged by the rules, then by the list of URLs of toxic documents.
+
+    A page shows the document whose number ends its path. A document labelled toxic lists its URLs.
+    """
+    pages = table(spark, d, "pages")
+    number = F.regexp_extract(path_of(after_scheme(F.col("url"))), "/([0-9]+)([.]html)?/?$", 1).try_cast("bigint")
+    toxic = table(spark, d, "labels").where("toxic = 1 and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
+    listed = lookup_join(pages.select("page_id", "url", number.alias("_doc")), toxic, "_doc", "page_id", "left_semi")
+    return url_verdicts(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "canonical")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixture, op2_shards, op3_warc, op4_contaminated, op5_pseudonyms, op6_languages, op7_quality_rules,
-        op8_quality_scores, op9_near_duplicates, op10_token_counts,
+        op8_quality_scores, op9_near_duplicates, op10_token_counts, op11_source_divergence, op12_prefix_trie,
+        op13_url_verdicts,
     )
 }
