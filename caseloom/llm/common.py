@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,8 +20,12 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 # small whatever the number of rows Spark puts into a batch.
 SLICE_BYTES = 2_000_000
 
-# Frames up to this number of narrow rows (an id or two each) may be sent to all executors.
+# Frames up to this number of rows and, as they are stored, of bytes may be sent to all executors.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
+
+# A batch of rows on its way to Python has about so many bytes.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +49,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, marked for broadcast when its counted number of narrow rows is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df``, marked for broadcast when its counted rows are few and the files behind it are small."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's batches for Python be small, unless they are already.
+
+    A task holds a batch in the JVM and in Python, on its way in and out, beside the work itself.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(64 << 20))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``function`` for ``mapInArrow``, which gives its memory back at the end of a task.
+
+    Workers are kept for other tasks, and so would what their allocators hold for reuse.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,6 +97,30 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the same ``group`` before a row.
+
+    As in :func:`number_within`, a range sort puts a large group into many partitions, and the sums
+    of a group's parts are added to the sums inside them.
+    """
+    keys = [*group, *order]
+    placed = materialise(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "sorted"
+    )
+    parts = placed.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialise(parts.withColumn("_earlier", F.sum("_sum").over(earlier)).where("_earlier is not null").drop("_sum"), "part-sums")
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    return (
+        placed.withColumn("_inside", F.sum(value).over(inside))
+        # Only groups that go on from one partition in the next have a row here.
+        .join(if_small(parts, parts.count()), ["_part", *group], "left")
+        .withColumn(name, F.coalesce("_earlier", zero) + F.coalesce("_inside", zero))
+        .drop("_part", "_earlier", "_inside")
+    )
+
+
 def number_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... within each ``group``, without holding a group in one task.
 

@@ -15,12 +15,10 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import materialise
+from caseloom.llm.common import if_small, materialise, running_total
+from caseloom.operators.skew import lookup_join
 
 BLOCK_TOKENS = 1_000_000
-# A source has at most so many blocks, so that the order of its blocks fits one task; the blocks
-# of a very large source are larger instead.
-MAX_BLOCKS = 65_536
 # Each step tries so many exponents at once and goes on between two of them.
 POINTS = 16
 STEPS = 8
@@ -110,41 +108,50 @@ def mixed_rows(
 
     Columns: ``carry`` (default ``doc_id, source``), ``n_tokens`` (words), ``weight`` of the source,
     ``epoch``, ``block`` and ``mix_key``, the place of the block in the source's budget from 0 to 1:
-    sorted by it, the sources interleave in their proportions at every point.
+    sorted by it, the sources interleave in their proportions at every point. To carry a column with
+    one of these names, carry it inside a struct.
+
+    A block has about ``block_tokens`` words, however large its source is. Rows are dealt to blocks by
+    a hash of id, length and source, those without id also of their text, so that only rows equal
+    in all of it lie together for certain.
 
     A source takes whole blocks while its budget lasts, and of the block in which it ends the
     documents, by a hash, that fit; so no source exceeds its budget and none falls short by more
-    than a document. A null source is a source of its own. Null and empty texts have no tokens; a
+    than a document. A document longer than its source's budget is never taken. A null source is a source of its own. Null and empty texts have no tokens; a
     source without any is taken once. Repeated rows, also of one id, are rows of their own, always
     taken together with their block. An empty table gives an empty result.
     """
-    carry = carry or ["doc_id", "source"]
+    carry = [f"`{c}`" for c in carry or ["doc_id", "source"]]
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint")
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text"), source)
-    rows = docs.select(
-        F.struct(*[F.col(c) for c in carry]).alias("_row"), source.alias("_source"), words.alias("_n"), place.alias("_place")
-    )
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text"), source, nameless)
+    rows = docs.select(F.struct(*carry).alias("_row"), source.alias("_source"), words.alias("_n"), place.alias("_place"))
     # The statistics need no texts; the rows themselves are read again.
-    weights, _ = source_weights(rows.select("_source", "_n"), budget, entropy_share, max_repeats)
-    per_block = F.greatest(F.lit(block_tokens), F.ceil(F.col("_tokens") / MAX_BLOCKS))
-    plan = materialise(weights.withColumn("_blocks", F.greatest(F.ceil(F.col("_tokens") / per_block), F.lit(1))), "mix-plan")
+    counted = materialise(rows.select("_source", "_n", "_place"), "mix-counts")
+    weights, _ = source_weights(counted.select("_source", "_n"), budget, entropy_share, max_repeats)
+    plan = materialise(weights.withColumn("_blocks", F.greatest(F.ceil(F.col("_tokens") / block_tokens), F.lit(1))), "mix-plan")
     own_block = F.pmod("_place", "_blocks")
-    sized = plan.select("_source", "_blocks")
-    blocks = materialise(
-        rows.select("_source", "_n", "_place").join(sized, "_source")
-        .groupBy("_source", own_block.alias("_block")).agg(F.sum("_n").alias("_block_tokens")),
-        "mix-blocks",
-    )
+    n_sources = plan.count()
+
+    def with_blocks(some: DataFrame) -> DataFrame:
+        sized = plan.select("_source", "_blocks")
+        small = if_small(sized, n_sources)
+        joined = some.join(small, "_source") if small is not sized else lookup_join(some, sized, "_source", "_place", "inner")
+        return joined.withColumn("_block", own_block)
+
+    blocks = materialise(with_blocks(counted).groupBy("_source", "_block").agg(F.sum("_n").alias("_block_tokens")), "mix-blocks")
     # Without a budget no document is dropped, nor a block without words that comes last.
     first = "epoch = 0 and (_tokens = 0 or _block_tokens = 0)" if budget is None else "epoch = 0 and _tokens = 0"
     last = F.when(F.col("_tokens") > 0, F.floor((F.col("_budget") - 1) / F.col("_tokens"))).otherwise(0)
-    order = Window.partitionBy("_source", "epoch").orderBy("_turn", "_block")
-    drawn = (
-        blocks.join(plan.drop("_blocks"), "_source")
+    planned = plan.drop("_blocks")
+    turns = (
+        blocks.join(if_small(planned, n_sources), "_source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))))
         .withColumn("_turn", F.xxhash64(F.lit(seed), "_source", "epoch", "_block"))
-        .withColumn("_before", F.sum("_block_tokens").over(order) - F.col("_block_tokens"))
+    )
+    drawn = (
+        running_total(turns, ["_source", "epoch"], ["_turn", "_block"], "_block_tokens", "_before")
         .withColumn("_left", F.col("_budget") - F.col("epoch") * F.col("_tokens") - F.col("_before"))
         .where(f"_left > 0 or ({first})")
         .select(
@@ -156,10 +163,10 @@ def mixed_rows(
     )
     drawn = materialise(drawn, "mix-draws")
     # A block has a bounded size, so this join has no hot key.
-    joined = rows.join(sized, "_source").withColumn("_block", own_block)
+    joined = with_blocks(rows)
     result = ["_row.*", F.col("_n").alias("n_tokens"), "weight", "epoch", F.col("_block").alias("block"), "mix_key"]
     whole = joined.join(drawn.where("_whole"), ["_source", "_block"]).select(*result)
-    in_block = Window.partitionBy("_source", "_block", "epoch").orderBy("_turn", "_place").rowsBetween(
+    in_block = Window.partitionBy("_source", "_block", "epoch").orderBy("_turn", "_place", "_n").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     part = (

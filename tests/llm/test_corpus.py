@@ -190,6 +190,28 @@ def test_mixture(frame):
     assert mixed_rows(docs.where("false"), budget=10).count() == 0
 
 
+def test_mixture_without_ids_and_with_too_long_documents(frame):
+    rows = [(None, "w " * 5 + str(k), "s") for k in range(600)] + [(1, "long " * 5000, "t"), (2, "short", "t")] + [(3, "x " * 400, "u")]
+    docs = frame(rows, "doc_id bigint, text string, source string")
+    got = mixed_rows(docs, budget=None, block_tokens=300).collect()
+    # Rows without id are dealt to blocks by their texts.
+    assert len({r.block for r in got if r.source == "s"}) > 6
+    assert {r.doc_id for r in got} == {None, 1, 2, 3}
+    # The budget of a source is less than its long document.
+    small = mixed_rows(docs, budget=2000, block_tokens=300).collect()
+    assert 1 not in {r.doc_id for r in small} and len(small) > 10
+
+
+def test_running_total(spark):
+    from caseloom.llm.common import running_total
+
+    pick = random.Random(5)
+    rows = [(pick.choice("aaab"), k, pick.randint(0, 9)) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, k bigint, v bigint").repartition(7)
+    got = {r.k: r.t for r in running_total(df, ["g"], ["k"], "v", "t").collect()}
+    assert got == {k: sum(v2 for g2, k2, v2 in rows if g2 == g and k2 < k) for g, k, _ in rows}
+
+
 def test_mixture_keeps_blocks_without_words(frame):
     rows = [(100 * s + k, "w w w" if k < 10 else "", f"s{s:02}") for s in range(20) for k in range(20)]
     docs = frame(rows, "doc_id bigint, text string, source string")
@@ -328,9 +350,88 @@ def test_compression_classifier(frame, spark):
     assert {r.score for r in score_quality(frame(rows[:3]), ["doc_id"], none).collect()} == {0.5}
 
 
+def test_letters_of_all_planes_and_restated_mixtures(frame, spark):
+    """Every letter counts, and plain rounds to the end give the same proportions."""
+    import math
+
+    import numpy as np
+
+    from caseloom.llm import languages as module
+
+    docs = [(k, t * (1 + k % 3), lang) for k, (t, lang) in enumerate([("the cat and a dog ", "en"), ("der hund und die katze ", "de"), ("le chat et un chien ", "fr")] * 8)]
+    model = fit_languages(frame(docs, "doc_id bigint, text string, lang string"))
+    texts = [(1, chr(0x30EDE) * 5), (2, chr(0x20BB7)), (3, "the dog der hund und le chat et un chien"), (4, "1 2 3"), (5, "hund und cat and dog and")]
+    got = {r.doc_id: r for r in language_mixtures(frame(texts), ["doc_id"], model).collect()}
+    assert got[1].lang_pred != "und" and got[2].lang_pred != "und" and got[4].lang_pred == "und"
+    letters, likely = module.folded_letters(), model.likelihoods()
+    for k in (1, 2, 3, 5):
+        grams = Counter(int(g) for part in module.trigrams(dict(texts)[k], letters) for g in part)
+
+        def rounds(chosen):
+            shares = dict.fromkeys(chosen, 1 / len(chosen))
+            while True:
+                new = dict.fromkeys(chosen, 0.0)
+                for g, n in grams.items():
+                    whole = sum(shares[c] * likely[g, c] for c in chosen)
+                    for c in chosen:
+                        new[c] += n * shares[c] * likely[g, c] / whole / grams.total()
+                moved = max(abs(new[c] - shares[c]) for c in chosen)
+                shares = new
+                if moved <= module.TOLERANCE:
+                    return shares, sum(n * math.log(sum(shares[c] * likely[g, c] for c in chosen)) for g, n in grams.items())
+
+        order = sorted(range(3), key=lambda c: -rounds(range(3))[0][c])
+        top = int(np.argmax([sum(n * math.log(likely[g, c]) for g, n in grams.items()) for c in range(3)]))
+        sets = [[top], *[[top, *[c for c in order if c != top]][:size] for size in (2, 3)]]
+        best = None
+        for chosen in sets:
+            shares, value = rounds(chosen)
+            value -= 1.5 * math.log(grams.total()) * len(chosen)
+            if best is not None and value <= best[0]:
+                break
+            best = value, shares
+        assert got[k].lang_pred == model.languages[max(best[1], key=lambda c: (best[1][c], -c))]
+        assert all(abs(got[k].mixture.get(model.languages[c], 0.0) - s) < 1e-9 for c, s in best[1].items())
+
+
 # --- pipeline
 
 
+def test_stages_against_plain_versions(frame, spark):
+    """What each filtering stage keeps, beside plain Python on a small corpus."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(400)]
+    pick = random.Random(9)
+    base = [" ".join(pick.choice(words) for _ in range(60)) for _ in range(40)]
+    rows = [(k, t, "en", "s" + str(k % 3)) for k, t in enumerate(base)]
+    rows += [(100 + k, base[k] + " tail", "en", "s0") for k in range(6)] + [(200 + k, base[0], "en", "s1") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        return k if root[k] == k else find(root[k])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    kept = corpus_pipeline.keep_distinct(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k in sets if find(k) == k)
+
+    mixed = Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert set(mixed) == set(sets)
+    sharded = corpus_pipeline.shard(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in sharded) == sorted(sets)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -339,7 +440,8 @@ def test_pipeline(spark):
         pytest.skip("no test tables")
     docs = spark.read.parquet(f"{data}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0), (0, None, "en", None, 1)], docs.schema)
-    docs = docs.union(odd).withColumn("_row", F.lit(1)).withColumn("shard", F.lit("x"))
+    clashing = ["_row", "shard", "weight", "block", "epoch", "n_tokens", "mix_key", "score", "kept", "_source", "_n", "a.b"]
+    docs = docs.union(odd).withColumns({c: F.lit("x") for c in clashing})
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialise(stage(spark, docs, data), "test")
@@ -363,7 +465,8 @@ def test_same_as_sql(spark):
     if not __import__("pathlib").Path(data).exists():
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    for name in ("pages", "documents", "conversations", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, data)
         found = con.execute(sql)
