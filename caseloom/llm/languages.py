@@ -15,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from caseloom.llm.common import slices
+from caseloom.llm.common import slices, tidy
 
 # Trigrams are hashed into so many buckets, so a model has BUCKETS counts a language.
 BUCKETS = 1 << 16
 PIECE = 500_000
-ROUNDS = 12
+# Proportions are found when no language moves by more than this in a round.
+TOLERANCE = 1e-3
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -29,7 +31,7 @@ UNKNOWN = "und"
 def folded_letters() -> np.ndarray:
     """For each code point the number of its lower-case letter, 0 for what is no letter."""
     table = np.zeros(sys.maxunicode + 1, np.int32)
-    for code in range(0x30000):
+    for code in range(sys.maxunicode + 1):
         char = chr(code)
         if char.isalpha():
             lower = char.lower()
@@ -70,11 +72,13 @@ class LanguageModel:
 def fit_languages(docs: DataFrame) -> LanguageModel:
     """Count the trigrams of all texts of ``docs`` (text, lang) by language; null rows are left out.
 
-    Tasks return at most ``BUCKETS`` counts a language, and so does the driver get.
+    Tasks return at most ``BUCKETS`` counts a language, and so does the driver get; so the model grows
+    with the number of different values of lang, half a megabyte for each.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(folded_letters())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, totals = folded_letters(), {}
+        letters, totals = shared.value, {}
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
@@ -90,7 +94,7 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
 
     rows = (
         docs.where("text is not null and lang is not null").select("text", "lang")
-        .mapInArrow(count, "lang string, bucket int, n bigint")
+        .mapInArrow(tidy(count), "lang string, bucket int, n bigint")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         .toArrow()
     )
@@ -103,13 +107,18 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
 
 
 def proportions(likely: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Mixture proportions and log-likelihood of trigrams seen ``counts`` times."""
+    """Mixture proportions and log-likelihood of trigrams seen ``counts`` times.
+
+    The likelihood rises in every round, so the proportions come to rest.
+    """
     n, k = counts.sum(), likely.shape[1]
     shares = np.full(k, 1 / k)
     if k > 1:
-        for _ in range(ROUNDS):
+        moved = 1.0
+        while moved > TOLERANCE:
             mixed = likely * shares
-            shares = (counts / mixed.sum(axis=1)) @ mixed / n
+            found = (counts / mixed.sum(axis=1)) @ mixed / n
+            shares, moved = found, np.abs(found - shares).max()
     return shares, float(counts @ np.log(likely @ shares))
 
 
@@ -143,14 +152,12 @@ def language_mixtures(docs: DataFrame, columns: list[str], model: LanguageModel)
     """
     fields = list(docs.select(*columns).schema)
     names = [f.name for f in fields] + ["lang_pred", "score", "mixture"]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-        + ["lang_pred string", "score double", "mixture map<string,double>"]
-    )
-    languages, shared = model.languages, docs.sparkSession.sparkContext.broadcast(model.likelihoods())
+    schema = StructType([*fields, *StructType.fromDDL("lang_pred string, score double, mixture map<string,double>")])
+    languages = model.languages
+    shared = docs.sparkSession.sparkContext.broadcast((folded_letters(), model.likelihoods()))
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, likely = folded_letters(), shared.value
+        letters, likely = shared.value
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = []
@@ -178,4 +185,4 @@ def language_mixtures(docs: DataFrame, columns: list[str], model: LanguageModel)
                     names,
                 )
 
-    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(infer, schema)
+    return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(tidy(infer), schema)
