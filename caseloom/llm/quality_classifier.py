@@ -15,8 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from caseloom.llm.common import slices
+from caseloom.llm.common import slices, tidy
 
 # Bounds of the labelled sample, chosen by the hash of the id from all labelled rows.
 DICTIONARY_DOCS = 800
@@ -38,7 +39,10 @@ class CompressionModel:
 
 
 def dictionary(blocks: list[bytes]) -> bytes:
-    """A dictionary from ``blocks``; their own bytes if they are too few to train one."""
+    """A dictionary from ``blocks``; the first ``DICTIONARY_BYTES`` of them if they are too few to train one.
+
+    A dictionary of under 8 bytes is none: :func:`compressor` then works without.
+    """
     blocks = [b for b in blocks if b]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, blocks).as_bytes()
@@ -57,7 +61,7 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 def evidence(docs: DataFrame, columns: list[str], model: CompressionModel, text: str = "text") -> DataFrame:
     """``columns`` and ``evidence`` from -1 (bad) to 1 (good) for whole texts; 0 for no text."""
     fields = list(docs.select(*columns).schema)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["evidence double"])
+    schema = StructType([*fields, StructField("evidence", DoubleType())])
     good, bad = model.good, model.bad
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +81,7 @@ def evidence(docs: DataFrame, columns: list[str], model: CompressionModel, text:
                     [f.name for f in fields] + ["evidence"],
                 )
 
-    return docs.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(weigh, schema)
+    return docs.select(*columns, F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(weigh), schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -104,12 +108,17 @@ def blocks_of(text: str) -> Column:
     return F.explode(F.transform(starts, lambda s: F.substr(F.col(text), s, F.lit(BLOCK))))
 
 
-def fit_compression_model(docs: DataFrame, labels: DataFrame, learn: Column) -> CompressionModel:
+def fit_compression_model(
+    docs: DataFrame, labels: DataFrame, learn: Column, dictionary_docs: int = DICTIONARY_DOCS,
+    dictionary_blocks: int = DICTIONARY_BLOCKS, calibration_docs: int = CALIBRATION_DOCS,
+) -> CompressionModel:
     """Learn from the rows of ``labels`` (doc_id, quality) that meet ``learn``.
 
-    At most ``DICTIONARY_DOCS`` documents a class give blocks for the dictionaries and at most
-    ``CALIBRATION_DOCS`` others the curve; both sets are the smallest by a hash of the id.
-    Several labels of one document count as the lowest. Without any label every score is 0.5.
+    At most ``dictionary_docs`` documents a class give blocks for the dictionaries, of which at most
+    ``dictionary_blocks`` of ``BLOCK`` characters each are taken, since a document may be of any length;
+    at most ``calibration_docs`` others give the curve. All sets are the smallest by a hash. Several
+    labels of one document count as the lowest, several texts of one as the least evidence. Without
+    any label every score is 0.5.
     """
     known = (
         labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -120,16 +129,18 @@ def fit_compression_model(docs: DataFrame, labels: DataFrame, learn: Column) ->
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
 
     def samples(quality: int) -> list[bytes]:
-        chosen = known.where(for_dictionary & (F.col("_quality") == quality)).orderBy("_order", "_id").limit(DICTIONARY_DOCS)
+        chosen = known.where(for_dictionary & (F.col("_quality") == quality)).orderBy("_order", "_id").limit(dictionary_docs)
         cut = texts.join(F.broadcast(chosen), "_id").select("_id", blocks_of("_text").alias("_block"))
-        rows = cut.orderBy(F.xxhash64("_id", "_block"), "_id", "_block").limit(DICTIONARY_BLOCKS).collect()
+        rows = cut.orderBy(F.xxhash64("_id", "_block"), "_id", "_block").limit(dictionary_blocks).collect()
         return [r["_block"].encode("utf-8", "surrogatepass") for r in rows]
 
     model = CompressionModel(dictionary(samples(1)), dictionary(samples(0)))
-    chosen = known.where(~for_dictionary).orderBy("_order", "_id").limit(CALIBRATION_DOCS)
-    rows = evidence(
-        texts.join(F.broadcast(chosen), "_id"), ["_quality"], model, "_text"
-    ).collect()
+    chosen = known.where(~for_dictionary).orderBy("_order", "_id").limit(calibration_docs)
+    rows = (
+        evidence(texts.join(F.broadcast(chosen), "_id"), ["_id", "_order", "_quality"], model, "_text")
+        .groupBy("_order", "_id").agg(F.min("evidence").alias("evidence"), F.min("_quality").alias("_quality"))
+        .orderBy("_order", "_id").collect()
+    )
     model.slope, model.offset = logistic(
         np.array([r["evidence"] for r in rows]), np.array([float(r["_quality"]) for r in rows])
     )
