@@ -18,10 +18,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import if_small, materialise, slices
+from caseloom.llm.common import if_small, materialise, slices, tidy
 
 WINDOW = 8
 # Items with fewer tokens than this are matched only where they stand alone: from the start of a
@@ -33,7 +34,7 @@ LITERALS = 4
 # Benchmark windows per pass over the documents: their hashes are sent to every task.
 PASS_WINDOWS = 1_000_000
 # A task remembers so many tokens, then starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 # Added to the hashes of windows without placeholders.
 AS_IS = 0x5851F42D4C957F2D
 # The odd factor of the window hashes.
@@ -277,12 +278,11 @@ FIELDS = pa.schema([
 ])
 
 
-def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int]) -> DataFrame:
-    """Windows of ``rows`` (_id, _copy, _text) whose hash is in ``wanted`` (sorted).
+def template_windows(rows: DataFrame, shared: Broadcast | None, sizes: list[int]) -> DataFrame:
+    """Windows of ``rows`` (_id, _copy, _text) whose hash is in ``shared`` (sorted).
 
-    Without ``wanted``: all windows, one of the item's own length if it is shorter than ``WINDOW``.
+    Without ``shared``: all windows, one of the item's own length if it is shorter than ``WINDOW``.
     """
-    shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -314,7 +314,7 @@ def template_windows(rows: DataFrame, wanted: np.ndarray | None, sizes: list[int
                             })
                 yield pa.RecordBatch.from_pylist(found, schema=FIELDS)
 
-    return rows.mapInArrow(cut, SCHEMA)
+    return rows.mapInArrow(tidy(cut), SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> DataFrame:
@@ -343,13 +343,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS
     n_windows, sizes = bounds[0], sorted(bounds[1])
     passes = max(1, ceil(n_windows / pass_windows))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("_id"), copy, F.col("text").alias("_text"))
-    found = None
+    found, sent = None, []
     for k in range(passes):
         part = asked.where(F.pmod("_hash", F.lit(passes)) == k).select("_hash").distinct()
         wanted = np.sort(part.toArrow().column("_hash").to_numpy().astype(np.int64).view(np.uint64))
-        hits = template_windows(texts, wanted, sizes)
+        sent.append(spark.sparkContext.broadcast(wanted))
+        hits = template_windows(texts, sent[-1], sizes)
         found = hits if found is None else found.union(hits)
     hits = materialise(found.select("_id", "_copy", "_at", "_hash", "_slots"), "hits")
+    for hashes in sent:
+        hashes.unpersist()
     theirs = asked.select(
         F.col("_id").alias("_item"), F.col("_copy").alias("_item_copy"), F.col("_at").alias("_item_at"), "_tokens", "_size", "_hash",
         F.col("_slots").alias("_item_slots"),

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import if_small, materialise, slices
+from caseloom.llm.common import if_small, materialise, slices, tidy
+from caseloom.operators.skew import lookup_join
 
 SYMBOLS = 64
 MISS = 1e-5
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, width: int, symbols: int) -> DataFrame:
                     ["_id", "n_shingles", "_set_a", "_set_b", "_sig"],
                 )
 
-    return docs.select("_id", F.col("_text").cast("binary").alias("_text")).mapInArrow(sign, FIELDS)
+    return docs.select("_id", F.col("_text").cast("binary").alias("_text")).mapInArrow(tidy(sign), FIELDS)
 
 
 def keyed_sets(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
@@ -119,7 +120,7 @@ def keyed_sets(docs: DataFrame, columns: list[str], width: int) -> DataFrame:
                     [part.column(c) for c in columns] + [pa.array(sets, pa.list_(pa.int64()))], [*columns, "_set"]
                 )
 
-    return docs.select(*columns, F.col("_text").cast("binary").alias("_text")).mapInArrow(build, schema).where(F.size("_set") > 0)
+    return docs.select(*columns, F.col("_text").cast("binary").alias("_text")).mapInArrow(tidy(build), schema).where(F.size("_set") > 0)
 
 
 def masked_keys(symbols: int, distance: int) -> Column:
@@ -175,7 +176,10 @@ def missing_links(
     sizes = rows.groupBy("_main").agg(
         F.ceil(F.count("*") / BLOCK).alias("_all"), F.ceil(F.count_if(F.col("_root") != F.col("_main")) / BLOCK).alias("_out")
     )
-    dealt = rows.join(sizes, "_main")
+    # One component may be the largest of most buckets.
+    sizes = materialise(sizes, "main-sizes")
+    few = if_small(sizes, sizes.count())
+    dealt = rows.join(few, "_main") if few is not sizes else lookup_join(rows, sizes, "_main", "_id", "inner")
     place = F.xxhash64("_id")
     out = dealt.where("_root <> _main").select(
         "_main", "_id", "_root", F.lit(True).alias("_asks"), F.pmod(place, "_out").alias("_i"),
