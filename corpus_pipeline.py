@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import caseloom
-from caseloom.llm.common import if_small, materialise, table
+from caseloom.llm.common import if_small, materialise, small_batches, table
 from caseloom.llm.decontamination import contaminated
 from caseloom.llm.mixing import mixed_rows
 from caseloom.llm.near_dups import near_duplicates
@@ -23,8 +23,8 @@ N_SHARDS = 40
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` in ``_row``, beside ``doc_id`` and ``text``: no name can clash."""
-    return docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    """All columns of ``docs`` in ``_row``, beside ``doc_id``, ``text`` and ``source``: no name can clash."""
+    return docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -35,6 +35,7 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier scores below 0.5."""
+    small_batches(spark)
     model = fit_compression_model(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return score_quality(packed(docs), ["_row"], model).where("score >= 0.5").select("_row.*")
 
@@ -44,19 +45,21 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that repeat an id stay together; a row without id stays.
     """
+    small_batches(spark)
     dropped = near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct()
     return only(docs, dropped, "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold benchmark passages, as they are or with other values."""
+    small_batches(spark)
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return only(docs, found, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of small sources until the sources have their weights; none is dropped."""
-    return mixed_rows(docs, budget=None, carry=docs.columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed_rows(packed(docs), budget=None, carry=["_row"]).select("_row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
