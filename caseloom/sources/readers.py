@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom import schemas
 from caseloom.functions.constants import OTHER
 from caseloom.functions.text import strip
+from caseloom.session import cut_and_count
 
 # Holds the text of a JSON line that cannot be parsed, else null.
 CORRUPT = "corrupt_record"
@@ -34,6 +35,26 @@ def read_tweets_csv(spark: SparkSession, path: str, null_tokens: tuple[str, ...]
     return _strings_to_null(reader.csv(path), null_tokens)
 
 
+def read_tweets_head(spark: SparkSession, path: str, n: int, null_tokens: tuple[str, ...] = ("",)) -> DataFrame:
+    """The first ``n`` rows in file order: files by path, rows as they stand in them.
+
+    Files are read one after the other until there are enough rows, and of each only as much as is
+    needed; what comes later is never read. The files' paths alone are listed for it.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    found, missing, last = None, n, ""
+    while missing > 0:
+        head = listed.where(F.col("path") > last).orderBy("path").select("path").first()
+        if head is None:
+            break
+        last = head["path"]
+        # A text may hold line breaks, so a file is one partition and its rows come in order.
+        rows, count = cut_and_count(read_tweets_csv(spark, last, null_tokens).limit(missing))
+        found = rows if found is None else found.union(rows)
+        missing -= count
+    return spark.createDataFrame([], schemas.TWEETS) if found is None else found
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
     """Add ``ordinal``, which sorts rows as they stand in their files."""
     return df.withColumn(

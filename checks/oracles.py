@@ -253,6 +253,27 @@ def pair_views(source: str, key: str, a: str, b: str) -> str:
       FROM w GROUP BY {key})"""
 
 
+def unit_weights(name: str, counts: str, key: str) -> str:
+    return f"""{name} AS (SELECT {key}, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {key})) AS weight
+      FROM (SELECT {key}, term, (1e0 + ln(tf)) * idf AS raw FROM {counts} JOIN vocab USING (term)))"""
+
+
+ASKED_NEIGHBOURS = f"""SELECT vec_id, rank, neighbour_id, s FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour_id)::INT AS rank FROM (
+    SELECT a.vec_id, b.vec_id AS neighbour_id, {half('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 6)} AS s
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0))
+  WHERE rank <= 5"""
+
+# Requests in the parts in which they arrive, and those that the watermark of the parts before lets through.
+ARRIVALS = """, spans AS (SELECT min(epoch_us(ts)) AS oldest, max(epoch_us(ts)) AS latest, max(ts) AS newest FROM events),
+  placed AS (SELECT event_id, ts, (epoch_us(ts) - oldest) // ((latest - oldest) // 4 + 1) AS part FROM events, spans),
+  arrivals AS (SELECT event_id, ts, part + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS turn FROM placed
+    UNION ALL SELECT event_id, ts, part + 1 FROM placed WHERE event_id % 7 = 0),
+  marks AS (SELECT turn, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 2 DAY AS mark
+    FROM arrivals GROUP BY turn),
+  accepted AS (SELECT DISTINCT event_id, ts FROM arrivals JOIN marks USING (turn) WHERE mark IS NULL OR ts > mark)"""
+
+
 # --- classification metrics ---------------------------------------------------------------------------------
 
 PER_CLASS = """
@@ -648,6 +669,19 @@ ORACLES = {
         FROM comparison b, comparison o WHERE b.split = 'test' AND o.split = 'test' AND o.model <> b.model
         AND b.model = (SELECT model FROM comparison WHERE split = 'val' ORDER BY macro_f1 DESC, model LIMIT 1)""", COMPARISON),
     "dense_topk": f"WITH {NEIGHBOURS} SELECT vec_id, rank::INT AS rank, neighbour_id, {half('greatest(s, 0e0)', 4)} AS similarity_score FROM near",
+    "stored_topk": f"SELECT vec_id, rank, neighbour_id, {half('greatest(s, 0e0)', 4)} AS similarity_score FROM ({ASKED_NEIGHBOURS})",
+    "approx_recall": f"SELECT count(DISTINCT vec_id) AS queries, count(*) AS expected, true AS enough FROM ({ASKED_NEIGHBOURS})",
+    "sparse_topk": f"""WITH counts AS ({counts_of('documents', 'doc_id', 'text', False)}), asked AS ({counts_of('benchmark', 'item_id', 'text', False)}),
+        vocab AS (SELECT term, ln((1e0 + any_value(n)) / (1e0 + count(*))) + 1e0 AS idf FROM counts, (SELECT count(*) AS n FROM documents) GROUP BY term HAVING count(*) >= 2),
+        {unit_weights('stored', 'counts', 'doc_id')}, {unit_weights('wanted', 'asked', 'item_id')}
+        SELECT item_id, rank, doc_id, similarity FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id)::INT AS rank FROM (
+            SELECT item_id, doc_id, {half('sum(s.weight * w.weight)', 6)} AS similarity FROM wanted w JOIN stored s USING (term) GROUP BY item_id, doc_id))
+        WHERE rank <= 5""",
+    "stream_escalations": messages("""SELECT strftime(date_trunc('day', a.ts), '%Y-%m-%d') AS day, rule_id, count(*) AS requests, count(*) FILTER (escalate) AS escalated
+        FROM accepted a JOIN decided ON message_id = event_id, spans
+        WHERE date_trunc('day', a.ts) + INTERVAL 1 DAY <= date_trunc('millisecond', newest) - INTERVAL 2 DAY GROUP BY ALL""", DECIDED + ARRIVALS),
+    "source_csv_head": tweets("SELECT * REPLACE (text || chr(10) || '\"quoted\", line ' AS text) FROM tweets ORDER BY ALL NULLS FIRST LIMIT 500"),
     "retrieval_hits": f"WITH {NEIGHBOURS} SELECT vec_id, true_intent, coalesce(first_hit, 0)::INT AS first_hit, hit_1, hit_3, hit_5 FROM marked",
     "retrieval_metrics": f"WITH {NEIGHBOURS} SELECT count(*) AS queries, " + ", ".join(
         f"{half(f'avg(hit_{n}::INT)', 4)} AS recall_at_{n}" for n in (1, 3, 5)) + f", {half('avg(coalesce(1e0 / first_hit, 0e0))', 4)} AS mrr FROM marked",

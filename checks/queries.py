@@ -12,8 +12,8 @@ from caseloom.functions.numbers import half_up
 from caseloom.functions.text import clean_text, parse_created_at, strip
 from caseloom.functions.vectors import norm, unit
 from caseloom.operators import (
-    ablation, brands, classifiers, cleaning, drafting, intents, metrics, policy, profile,
-    retrieval, rubric, splits, sweeps, threads, tfidf,
+    ablation, approximate_search, brands, classifiers, cleaning, drafting, intents, metrics, policy, profile,
+    retrieval, rubric, sparse_search, splits, sweeps, threads, tfidf, vector_index,
 )
 from caseloom.plans.decide import DecisionPlan, build_case_index
 from caseloom.plans.evaluate import score_test_set, system_metrics, tune_thresholds
@@ -21,6 +21,7 @@ from caseloom.plans.prepare import prepare
 from caseloom.session import checkpoint_dir, cut_lineage
 from caseloom.sources import readers, writers
 from caseloom.streaming.decisions import decide_requests, start_decision_stream
+from caseloom.streaming.monitor import escalation_windows, first_requests, start_monitor
 from checks.views import messages, predicted_messages, raw_tweets, table
 
 # The supplied conversations are few, so every brand counts.
@@ -438,6 +439,44 @@ def dense_topk(spark, d):
     return _neighbours(spark, d).withColumnRenamed("case_id", "neighbour_id")
 
 
+def _asked_vectors(spark, d):
+    """The stated query set: every vector whose id is divisible by 50, against all vectors."""
+    return table(spark, d, "embeddings").select("vec_id", "embedding").where("vec_id % 50 = 0")
+
+
+def _stored_neighbours(spark, d):
+    """Neighbours from an index that is built in two parts."""
+    vectors, path = table(spark, d, "embeddings").select("vec_id", "embedding"), scratch(spark, "vectors")
+    vector_index.add_cases(spark, path, vectors.where("vec_id % 3 <> 0"), "vec_id")
+    vector_index.add_cases(spark, path, vectors.where("vec_id % 3 = 0"), "vec_id")
+    index = vector_index.open_index(spark, path)
+    return vector_index.search(_asked_vectors(spark, d), index, "vec_id", "bigint", 5, exclude_self=True)
+
+
+def stored_topk(spark, d):
+    return _stored_neighbours(spark, d).withColumnRenamed("case_id", "neighbour_id")
+
+
+def approx_topk(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = approximate_search.approximate_cases(_asked_vectors(spark, d), vectors, "vec_id", "vec_id", 5, exclude_self=True)
+    return found.withColumnRenamed("case_id", "neighbour_id")
+
+
+def approx_recall(spark, d):
+    """Does the approximate search find nine of ten of the exact neighbours?"""
+    found = approx_topk(spark, d).withColumnRenamed("neighbour_id", "case_id")
+    row = approximate_search.recall(found, _stored_neighbours(spark, d), "vec_id")
+    return row.select("queries", "expected", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def sparse_topk(spark, d):
+    """The documents most like each benchmark item, by the weights of their words."""
+    index = sparse_search.build_term_index(table(spark, d, "documents"), "doc_id")
+    found = sparse_search.sparse_topk(table(spark, d, "benchmark"), index, "item_id")
+    return found.withColumnRenamed("case_id", "doc_id")
+
+
 def _judged_neighbours(spark, d):
     vectors = table(spark, d, "embeddings")
     stored = vectors.select(F.col("vec_id").alias("case_id"), F.col("label").alias("intent"))
@@ -784,6 +823,46 @@ def stream_decisions(spark, d):
     return done.unionByName(bad, allowMissingColumns=True)
 
 
+def stream_escalations(spark, d):
+    """Escalations by day and rule from a stream with repeated and late requests.
+
+    The requests arrive in four parts by time, one run of the stream each. Every seventh request comes again
+    with the next part, every eleventh only with the next part: of these, those that the
+    watermark has passed by then are left out.
+    """
+    folder = scratch(spark, "monitor")
+    events = table(spark, d, "events").select(F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
+    micros = F.unix_micros("ts")
+    ends = events.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    width = ((ends["b"] or 0) - (ends["a"] or 0)) // 4 + 1
+    part = F.floor((micros - F.lit(ends["a"] or 0)) / F.lit(width)).cast("int")
+    n = F.col("message_id")
+    late = F.when(n % 11 == 0, 1).otherwise(0)
+    turns = F.when(n % 7 == 0, F.array(part + late, part + 1)).otherwise(F.array(part + late))
+    decided = policy.escalate(predicted_messages(spark, d)).select("message_id", "escalate", "rule_id")
+    sent = cut_lineage(decided.join(events.withColumn("turns", turns), "message_id").withColumn("turn", F.explode("turns")))
+    columns = [F.col("message_id").cast("string").alias("request_id"), "ts", "escalate", "rule_id"]
+    arriving = sent.select(*columns, "turn")
+    for turn in range(5):
+        arriving.where(F.col("turn") == turn).drop("turn").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(arriving.drop("turn").schema).parquet(f"{folder}/in")
+        counts = escalation_windows(first_requests(stream, "request_id", "ts", "2 days"), "ts", "1 day")
+        start_monitor(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rule_id", "requests", "escalated"
+    )
+
+
+def source_csv_head(spark, d):
+    """The first 500 rows of several CSV files."""
+    folder = scratch(spark, "csv-head")
+    rows = raw_tweets(spark, d)
+    sorted_ = rows.withColumn("text", F.concat(F.col("text"), F.lit('\n"quoted", line '))).orderBy(*rows.columns)
+    writer = sorted_.write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.read_tweets_head(spark, folder, 500)
+
+
 def _profile(fn, *args):
     return lambda spark, d: fn(raw_tweets(spark, d), *args)
 
@@ -891,4 +970,10 @@ QUERIES = {
     "plan_evaluate": plan_evaluate,
     "plan_tune": plan_tune,
     "stream_decisions": stream_decisions,
+    "stored_topk": stored_topk,
+    "approx_topk": approx_topk,
+    "approx_recall": approx_recall,
+    "sparse_topk": sparse_topk,
+    "stream_escalations": stream_escalations,
+    "source_csv_head": source_csv_head,
 }
