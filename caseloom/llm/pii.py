@@ -3,7 +3,9 @@
 Validated values are permuted by a keyed Feistel network within their own format: a card number
 becomes another number that passes the Luhn test, a date another date, an address another address.
 The same key maps equal values to equal pseudonyms in every document and different ones to
-different ones, so they stay linked without being readable.
+different ones, so they stay linked without being readable. Cards, account numbers and phone
+numbers are permuted without their separators, which are laid back afterwards, so the ways to write
+one number stay linked too.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ HEX_GROUPS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 IPV6 = f"(?:{HEX_GROUPS}{{7}}|{HEX_GROUPS}{{0,5}}::(?:{HEX_GROUPS}{{0,5}})?)"
 TOKEN_PREFIX = "(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[spr]k_live_|[spr]k_test_|sk-)"
 PATTERN = "|".join([
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     r"(?<![\d+])\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,8}(?:[ -]\d{2,8}){0,3}(?!\d)",
     rf"(?<![A-Za-z0-9_-]){TOKEN_PREFIX}[A-Za-z0-9_-]{{16,}}",
@@ -80,7 +82,7 @@ def permuted_pair(key: str, kind: str, left: Column, right: Column, factors: tup
 def permuted_text(key: str, kind: str, text: Column, letters: int = 26) -> Column:
     """A permutation of the texts of one format: digits stay digits, letters letters of their case.
 
-    Other characters stay. The characters at even and at odd places are the two sides. With
+    Letters are those of ASCII and Latin-1. Other characters stay. The characters at even and at odd places are the two sides. With
     ``letters`` = 6 the letters A to F stay within those.
     """
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -89,12 +91,16 @@ def permuted_text(key: str, kind: str, text: Column, letters: int = 26) -> Colum
         bases = F.transform(
             own,
             lambda c: F.when(c.rlike("^[0-9]$"), F.lit(48)).when(c.rlike("^[A-Z]$"), F.lit(65))
-            .when(c.rlike("^[a-z]$"), F.lit(97)).otherwise(F.lit(0)),
+            .when(c.rlike("^[a-z]$"), F.lit(97)).when(c.rlike("^[à-ö]$"), F.lit(0xE0)).when(c.rlike("^[À-Ö]$"), F.lit(0xC0))
+            .when(c.rlike("^[ø-þ]$"), F.lit(0xF8)).when(c.rlike("^[Ø-Þ]$"), F.lit(0xD8)).otherwise(F.lit(0)),
         )
         return let(bases, lambda base: shuffled(own, base))
 
     def size(base: Column) -> Column:
-        return F.when(base == 0, F.lit(1)).when(base == 48, F.lit(10)).otherwise(F.lit(letters))
+        return (
+            F.when(base == 0, F.lit(1)).when(base == 48, F.lit(10)).when(base.isin(0xE0, 0xC0), F.lit(23))
+            .when(base.isin(0xF8, 0xD8), F.lit(7)).otherwise(F.lit(letters))
+        )
 
     def shuffled(own: Column, base: Column) -> Column:
         start = F.zip_with(own, base, lambda c, b: F.when(b == 0, F.lit(0)).otherwise(F.ascii(c) - b).cast("bigint"))
@@ -130,6 +136,20 @@ def permuted_text(key: str, kind: str, text: Column, letters: int = 26) -> Colum
     return let(chars, spell)
 
 
+def laid_out(m: Column, value: Column) -> Column:
+    """``value`` at the places of the letters and digits of ``m``, whose other characters stay."""
+    chars = F.filter(F.split(m, ""), lambda c: c != "")
+
+    def place(own: Column) -> Column:
+        def char(c: Column, i: Column) -> Column:
+            number = F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+            return F.when(c.rlike("^[0-9A-Za-z]$"), F.substr(own, number, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(chars, char), "")
+
+    return let(value, place)
+
+
 def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -280,19 +300,28 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
     def iban() -> Column:
         # Country and account keep their format; the two check digits follow from them.
-        body = permuted_text(key, "iban", F.substr(m, F.lit(5)))
-        return let(
+        body = permuted_text(key, "iban", F.substr(F.regexp_replace(m, " ", ""), F.lit(5)))
+        return laid_out(m, let(
             body,
             lambda own: F.concat(
                 F.substring(m, 1, 2),
-                F.lpad((98 - mod97(F.concat(F.regexp_replace(own, " ", ""), F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"),
+                F.lpad((98 - mod97(F.concat(own, F.substring(m, 1, 2), F.lit("00")))).cast("string"), 2, "0"),
                 own,
             ),
-        )
+        ))
 
     def card() -> Column:
-        body = permuted_text(key, "card", F.substr(m, F.lit(1), F.length(m) - 1))
-        return let(body, lambda own: F.concat(own, F.pmod(-luhn_sum(digits_of(own), True), F.lit(10)).cast("string")))
+        bare = digits_of(m)
+        body = permuted_text(key, "card", F.substr(bare, F.lit(1), F.length(bare) - 1))
+        return laid_out(m, let(body, lambda own: F.concat(own, F.pmod(-luhn_sum(own, True), F.lit(10)).cast("string"))))
+
+    def phone() -> Column:
+        # A North American number keeps its area and the next digit, with and without country code;
+        # one that starts with 0 keeps it and a digit; so the number keeps its form.
+        bare = digits_of(m)
+        american = m.rlike(f"^{AMERICAN_PHONE}$") | (m.startswith("+") & bare.rlike("^1[2-9]\\d{2}[2-9]\\d{6}$"))
+        kept = F.when(american, F.length(bare) - 6).when(m.startswith("+"), F.lit(0)).otherwise(F.lit(2))
+        return laid_out(m, F.concat(F.substr(bare, F.lit(1), kept), permuted_text(key, "phone", F.substr(bare, kept + 1))))
 
     def behind(kind: str, prefix: str, letters: int = 26) -> Column:
         """What ``prefix`` matches stays, the rest is permuted."""
@@ -301,9 +330,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
     return (
         F.when(kind == "email", email())
-        # Without a country code the area, or 0 and a digit, stay, so that the number keeps its form.
-        .when((kind == "phone") & ~m.startswith("+"), behind("phone", "^(\\(?0[1-9]|(1[ .-])?\\(?[2-9]\\d{2}\\)?[ .-]?[2-9])"))
-        .when(kind == "phone", F.concat(F.lit("+"), permuted_text(key, "phone", F.substr(m, F.lit(2)))))
+        .when(kind == "phone", phone())
         .when((kind == "ip") & m.contains(":"), permuted_text(key, "ip", m, 6))
         .when(kind == "ip", ip())
         .when(kind == "date", date())
@@ -324,7 +351,10 @@ def pseudonymise(docs: DataFrame, keep: list[str], key: str, text: str = "text")
     """``keep``, the whole text with pseudonyms as ``text``, and ``n_<kind>`` values replaced.
 
     A null text stays null with counts 0; an empty one stays empty. Values that fail their test
-    (Luhn sum, calendar, octets, check digits) stay as they are. Rows repeat as in the input.
+    (Luhn sum, calendar, octets, check digits) stay as they are, and so does the domain of a mail
+    address. Rows repeat as in the input; an empty table gives an empty result; texts of any length
+    are read whole. Columns not in ``keep`` are left out, whatever their names; ``keep`` must not hold
+    ``text`` or a name of the counts.
     """
     body = F.col("_body")
 

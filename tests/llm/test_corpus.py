@@ -259,6 +259,74 @@ def test_pseudonyms_of_more_formats(frame):
     assert all(got[100][f"n_{kind}"] == len(v) for kind, v in values.items())
 
 
+def test_one_number_in_several_spellings(frame):
+    """Bare, spaced and hyphened forms of one value get one pseudonym."""
+    spellings = [
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"], ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"],
+        ["+14155552671", "(415) 555-2671", "415-555-2671", "1-415-555-2671", "+1 415 555 2671"], ["+49 30 1234567", "+49301234567", "+49 301 234567"],
+        ["378282246310005", "3782 822463 10005"],
+    ]
+    rows = [(100 * a + b, f"see {t} there") for a, own in enumerate(spellings) for b, t in enumerate(own)]
+    bare = defaultdict(set)
+    for r in pseudonymise(frame(rows), ["doc_id"], "k").collect():
+        own = spellings[r.doc_id // 100][r.doc_id % 100]
+        new = r.text.removeprefix("see ").removesuffix(" there")
+        assert new != own and [c for c in new if not c.isalnum()] == [c for c in own if not c.isalnum()]
+        value = "".join(c for c in new if c.isalnum())
+        bare[r.doc_id // 100].add(value[-10:] if r.doc_id // 100 == 2 else value)
+    assert all(len(found) == 1 for found in bare.values()), bare
+
+
+def test_addresses_with_other_letters_and_odd_tables(frame):
+    rows = [(1, "Müller@b.org and müller@bücher.de"), (1, "Müller@b.org and müller@bücher.de"), (2, "x " * 200_000 + "jo@b.org"), (3, None), (4, "")]
+    got = pseudonymise(frame(rows), ["doc_id"], "k").collect()
+    first = [r.text for r in got if r.doc_id == 1]
+    assert len(first) == 2 and first[0] == first[1]
+    local = first[0].split("@")[0]
+    assert len(local) == 6 and local.isalpha() and local[1] != "ü" and "@b.org" in first[0] and "@bücher.de" in first[0]
+    long = next(r for r in got if r.doc_id == 2)
+    assert long.n_email == 1 and long.text.startswith("x " * 200_000) and not long.text.endswith(" jo@b.org")
+    assert pseudonymise(frame([]), ["doc_id"], "k").count() == 0
+
+
+def plain_permuted(key, kind, text, letters=26):
+    """The Feistel network on characters, restated in plain Python."""
+    import struct
+
+    import xxhash
+
+    ranges = {**{c: (48, 10) for c in "0123456789"}, **{chr(65 + k): (65, letters) for k in range(26)}, **{chr(97 + k): (97, letters) for k in range(26)}}
+    base = [ranges.get(c, (0, 1)) for c in text]
+    values = [ord(c) - b if b else 0 for c, (b, _) in zip(text, base)]
+    for r in range(1, 9):
+        fixed = ",".join(str(v) for i, v in enumerate(values) if i % 2 != r % 2)
+        seed = xxhash.xxh64_intdigest(hashlib.sha256("|".join([key, kind, str(r), fixed]).encode()).hexdigest().encode(), 42)
+        for i in range(r % 2, len(values), 2):
+            size = base[i][1]
+            own = int.from_bytes(struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<i", i), seed)), "little", signed=True)
+            values[i] = (values[i] + own % size) % size
+    return "".join(chr(v + b) if b else c for c, v, (b, _) in zip(text, values, base))
+
+
+def test_network_against_plain_version(spark):
+    from caseloom.llm.pii import permuted_text
+
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("0123456789abcxyzABZ-. ") for _ in range(pick.randint(1, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(permuted_text("key", "kind", F.col("t"))).collect()]
+    assert got == [plain_permuted("key", "kind", t) for t in texts]
+    cards = ["".join(pick.choice("0123456789") for _ in range(15)) for _ in range(20)]
+
+    def with_check(digits):
+        total = sum(sum(divmod(int(c) * 2, 10)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(digits)))
+        return digits + str(-total % 10)
+
+    rows = [(k, with_check(c)) for k, c in enumerate(cards) if not with_check(c).startswith(("0", "00"))]
+    got = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], "key").collect()}
+    assert got == {k: with_check(plain_permuted("key", "card", c[:-1])) for k, c in rows}
+
+
 def test_pseudonyms_are_a_permutation(spark):
     days = spark.range(0, 146097, 7).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     got = pseudonymise(days, [], "k")
