@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,71 +11,108 @@ from pyspark.sql import functions as F
 from caseloom.functions.numbers import half_up
 from caseloom.operators.skew import lookup_join
 from caseloom.operators.tfidf import document_frequencies, smooth_idf, term_counts
-from caseloom.session import cut_and_count, cut_lineage
+from caseloom.session import checkpoint_dir, cut_and_count, cut_lineage
 
 # The first candidates of a query hold one of its rarest terms, so many postings of them at least.
 SEED_POSTINGS = 256
 # Bounds are compared with scores that are rounded to 6 places.
 SLACK = 1e-6
 # Tables up to this number of narrow rows are sent to all executors.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
 class TermIndex:
-    """Postings of an index.
+    """Written tables of an index.
 
-    ``postings``: case_id, term and weight, each case scaled to length 1. ``terms``: term, idf, df and
-    ``most``, the largest weight that a case gives the term.
+    ``postings``: case_id, term and tf. ``lengths``: case_id and the length of its raw weights; a weight is
+    the raw one over it. ``terms``: term, df and idf.
     """
 
     postings: DataFrame
+    lengths: DataFrame
     terms: DataFrame
+    n_cases: int
+    sublinear: bool = True
 
 
-def scaled(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool) -> DataFrame:
-    """``key, term, weight`` of the counted terms in ``idf`` (term, idf), scaled to length 1."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def raw_weight(sublinear: bool) -> Column:
     tf = F.lit(1.0) + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(idf.select("term", "idf"), "term").withColumn("_raw", tf * F.col("idf"))
-    # In one order, so that the same counts always give the same sum.
-    squares = F.transform(F.array_sort(F.collect_list(F.struct("term", "_raw"))), lambda e: e["_raw"] * e["_raw"])
-    length = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
-    lengths = raw.groupBy(key).agg(length.alias("_length"))
-    return raw.join(lengths, key).select(key, "term", (F.col("_raw") / F.col("_length")).alias("weight"))
+    return tf * F.col("idf")
+
+
+def lengths_of(counts: DataFrame, idf: DataFrame, n_terms: int, key: str, sublinear: bool) -> DataFrame:
+    """``key, _length`` of the counted terms in ``idf`` (term, idf).
+
+    A term that most documents have is added up in the tasks that hold them, before rows meet by ``key``.
+    """
+    weights = lookup_join(counts, idf.select("term", "idf"), "term", key, "inner") if n_terms > BROADCAST_ROWS else counts.join(
+        F.broadcast(idf.select("term", "idf")), "term"
+    )
+    raw = raw_weight(sublinear)
+    return weights.groupBy(key).agg(F.sqrt(F.sum(raw * raw)).alias("_length"))
 
 
 def build_term_index(
     docs: DataFrame, key: str, text: str = "text", min_df: int = 2, bigrams: bool = False, sublinear: bool = True
 ) -> TermIndex:
     """Index the terms of ``docs`` that at least ``min_df`` of them have; every one, whatever the number."""
-    counts = cut_lineage(term_counts(docs, key, text, bigrams))
+    counts = written(term_counts(docs, key, text, bigrams).withColumnRenamed(key, "case_id"), "postings")
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    terms = document_frequencies(counts).where(F.col("df") >= min_df).withColumn("idf", smooth_idf(F.col("df"), n_docs))
-    postings = cut_lineage(scaled(counts, terms, key, sublinear).withColumnRenamed(key, "case_id"))
-    most = postings.groupBy("term").agg(F.max("weight").alias("most"))
-    return TermIndex(postings, cut_lineage(terms.select("term", "idf", "df").join(most, "term")))
+    kept = document_frequencies(counts).where(F.col("df") >= min_df)
+    terms = written(kept.select("term", "df", smooth_idf(F.col("df"), n_docs).alias("idf")), "terms")
+    lengths = written(lengths_of(counts, terms, terms.count(), "case_id", sublinear), "lengths")
+    return TermIndex(counts, lengths, terms, lengths.count(), sublinear)
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def with_weights(found: DataFrame, index: TermIndex) -> DataFrame:
+    """Add ``weight`` to postings with their ``idf``."""
+    if index.n_cases <= BROADCAST_ROWS:
+        found = found.join(F.broadcast(index.lengths), "case_id")
+    else:
+        found = lookup_join(found, index.lengths, "case_id", "term", "inner")
+    return found.withColumn("weight", raw_weight(index.sublinear) / F.col("_length"))
 
 
-def pair_scores(pairs: DataFrame, asked: DataFrame, n_asked: int, index: TermIndex, query_id: str) -> DataFrame:
+def postings_of(some: DataFrame, n_some: int, index: TermIndex, query_id: str) -> DataFrame:
+    """Postings of the terms in ``some`` (query_id, term, idf, _asked): ``query_id, case_id, term, weight, _asked``.
+
+    A frequent term is spread over tasks.
+    """
+    if n_some <= BROADCAST_ROWS:
+        found = index.postings.join(F.broadcast(some), "term")
+    else:
+        found = lookup_join(index.postings, some, "term", "case_id", "inner")
+    return with_weights(found, index)
+
+
+def pair_scores(pairs: DataFrame, n_pairs: int, asked: DataFrame, n_asked: int, index: TermIndex, query_id: str) -> DataFrame:
     """``query_id, case_id, similarity`` of the ``pairs`` (query_id, case_id): the whole dot product."""
-    # Only terms of some query take part.
-    own = index.postings.join(few(asked.select("term").distinct(), n_asked), "term", "left_semi")
-    both = lookup_join(pairs, own, "case_id", query_id, "inner").join(
-        few(asked.select(query_id, "term", F.col("weight").alias("_asked")), n_asked), [query_id, "term"]
-    )
+    # Postings meet the queries that ask for their case, and then only the terms of those.
+    if n_pairs <= BROADCAST_ROWS:
+        own = index.postings.join(F.broadcast(pairs), "case_id")
+    else:
+        own = lookup_join(index.postings, pairs, "case_id", "term", "inner")
+    own = own.join(few(asked.select(query_id, "term", "idf", "_asked"), n_asked), [query_id, "term"])
+    both = with_weights(own, index)
     # Added up in the order of the terms, whatever the order in which they arrive.
     parts = F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("_asked")).alias("part"))))
     total = F.aggregate(parts, F.lit(0.0), lambda so_far, e: so_far + e["part"])
     return both.groupBy(query_id, "case_id").agg(half_up(total, 6).alias("similarity"))
 
 
-def sparse_topk(
-    queries: DataFrame, index: TermIndex, query_id: str, text: str = "text", k: int = 5, bigrams: bool = False, sublinear: bool = True
-) -> DataFrame:
+def sparse_topk(queries: DataFrame, index: TermIndex, query_id: str, text: str = "text", k: int = 5, bigrams: bool = False) -> DataFrame:
     """``query_id, rank, case_id, similarity``: the exact ``k`` most similar cases that share a term.
 
     Similarity is the cosine of TF-IDF weights, rounded to 6 places; the lower case id breaks ties.
@@ -88,22 +126,26 @@ def sparse_topk(
 
     A query without a known term has no rows. Repeated queries are answered each.
     """
-    counts = term_counts(queries, query_id, text, bigrams)
-    weights = scaled(counts, index.terms, query_id, sublinear).join(index.terms.select("term", "df", "most"), "term")
-    asked, n_asked = cut_and_count(weights.select(query_id, "term", "weight", "df", "most"))
-
-    def of_terms(some: DataFrame, *more: Column | str) -> DataFrame:
-        """Postings of the queries' terms: ``query_id, case_id``; a frequent term is spread."""
-        asking = some.select(query_id, "term", F.col("weight").alias("_asked"), *more)
-        if n_asked <= BROADCAST_ROWS:
-            return index.postings.join(F.broadcast(asking), "term")
-        return lookup_join(index.postings, asking, "term", "case_id", "inner")
+    counts = cut_lineage(term_counts(queries, query_id, text, bigrams))
+    # Queries bring few terms; only those are looked up among all.
+    wanted, n_wanted = cut_and_count(counts.select("term").distinct())
+    known = cut_lineage(index.terms.join(few(wanted, n_wanted), "term", "left_semi"))
+    lengths = lengths_of(counts, known, n_wanted, query_id, index.sublinear)
+    shared = ["term", "idf", "df"]
+    weights = counts.join(few(known.select(*shared), n_wanted), "term").join(lengths, query_id)
+    weights = cut_lineage(weights.select(query_id, *shared, (raw_weight(index.sublinear) / F.col("_length")).alias("_asked")))
+    each = known.select(F.lit(0).alias(query_id), "term", "idf", F.lit(0.0).alias("_asked"))
+    most = postings_of(each, n_wanted, index, query_id).groupBy("term").agg(F.max("weight").alias("most"))
+    asked, n_asked = cut_and_count(weights.join(few(cut_lineage(most), n_wanted), "term"))
+
+    def candidates(some: DataFrame) -> DataFrame:
+        return postings_of(some.select(query_id, "term", "idf", "_asked"), n_asked, index, query_id)
 
     rarest = Window.partitionBy(query_id).orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seeds = asked.withColumn("_before", before).where(F.col("_before") < max(SEED_POSTINGS, k))
-    first = cut_lineage(of_terms(seeds).select(query_id, "case_id").distinct())
-    scored = cut_lineage(pair_scores(first, asked, n_asked, index, query_id))
+    first, n_first = cut_and_count(candidates(seeds).select(query_id, "case_id").distinct())
+    scored = cut_lineage(pair_scores(first, n_first, asked, n_asked, index, query_id))
     ranked = Window.partitionBy(query_id).orderBy(F.desc("similarity"), "case_id")
     to_beat = (
         scored.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == k)
@@ -111,18 +153,18 @@ def sparse_topk(
     )
     # What the terms from the most frequent down to this one can add at most.
     frequent = Window.partitionBy(query_id).orderBy(F.desc("df"), F.desc("term"))
-    bound = F.sum(F.col("weight") * F.col("most")).over(frequent.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    added = F.col("_asked") * F.col("most")
+    bound = F.sum(added).over(frequent.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     judged = asked.withColumn("_bound", bound).join(to_beat, query_id, "left").withColumn("_least", F.coalesce("_least", F.lit(-1.0)))
-    prefix = F.col("_bound") >= F.col("_least") - SLACK
-    marked = cut_lineage(judged.withColumn("_prefix", prefix))
+    marked = cut_lineage(judged.withColumn("_prefix", F.col("_bound") >= F.col("_least") - SLACK))
     rest = marked.groupBy(query_id).agg(
-        F.max("_least").alias("_least"), F.coalesce(F.sum(F.when(~F.col("_prefix"), F.col("weight") * F.col("most"))), F.lit(0.0)).alias("_rest")
+        F.max("_least").alias("_least"), F.coalesce(F.sum(F.when(~F.col("_prefix"), added)), F.lit(0.0)).alias("_rest")
     )
     partial = (
-        of_terms(marked.where("_prefix")).groupBy(query_id, "case_id").agg(F.sum(F.col("weight") * F.col("_asked")).alias("_part"))
-        .join(rest, query_id).where(F.col("_part") + F.col("_rest") >= F.col("_least") - SLACK)
+        candidates(marked.where("_prefix")).groupBy(query_id, "case_id").agg(F.sum(F.col("weight") * F.col("_asked")).alias("_part"))
+        .join(few(rest, n_asked), query_id).where(F.col("_part") + F.col("_rest") >= F.col("_least") - SLACK)
         .select(query_id, "case_id")
     )
-    more = cut_lineage(partial.join(first, [query_id, "case_id"], "left_anti"))
-    every = scored.union(pair_scores(more, asked, n_asked, index, query_id))
+    more, n_more = cut_and_count(partial.join(few(first, n_first), [query_id, "case_id"], "left_anti"))
+    every = scored.union(pair_scores(more, n_more, asked, n_asked, index, query_id))
     return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(query_id, "rank", "case_id", "similarity")
