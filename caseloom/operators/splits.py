@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.constants import SPLIT_RATIOS, SPLIT_SEED
-from caseloom.operators.skew import number_rows
+from caseloom.operators.selection import row_at
+from caseloom.session import cut_and_count
 
 SPLITS = ["train", "val", "test"]
-BUCKET_DIGITS = 4
 
 
 def shuffle_key(key: str, seed: int = SPLIT_SEED) -> Column:
@@ -22,37 +24,16 @@ def random_split(
 ) -> DataFrame:
     """Add ``split`` with exact sizes: rows in the order of a seeded hash, cut at the ratios.
 
-    Two passes over the ids find the last row of each split: the sizes of 65,536 hash
-    buckets, then the rank inside the one or two buckets that hold a cut. Ids hash evenly, so
-    such a bucket is small. The rows themselves are only compared with the two cuts; they
-    are neither sorted nor shuffled.
+    Hashes and ids are written once, and the last row of each split is found among them by
+    narrowing ranges. The rows themselves are only compared with the two cuts; they are
+    neither sorted nor shuffled.
     """
     place_of = F.struct(shuffle_key(key, seed).alias("h"), F.col(key).alias("k"))
-    keyed = df.select(place_of.alias("_o")).withColumn("_bucket", F.substring("_o.h", 1, BUCKET_DIGITS))
-    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # At most 65,536 rows.
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(Window.partitionBy())
-    offsets = sizes.select(
-        "_bucket",
-        "_n",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.floor(total * F.lit(ratios["train"])).alias("_train"),
-        (F.floor(total * F.lit(ratios["train"])) + F.floor(total * F.lit(ratios["val"]))).alias("_val"),
+    keyed, n = cut_and_count(df.select(place_of.alias("_o")).select("_o.h", "_o.k"))
+    n_train, n_val = math.floor(n * ratios["train"]), math.floor(n * ratios["val"])
+    cuts = F.struct(
+        row_at(keyed, ["h", "k"], n_train, n).alias("train"), row_at(keyed, ["h", "k"], n_train + n_val, n).alias("val")
     )
-
-    def holds(cut: str) -> Column:
-        return (F.col("_before") < F.col(cut)) & (F.col(cut) <= F.col("_before") + F.col("_n"))
-
-    cutting = F.broadcast(offsets.where(holds("_train") | holds("_val")))
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_o"))
-    ranked = keyed.join(cutting, "_bucket").withColumn("_place", F.col("_before") + in_bucket)
-    cuts = ranked.agg(
-        F.struct(
-            F.max(F.when(F.col("_place") <= F.col("_train"), F.col("_o"))).alias("train"),
-            F.max(F.when(F.col("_place") <= F.col("_val"), F.col("_o"))).alias("val"),
-        ).alias("c")
-    ).scalar()
     split = F.when(place_of <= F.col("_cuts.train"), F.lit("train")).when(
         place_of <= F.col("_cuts.val"), F.lit("val")
     )
@@ -76,14 +57,13 @@ def temporal_split(
 ) -> DataFrame:
     """Add ``is_temporal_test``: the latest part of all rows, unreadable times first.
 
-    Only ids and times are sorted, to find the last earlier row; the rows are then compared
-    with it. Many rows with one time are split over tasks by their ids.
+    Ids and times are written once, and the last earlier row is found among them by narrowing
+    ranges, of times and then of ids; the rows are then compared with it. Nothing is sorted,
+    however many rows have one time.
     """
     moment = F.struct(time.alias("t"), F.col(key).alias("k"))
-    keyed = df.select(moment.alias("_m")).select("_m.t", "_m.k")
-    placed = number_rows(keyed, [F.asc_nulls_first("t"), F.col("k")])
-    n = placed.agg(F.floor(F.count("*") * F.lit(1.0 - test_ratio)).alias("n")).scalar()
-    last = placed.where(F.col("position") == n).agg(F.max(F.struct("t", "k")).alias("m")).scalar()
+    keyed, n = cut_and_count(df.select(moment.alias("_m")).select("_m.t", "_m.k"))
+    last = row_at(keyed, ["t", "k"], math.floor(n * (1.0 - test_ratio)), n)
     flagged = df.withColumn("_last", last)
     late = F.coalesce(moment > F.col("_last"), F.lit(True))
     return flagged.withColumn("is_temporal_test", late).drop("_last")
