@@ -18,6 +18,7 @@ from caseloom.functions.vectors import dot, softmax, unit
 from caseloom.operators.intents import Rules
 from caseloom.operators.lsa import LsaModel, fit_lsa
 from caseloom.operators.tfidf import TfidfModel, fit_tfidf
+from caseloom.session import cut_lineage
 
 PREDICTION = ["predicted_intent", "raw_intent", "confidence", "is_uncertain", "all_probabilities"]
 
@@ -220,18 +221,20 @@ def fit_intent_model(
         )
     else:
         features = fit_tfidf(train, key, text, max_features=max_features or 30_000)
+    # Equal rows count as one with their number as a factor of the weight, in each of many passes.
+    copies = cut_lineage(train.groupBy(text, label).agg(F.count("*").alias("_copies")))
     indexer = StringIndexer(
         inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"
-    ).fit(train)
-    counts = train.groupBy(label).agg(F.count("*").alias("n"))
-    n_rows = train.count()
+    ).fit(copies)
+    counts = copies.groupBy(label).agg(F.sum("_copies").alias("n"))
+    n_rows = copies.agg(F.sum("_copies")).head()[0]
     class_weights = counts.select(
         label, (F.lit(float(n_rows)) / (F.lit(float(len(indexer.labels))) * F.col("n"))).alias("weight")
     )
     shell = IntentModel(features, None, list(indexer.labels), threshold)
-    rows = shell._featurise(indexer.transform(train), key, text).join(
+    rows = shell._featurise(indexer.transform(copies), text, text).join(
         F.broadcast(class_weights), label
-    )
+    ).withColumn("weight", F.col("weight") * F.col("_copies"))
     rows = rows.select("features", "label_index", "weight").persist()
     try:
         regression = LogisticRegression(

@@ -2,47 +2,295 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators.tfidf import TfidfModel, fit_tfidf
-from caseloom.session import cut_lineage
+from caseloom.session import checkpoint_dir, cut_lineage
+
+# Rows of a matrix with a row per term are written in blocks of so many.
+BLOCK_TERMS = 512
+BLOCKS = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
+BLOCKS_DDL = "block int, rows binary"
+# Terms whose rows are multiplied at a time.
+CHUNK = 8192
+# Directions that are weaker than the strongest by this factor are rounding errors.
+NOTHING = 1e-10
+
+
+@dataclass
+class Basis:
+    """A matrix with a row per term, which tasks read and the driver never holds.
+
+    ``path`` is a table (block, rows) of blocks of float64 rows with ``width`` columns, in a folder that all
+    executors share; a block of zeros may be missing. The matrix is these rows, times ``turn`` if there is
+    one; that has a row and a column per component at most.
+    """
+
+    path: str
+    n_terms: int
+    width: int
+    turn: np.ndarray | None = None
+
+    def loader(self) -> Callable[[], np.ndarray]:
+        """Reads the matrix; to be called in a task."""
+        path, n_terms, width, turn = self.path, self.n_terms, self.width, self.turn
+        return lambda: read_matrix(path, n_terms, width, turn)
+
+
+def folder_of(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
+
+
+def read_matrix(path: str, n_terms: int, width: int, turn: np.ndarray | None) -> np.ndarray:
+    system, root = folder_of(path)
+    matrix = np.zeros((n_terms, width if turn is None else turn.shape[1]))
+    for batch in dataset.dataset(root, BLOCKS, format="parquet", filesystem=system).to_batches(batch_size=16):
+        for block, rows in zip(batch["block"].to_pylist(), batch["rows"]):
+            part = np.frombuffer(rows.as_buffer(), dtype=float).reshape(-1, width)
+            matrix[block * BLOCK_TERMS : block * BLOCK_TERMS + len(part)] = part if turn is None else part @ turn
+    return matrix
+
+
+def block_batch(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, schema=BLOCKS)
+
+
+def row_groups(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Slices of rows, and of their terms, with about ``CHUNK`` terms each; rows are not empty."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    first = 0
+    while first < len(lengths):
+        last = max(int(np.searchsorted(ends, ends[first] + CHUNK, "right")) - 1, first + 1)
+        yield slice(first, last), slice(ends[first], ends[last])
+        first = last
+
+
+def rows_times(indices: np.ndarray, values: np.ndarray, lengths: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows times ``matrix``. One row with more than ``CHUNK`` terms is taken in pieces."""
+    if len(lengths) == 1:
+        pieces = range(0, len(indices), CHUNK)
+        return sum(values[p : p + CHUNK] @ matrix[indices[p : p + CHUNK]] for p in pieces)[None, :]
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    return np.add.reduceat(values[:, None] * matrix[indices], starts, axis=0)
+
+
+def add_transposed(
+    indices: np.ndarray, values: np.ndarray, lengths: np.ndarray, products: np.ndarray, total: np.ndarray
+) -> None:
+    """Add the transposed sparse rows times ``products`` to ``total``."""
+    row_of = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.argsort(indices, kind="stable")
+    for p in range(0, len(order), CHUNK):
+        some = order[p : p + CHUNK]
+        terms, starts = np.unique(indices[some], return_index=True)
+        total[terms] += np.add.reduceat(values[some, None] * products[row_of[some]], starts, axis=0)
+
+
+def sparse_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Indices, values, lengths and number of copies of the rows of a batch that have terms."""
+    lengths = batch["indices"].value_lengths().to_numpy(zero_copy_only=False)
+    some = lengths > 0
+    copies = batch["n"].to_numpy(zero_copy_only=False).astype(float)
+    flat = [batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("indices", "values")]
+    return *flat, lengths[some], copies[some]
+
+
+def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    blocks.write.mode("overwrite").parquet(path)
+    return blocks.sparkSession.read.schema(BLOCKS_DDL).parquet(path)
+
+
+def drop_blocks(path: str) -> None:
+    system, root = folder_of(path)
+    system.delete_dir(root)
+
+
+def _gram_times(features: DataFrame, load: Callable[[], np.ndarray], n_terms: int, path: str) -> DataFrame:
+    """``X' X matrix`` for the rows ``(indices, values, n)`` of X, in one pass, as blocks at ``path``.
+
+    A task adds up all its rows and passes on the blocks it met; those are summed per block.
+    """
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = load()
+        total = np.zeros_like(matrix)
+        for batch in batches:
+            indices, values, lengths, copies = sparse_rows(batch)
+            for rows, terms in row_groups(lengths):
+                group = indices[terms], values[terms], lengths[rows]
+                products = rows_times(*group, matrix) * copies[rows, None]
+                add_transposed(*group, products, total)
+        for block in range(-(-n_terms // BLOCK_TERMS)):
+            part = total[block * BLOCK_TERMS : (block + 1) * BLOCK_TERMS]
+            if part.any():
+                yield block_batch({block: part})
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, rows in zip(batch["block"].to_pylist(), batch["rows"]):
+                part = np.frombuffer(rows.as_buffer(), dtype=float)
+                sums[block] = sums[block] + part if block in sums else part.copy()
+        for block, part in sums.items():
+            yield block_batch({block: part})
+
+    parts = features.mapInArrow(add_up, BLOCKS_DDL)
+    n = min(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_terms // BLOCK_TERMS))
+    return write_blocks(parts.repartition(max(n, 1), "block").mapInArrow(combine, BLOCKS_DDL), path)
+
+
+def _times(turn: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Multiplies blocks by ``turn``."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch["block"].to_pylist(), batch["rows"]):
+                yield block_batch({block: np.frombuffer(rows.as_buffer(), dtype=float).reshape(-1, len(turn)) @ turn})
+
+    return multiply
+
+
+def _folded(pieces: DataFrame, width: int, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """All matrices of ``pieces`` (rows) joined to one of ``width`` columns and as many rows at most.
+
+    They are joined in a tree: in each task, then in a few, then in one.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, width))
+        for batch in batches:
+            for rows in batch["rows"]:
+                kept = join(kept, np.frombuffer(rows.as_buffer(), dtype=float).reshape(-1, width))
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([kept.tobytes()], pa.binary())})
+
+    few = int(pieces.sparkSession.sparkContext.defaultParallelism**0.5)
+    for n in (few, 1):
+        pieces = pieces.mapInArrow(fold, "rows binary").repartition(n)
+    return np.frombuffer(pieces.mapInArrow(fold, "rows binary").head()["rows"], dtype=float).reshape(-1, width)
+
+
+def _stack(above: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(np.vstack([above, below]), mode="r")
+
+
+def _add(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left + right if len(left) else right
+
+
+def _orthonormal(blocks: DataFrame, width: int) -> np.ndarray:
+    """``turn`` that makes the columns of ``blocks`` orthonormal; fewer if they depend on each other.
+
+    Tall-skinny QR: each block is reduced to its triangle, and triangles are stacked and reduced again. What
+    the first pass leaves by rounding, the second takes away.
+    """
+    turn = np.eye(width)
+    for _ in range(2):
+        if turn.shape[1]:
+            triangle = _folded(blocks.mapInArrow(_times(turn), BLOCKS_DDL).select("rows"), turn.shape[1], _stack)
+            strengths, axes = np.linalg.svd(triangle, full_matrices=False)[1:]
+            some = strengths > strengths.max(initial=0.0) * NOTHING
+            turn = turn @ (axes[some].T / strengths[some])
+    return turn
+
+
+def singular_basis(
+    features: DataFrame, n_terms: int, components: int, rounds: int = 5, extra: int = 10, seed: int = 42
+) -> Basis:
+    """Leading right singular vectors of the rows ``(indices, values, n)``, by randomised subspace iteration.
+
+    ``n`` is the number of copies of a row. It takes ``rounds + 1`` passes over the data whatever the
+    number of components, where a Lanczos solver needs a pass per vector and more. A task adds up
+    terms x components numbers, and there are as many tasks as cores, so that not more than one such
+    sum per core is shuffled. Only tables of components x components reach the driver.
+    """
+    spark = features.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/lsa-{uuid.uuid4().hex}"
+    width = min(components + extra, n_terms)
+    if width == 0:
+        write_blocks(spark.createDataFrame([], BLOCKS_DDL), folder)
+        return Basis(folder, n_terms, 0)
+    rows = features.coalesce(spark.sparkContext.defaultParallelism)
+    load = lambda: np.random.default_rng(seed).standard_normal((n_terms, width))
+    basis, blocks = None, None
+    for k in range(rounds):
+        columns = basis.turn.shape[1] if basis else width
+        blocks = _gram_times(rows, load, n_terms, f"{folder}/{k}")
+        if basis:
+            drop_blocks(basis.path)
+        basis = Basis(f"{folder}/{k}", n_terms, columns, _orthonormal(blocks, columns))
+        load = basis.loader()
+    columns = basis.turn.shape[1]
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = load()
+        total = np.zeros((columns, columns))
+        for batch in batches:
+            indices, values, lengths, copies = sparse_rows(batch)
+            for some, terms in row_groups(lengths):
+                products = rows_times(indices[terms], values[terms], lengths[some], matrix)
+                total += products.T @ (products * copies[some, None])
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([total.tobytes()], pa.binary())})
+
+    best = np.zeros((0, 0))
+    if columns:
+        values, turn = np.linalg.eigh(_folded(rows.mapInArrow(squares, "rows binary"), columns, _add))
+        order = np.argsort(values)[::-1][:components]
+        best = turn[:, order[values[order] > max(values.max(), 0.0) * 1e-9]]
+    write_blocks(blocks.mapInArrow(_times(basis.turn @ best), BLOCKS_DDL), f"{folder}/vectors")
+    drop_blocks(basis.path)
+    return Basis(f"{folder}/vectors", n_terms, best.shape[1])
+
+
+def singular_vectors(features: DataFrame, n_terms: int, components: int, **settings: int) -> np.ndarray:
+    """:func:`singular_basis` as one array, where that fits the caller."""
+    counted = features if "n" in features.columns else features.withColumn("n", F.lit(1))
+    return singular_basis(counted, n_terms, components, **settings).loader()()
 
 
 @dataclass
 class LsaModel:
     """TF-IDF vocabulary and the right singular vectors (terms x components).
 
-    Both are bounded by ``max_features`` x ``components``, so they fit every executor.
+    Both are bounded by ``max_features`` x ``components``, so they fit every task.
     """
 
     tfidf: TfidfModel
-    components: np.ndarray
+    basis: Basis
 
     def embed(
         self, docs: DataFrame, key: str, text: str = "text", normalise: bool = True
     ) -> DataFrame:
-        """Add ``embedding`` (array of float) and ``n_known_terms``."""
-        shared = docs.sparkSession.sparkContext.broadcast(self.components)
+        """Add ``embedding`` (array of float) and ``n_known_terms``.
+
+        A task reads the vectors from the shared folder once; nothing is broadcast.
+        """
+        load = self.basis.loader()
 
         @F.pandas_udf("array<float>")
-        def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-            matrix = shared.value
-            out = []
-            for i, v in zip(indices, values):
-                row = np.asarray(v, dtype=float) @ matrix[np.asarray(i, dtype=int)]
+        def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            matrix = load()
+            for indices, values in batches:
+                lengths = indices.map(len).to_numpy()
+                some = np.flatnonzero(lengths)
+                out = np.zeros((len(lengths), matrix.shape[1]))
+                if len(some):
+                    flat = np.concatenate(indices.to_numpy()).astype(int), np.concatenate(values.to_numpy())
+                    for rows, terms in row_groups(lengths[some]):
+                        out[some[rows]] = rows_times(flat[0][terms], flat[1][terms], lengths[some[rows]], matrix)
                 if normalise:
-                    length = np.linalg.norm(row)
-                    row = row / (length if length > 0 else 1e-10)
-                out.append(row.astype(np.float32))
-            return pd.Series(out)
+                    sizes = np.linalg.norm(out, axis=1, keepdims=True)
+                    out /= np.where(sizes > 0, sizes, 1e-10)
+                yield pd.Series(list(out.astype(np.float32)))
 
         return (
             self.tfidf.transform(docs, key, text)
@@ -52,63 +300,17 @@ class LsaModel:
 
     def save(self, path: str, spark: SparkSession) -> None:
         self.tfidf.save(f"{path}/terms")
-        rows = [(i, [float(x) for x in row]) for i, row in enumerate(self.components)]
-        spark.createDataFrame(rows, "term_index INT, row ARRAY<DOUBLE>").write.mode("overwrite").parquet(
-            f"{path}/components"
-        )
+        write_blocks(spark.read.schema(BLOCKS_DDL).parquet(self.basis.path), f"{path}/components")
+        shape = spark.createDataFrame([(self.basis.n_terms, self.basis.width)], "n_terms INT, width INT")
+        shape.write.mode("overwrite").parquet(f"{path}/shape")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LsaModel:
-        rows = spark.read.parquet(f"{path}/components").orderBy("term_index").collect()
-        return cls(TfidfModel.load(spark, f"{path}/terms"), np.array([r["row"] for r in rows]))
-
-
-def _gram_times(features: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """``X' X basis`` for the rows ``(indices, values)`` of X, in one pass.
-
-    A task adds up its rows and passes on the terms it met; Spark sums them per term. The
-    result has ``max_features`` rows, which is what bounds it.
-    """
-    context = features.sparkSession.sparkContext
-    shared = context.broadcast(basis)
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        total = np.zeros_like(q)
-        for batch in batches:
-            for i, v in zip(batch["indices"], batch["values"]):
-                i, v = np.asarray(i, dtype=int), np.asarray(v, dtype=float)
-                total[i] += np.outer(v, v @ q[i])
-        met = np.flatnonzero(total.any(axis=1))
-        if len(met):
-            yield pd.DataFrame({"term_index": met.astype(np.int32), "part": list(total[met])})
-
-    parts = features.select("indices", "values").mapInPandas(add_up, "term_index int, part array<double>")
-    sums = parts.groupBy("term_index").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
-    rows = sums.select("term_index", vector_to_array("s").alias("s")).toArrow().to_pandas()
-    shared.unpersist()
-    out = np.zeros_like(basis)
-    if len(rows):
-        out[rows["term_index"].to_numpy()] = np.vstack(rows["s"])
-    return out
-
-
-def singular_vectors(
-    features: DataFrame, n_terms: int, components: int, rounds: int = 5, extra: int = 10, seed: int = 42
-) -> np.ndarray:
-    """Leading right singular vectors by randomised subspace iteration.
-
-    It takes ``rounds + 1`` passes over the data whatever the number of components, where a
-    Lanczos solver needs a pass per vector and more.
-    """
-    width = min(components + extra, n_terms)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
-    for _ in range(rounds):
-        basis = np.linalg.qr(_gram_times(features, basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ _gram_times(features, basis))
-    best = np.argsort(values)[::-1][:components]
-    best = best[values[best] > max(values.max(), 0.0) * 1e-9]
-    return basis @ turn[:, best]
+        shape = spark.read.parquet(f"{path}/shape").head()
+        # The full address of the folder, whatever the default file system is.
+        files = spark.read.schema(BLOCKS_DDL).parquet(f"{path}/components").inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else f"{path}/components"
+        return cls(TfidfModel.load(spark, f"{path}/terms"), Basis(folder, shape["n_terms"], shape["width"]))
 
 
 def fit_lsa(
@@ -119,8 +321,9 @@ def fit_lsa(
     min_df: int = 2,
     max_features: int = 35_000,
 ) -> LsaModel:
-    """Fit on the uncentred TF-IDF matrix."""
+    """Fit on the uncentred TF-IDF matrix. Equal texts are taken as one row with their number."""
     tfidf = fit_tfidf(docs, key, text, min_df, max_features)
+    copies = docs.groupBy(F.coalesce(F.col(text), F.lit("")).alias(text)).agg(F.count("*").alias("n"))
     # Written down once, since every pass reads it.
-    features = cut_lineage(tfidf.transform(docs.select(key, text), key, text).select("indices", "values"))
-    return LsaModel(tfidf, singular_vectors(features, tfidf.size, components))
+    features = cut_lineage(tfidf.transform(copies, text, text).select("indices", "values", "n"))
+    return LsaModel(tfidf, singular_basis(features, tfidf.size, components))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from caseloom.operators import lsa
 from caseloom.operators.classifiers import IntentModel, fit_intent_model
 from caseloom.operators.lsa import LsaModel, fit_lsa, singular_vectors
 from caseloom.operators.tfidf import fit_tfidf
@@ -65,3 +66,46 @@ def test_regression_learns_and_survives_storage(spark, docs, tmp_path, embedding
         assert set(r["all_probabilities"]) == {"A", "B", "C"}
         assert abs(sum(r["all_probabilities"].values()) - 1) < 0.001
         assert r["confidence"] == max(r["all_probabilities"].values())
+
+
+def test_sparse_products_in_pieces(monkeypatch):
+    """Rows over the size of a group, and groups of several rows, beside a dense product."""
+    monkeypatch.setattr(lsa, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    lengths = np.array([3, 1, 20, 2, 2, 2, 5, 7, 1])
+    indices = np.concatenate([rng.choice(40, n, replace=False) for n in lengths])
+    values, matrix = rng.standard_normal(len(indices)), rng.standard_normal((40, 4))
+    dense = np.zeros((len(lengths), 40))
+    dense[np.repeat(np.arange(len(lengths)), lengths), indices] = values
+    total, products, seen = np.zeros_like(matrix), [], []
+    for rows, terms in lsa.row_groups(lengths):
+        group = indices[terms], values[terms], lengths[rows]
+        products.append(lsa.rows_times(*group, matrix))
+        lsa.add_transposed(*group, products[-1], total)
+        seen.append(rows.stop - rows.start)
+    assert sum(seen) == len(lengths) and max(seen) > 1
+    assert np.allclose(np.vstack(products), dense @ matrix)
+    assert np.allclose(total, dense.T @ dense @ matrix)
+
+
+def test_basis_of_several_blocks_counts_copies(spark):
+    """More terms than a block has, rows with copies, an empty row, fewer directions than asked for."""
+    rng = np.random.default_rng(4)
+    n_terms, rows = lsa.BLOCK_TERMS * 2 + 9, []
+    for k in range(24):
+        indices = sorted(int(i) for i in rng.choice(n_terms, 60, replace=False))
+        rows.append((indices, [float(x) for x in rng.standard_normal(60)], k % 5 + 1))
+    rows.append(([], [], 3))
+    dense = np.zeros((len(rows), n_terms))
+    for k, (indices, values, n) in enumerate(rows):
+        dense[k, indices] = np.array(values) * np.sqrt(n)
+    features = spark.createDataFrame(rows, "indices array<int>, values array<double>, n bigint")
+    few = singular_vectors(features, n_terms, 6, rounds=12)
+    expected = np.linalg.svd(dense)[2]
+    assert np.allclose(few.T @ few, np.eye(6), atol=1e-9)
+    assert np.allclose(np.linalg.svd(few.T @ expected[:6].T)[1], 1.0, atol=1e-3)
+    every = singular_vectors(features, n_terms, 50)
+    assert every.shape == (n_terms, 24)
+    assert np.allclose(np.linalg.svd(every.T @ expected[:24].T)[1], 1.0, atol=1e-6)
+    assert singular_vectors(features.limit(0), n_terms, 5).shape == (n_terms, 0)
+    assert singular_vectors(features.limit(0), 0, 5).shape == (0, 0)
