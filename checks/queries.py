@@ -350,7 +350,7 @@ def _fitted_metrics(spark, d, embedding):
     rows = cut_lineage(_message_split(spark, d))
     train = rows.where(F.col("split") == "train")
     model = classifiers.fit_intent_model(
-        train, "message_id", "message", "intent", embedding=embedding, components=24, max_iter=50
+        train, "message_id", "message", "intent", embedding=embedding
     )
     scored = model.predict(rows.where(F.col("split") == "test"), "message_id", "message")
     return metrics.evaluate(scored, "intent", "predicted_intent")
@@ -780,7 +780,7 @@ def plan_prepare(spark, d):
 def _plan(spark, d):
     convs = intents.label_intents(conversations(spark, d))
     split = cut_lineage(splits.random_split(convs, "conversation_id"))
-    index = build_case_index(split.where(F.col("split") == "train"), components=32)
+    index = build_case_index(split.where(F.col("split") == "train"))
     plan = DecisionPlan(lambda df: classifiers.predict_by_rules(df, "message"), index)
     return plan, split
 
