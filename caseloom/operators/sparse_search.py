@@ -53,15 +53,25 @@ def raw_weight(sublinear: bool) -> Column:
 
 
 def lengths_of(counts: DataFrame, idf: DataFrame, n_terms: int, key: str, sublinear: bool) -> DataFrame:
-    """``key, _length`` of the counted terms in ``idf`` (term, idf).
+    """``key, _length`` of the counted terms in ``idf`` (term, df, idf).
 
-    A term that most documents have is added up in the tasks that hold them, before rows meet by ``key``.
+    A long vocabulary is looked up in two parts. The ``BROADCAST_ROWS`` most frequent terms, which make up
+    most postings, are sent to all tasks and added up there before rows meet by ``key``. Only postings of
+    the other terms are shuffled by term; none of those is frequent.
     """
-    weights = lookup_join(counts, idf.select("term", "idf"), "term", key, "inner") if n_terms > BROADCAST_ROWS else counts.join(
-        F.broadcast(idf.select("term", "idf")), "term"
-    )
+    idf = idf.select("term", "df", "idf")
     raw = raw_weight(sublinear)
-    return weights.groupBy(key).agg(F.sqrt(F.sum(raw * raw)).alias("_length"))
+    square = F.sum(raw * raw)
+    if n_terms <= BROADCAST_ROWS:
+        squares = counts.join(F.broadcast(idf), "term").groupBy(key).agg(square.alias("_square"))
+    else:
+        frequent = cut_lineage(idf.orderBy(F.desc("df"), "term").limit(BROADCAST_ROWS))
+        rare = idf.join(F.broadcast(frequent), "term", "left_anti")
+        unseen = counts.join(F.broadcast(frequent.select("term")), "term", "left_anti")
+        parts = [counts.join(F.broadcast(frequent), "term"), unseen.join(rare, "term")]
+        added = [part.groupBy(key).agg(square.alias("_square")) for part in parts]
+        squares = added[0].unionByName(added[1])
+    return squares.groupBy(key).agg(F.sqrt(F.sum("_square")).alias("_length"))
 
 
 def build_term_index(

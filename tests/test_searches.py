@@ -119,9 +119,11 @@ def plain_sparse(docs, queries, k, min_df=2):
     return sorted((q, rank, d, -s) for q, found in result.items() for rank, (s, d) in enumerate(sorted(found)[:k], 1))
 
 
-@pytest.mark.parametrize("seeds", [1, 30, 10_000])
-def test_sparse_search(spark, seeds, monkeypatch):
+@pytest.mark.parametrize("seeds, sent", [(1, 200_000), (30, 200_000), (10_000, 200_000), (30, 20)])
+def test_sparse_search(spark, seeds, sent, monkeypatch):
     monkeypatch.setattr(sparse_search, "SEED_POSTINGS", seeds)
+    # The last case shuffles whatever may grow, and looks the vocabulary up in two parts.
+    monkeypatch.setattr(sparse_search, "BROADCAST_ROWS", sent)
     pick = random.Random(8)
     vocabulary = [f"word{k}" for k in range(300)]
     text = lambda n: " ".join(vocabulary[min(int(pick.expovariate(0.02)), 299)] for _ in range(n))
