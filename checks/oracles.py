@@ -642,6 +642,12 @@ ORACLES = {
     "cosine_neighbour_turns": f"""WITH p AS (SELECT a.conv_id * 100 + a.turn AS turn_id, a.text AS a, b.text AS b FROM conversations a
         JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), {pair_views('p', 'turn_id', 'a', 'b')}
         SELECT p.turn_id, similarity FROM p LEFT JOIN sims USING (turn_id)""",
+    # A known text has a vector of length 1, whatever its direction.
+    "lsa_embedding": f"""WITH d AS (SELECT doc_id::VARCHAR AS conversation_id, text, coalesce(lang, {q(OTHER)}) AS intent FROM documents
+        WHERE trim(text) <> '' AND trim(source) <> ''), {tfidf_views('d', 'conversation_id', 'text', True, 35000)},
+        known AS (SELECT conversation_id, count(*) AS n FROM counts JOIN vocab USING (term) GROUP BY 1)
+        SELECT conversation_id, intent, coalesce(n, 0)::INT AS n_known_terms, CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END AS length
+        FROM d LEFT JOIN known USING (conversation_id)""",
     "dense_unit": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, generate_subscripts(e, 1) - 1 AS pos,
         {half('unnest(e) / sqrt(list_inner_product(e, e))', 6)} AS value FROM v""",
     "cls_majority": messages(f"""SELECT message_id, predicted_intent, {half('share', 6)} AS confidence, false AS is_uncertain

@@ -282,7 +282,7 @@ def _corpus(spark, d):
 
 def lsa_embedding(spark, d):
     index = build_case_index(_corpus(spark, d))
-    return index.cases.select("conversation_id", "intent", "n_known_terms", norm(F.col("embedding")).alias("length"))
+    return index.cases.select("conversation_id", "intent", "n_known_terms", half_up(norm(F.col("embedding")), 4).alias("length"))
 
 
 def case_index_search(spark, d):
