@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,7 +19,7 @@ from caseloom.functions.vectors import dot, softmax, unit
 from caseloom.operators.intents import Rules
 from caseloom.operators.lsa import LsaModel, fit_lsa
 from caseloom.operators.tfidf import TfidfModel, fit_tfidf
-from caseloom.session import cut_lineage
+from caseloom.session import cut_lineage, small_table
 
 PREDICTION = ["predicted_intent", "raw_intent", "confidence", "is_uncertain", "all_probabilities"]
 
@@ -66,6 +67,46 @@ def predict_majority(train: DataFrame, df: DataFrame, label: str = "intent") ->
     ).drop("_m")
 
 
+@dataclass
+class MajorityModel:
+    """The most frequent training label, its share and all labels."""
+
+    label: str
+    share: float
+    labels: list[str]
+
+    def predict(self, df: DataFrame, key: str, text: str = "customer_message") -> DataFrame:
+        entries = [F.lit(x) for name in self.labels for x in (name, 1.0 if name == self.label else 0.0)]
+        return df.withColumns(
+            {
+                "predicted_intent": F.lit(self.label),
+                "raw_intent": F.lit(self.label),
+                "confidence": F.lit(self.share),
+                "is_uncertain": F.lit(False),
+                "all_probabilities": F.create_map(*entries),
+            }
+        )
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        small_table(spark, [(self.label, self.share, self.labels)], self.DDL).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> MajorityModel:
+        return cls(**spark.read.schema(cls.DDL).json(path).head().asDict())
+
+
+MajorityModel.DDL = "label STRING, share DOUBLE, labels ARRAY<STRING>"
+
+
+def fit_majority(train: DataFrame, label: str = "intent") -> MajorityModel:
+    """Of labels with one count the first in order wins. The number of labels bounds what is gathered."""
+    counts = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()
+    if not counts:
+        raise ValueError("no labelled rows to learn from")
+    best = min(counts, key=lambda r: (-r["n"], r[label]))
+    return MajorityModel(best[label], best["n"] / sum(r["n"] for r in counts), sorted(r[label] for r in counts))
+
+
 # --- rules ----------------------------------------------------------------------------------
 
 
@@ -104,12 +145,41 @@ def predict_by_rules(
     ).drop("_hits", "_total", "_top", "_folded")
 
 
+@dataclass
+class RulesModel:
+    """Patterns by intent, in the order in which ties are broken; nothing is learned."""
+
+    rules: Rules
+    threshold: float = 0.30
+
+    def predict(self, df: DataFrame, key: str, text: str = "customer_message") -> DataFrame:
+        return predict_by_rules(df, text, self.rules, self.threshold)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        rules = [(name, list(patterns)) for name, patterns in self.rules.items()]
+        small_table(spark, [(rules, self.threshold)], self.DDL).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RulesModel:
+        stored = spark.read.schema(cls.DDL).json(path).head()
+        return cls({r["name"]: r["patterns"] for r in stored["rules"]}, stored["threshold"])
+
+
+RulesModel.DDL = "rules ARRAY<STRUCT<name: STRING, patterns: ARRAY<STRING>>>, threshold DOUBLE"
+
+
 # --- nearest centroid -----------------------------------------------------------------------
 
 
-def class_centroids(train: DataFrame, label: str = "intent", vector: str = "embedding") -> DataFrame:
-    """``(label, centroid)``: mean of the unit vectors of each class, scaled to length 1."""
-    mean = Summarizer.mean(array_to_vector(unit(F.col(vector))))
+def class_centroids(
+    train: DataFrame, label: str = "intent", vector: str = "embedding", copies: str | None = None
+) -> DataFrame:
+    """``(label, centroid)``: mean of the unit vectors of each class, scaled to length 1.
+
+    A row counts ``copies`` times, if that column is given.
+    """
+    times = F.col(copies).cast("double") if copies else None
+    mean = Summarizer.mean(array_to_vector(unit(F.col(vector))), times)
     means = train.groupBy(label).agg(vector_to_array(mean).alias("mean"))
     return means.select(F.col(label).alias("label"), unit(F.col("mean")).alias("centroid"))
 
@@ -125,6 +195,11 @@ def predict_by_centroid(
     classes = centroids.agg(
         F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("label"), "centroid"))).alias("c")
     ).scalar()
+    return _nearest_class(df, classes, vector, threshold, temperature)
+
+
+def _nearest_class(df: DataFrame, classes: Column, vector: str, threshold: float, temperature: float) -> DataFrame:
+    """``classes`` is an array of ``(label, centroid)`` in the order in which ties are broken."""
     scored = (
         df.withColumn("_c", classes)
         .withColumn("_u", unit(F.col(vector)))
@@ -143,6 +218,59 @@ def predict_by_centroid(
     )
 
 
+@dataclass
+class CentroidModel:
+    """Embedding of texts and the centroid of each class, classes x components numbers."""
+
+    features: LsaModel
+    centroids: list[tuple[str, list[float]]]
+    threshold: float = 0.35
+    temperature: float = 5.0
+
+    def predict(self, df: DataFrame, key: str, text: str = "customer_message") -> DataFrame:
+        rows = [{"label": name, "centroid": centre} for name, centre in self.centroids]
+        # A constant of the plan: no job gathers the classes again.
+        classes = F.from_json(F.lit(json.dumps(rows)), self.DDL)
+        embedded = self.features.embed(df, key, text)
+        return _nearest_class(embedded, classes, "embedding", self.threshold, self.temperature).drop("embedding")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.features.save(f"{path}/features", spark)
+        settings = [(self.centroids, self.threshold, self.temperature)]
+        small_table(spark, settings, self.SETTINGS).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CentroidModel:
+        stored = spark.read.schema(cls.SETTINGS).parquet(f"{path}/settings").head()
+        centroids = [(r["label"], list(r["centroid"])) for r in stored["classes"]]
+        return cls(LsaModel.load(spark, f"{path}/features"), centroids, stored["threshold"], stored["temperature"])
+
+
+CentroidModel.DDL = "ARRAY<STRUCT<label: STRING, centroid: ARRAY<DOUBLE>>>"
+CentroidModel.SETTINGS = f"classes {CentroidModel.DDL}, threshold DOUBLE, temperature DOUBLE"
+
+
+def fit_centroid_model(
+    train: DataFrame,
+    key: str,
+    text: str = "customer_message",
+    label: str = "intent",
+    components: int = 250,
+    max_features: int = 25_000,
+    threshold: float = 0.35,
+    tfidf: TfidfModel | None = None,
+) -> CentroidModel:
+    """Nearest centroid over embedded texts. Equal texts of one label are embedded once."""
+    train = train.where(F.col(label).isNotNull())
+    features = fit_lsa(train, key, text, components, max_features=max_features, tfidf=tfidf)
+    copies = train.groupBy(text, label).agg(F.count("*").alias("_copies"))
+    centroids = class_centroids(features.embed(copies, text, text), label, copies="_copies").collect()
+    if not centroids:
+        raise ValueError("no labelled rows to learn from")
+    classes = sorted((r["label"], list(r["centroid"])) for r in centroids)
+    return CentroidModel(features, classes, threshold)
+
+
 # --- logistic regression ----------------------------------------------------------------------
 
 
@@ -209,18 +337,21 @@ def fit_intent_model(
     max_features: int | None = None,
     max_iter: int = 1000,
     threshold: float = 0.40,
+    tfidf: TfidfModel | None = None,
 ) -> IntentModel:
     """Fit with balanced class weights, which add up to the number of rows.
 
+    A vocabulary that was counted before can be given as ``tfidf``.
+
     The number of classes is bounded by the model itself (it keeps one coefficient row per
     class), so the table of class weights may be broadcast.
     """
     if embedding:
         features: TfidfModel | LsaModel = fit_lsa(
-            train, key, text, components, max_features=max_features or 35_000
+            train, key, text, components, max_features=max_features or 35_000, tfidf=tfidf
         )
     else:
-        features = fit_tfidf(train, key, text, max_features=max_features or 30_000)
+        features = tfidf or fit_tfidf(train, key, text, max_features=max_features or 30_000)
     # Equal rows count as one with their number as a factor of the weight, in each of many passes.
     copies = cut_lineage(train.groupBy(text, label).agg(F.count("*").alias("_copies")))
     indexer = StringIndexer(

@@ -320,9 +320,13 @@ def fit_lsa(
     components: int = 300,
     min_df: int = 2,
     max_features: int = 35_000,
+    tfidf: TfidfModel | None = None,
 ) -> LsaModel:
-    """Fit on the uncentred TF-IDF matrix. Equal texts are taken as one row with their number."""
-    tfidf = fit_tfidf(docs, key, text, min_df, max_features)
+    """Fit on the uncentred TF-IDF matrix. Equal texts are taken as one row with their number.
+
+    A vocabulary that was counted before can be given as ``tfidf``.
+    """
+    tfidf = tfidf or fit_tfidf(docs, key, text, min_df, max_features)
     copies = docs.groupBy(F.coalesce(F.col(text), F.lit("")).alias(text)).agg(F.count("*").alias("n"))
     # Written down once, since every pass reads it.
     features = cut_lineage(tfidf.transform(copies, text, text).select("indices", "values", "n"))

@@ -127,6 +127,12 @@ class TfidfModel:
             "features", _sparse(F.lit(self.size), "indices", "values")
         )
 
+    def most_frequent(self, max_features: int) -> TfidfModel:
+        """The model that a smaller ``max_features`` gives, without counting the texts again."""
+        if max_features >= self.size:
+            return self
+        return TfidfModel(*_numbered(self.terms.drop("term_index"), max_features), self.sublinear)
+
     def save(self, path: str) -> None:
         self.terms.withColumn("sublinear", F.lit(self.sublinear)).write.mode("overwrite").parquet(path)
 
@@ -146,8 +152,14 @@ def fit_tfidf(
     sublinear: bool = True,
 ) -> TfidfModel:
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    vocab = vocabulary(term_counts(docs, key, text), n_docs, min_df, max_features)
+    vocab = vocabulary(term_counts(docs, key, text), n_docs, min_df, None)
+    return TfidfModel(*_numbered(vocab, max_features), sublinear)
+
+
+def _numbered(vocab: DataFrame, max_features: int) -> tuple[DataFrame, int]:
+    """The most frequent terms with their places in order, and their number."""
+    kept = vocab.orderBy(F.desc("total"), "term").limit(max_features)
     # The numbering window runs over at most max_features rows.
-    numbered = vocab.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
+    numbered = kept.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
     terms = cut_lineage(numbered)
-    return TfidfModel(terms, terms.count(), sublinear)
+    return terms, terms.count()
