@@ -336,6 +336,35 @@ def comparison() -> str:
     return " UNION ALL ".join(parts)
 
 
+def learned(label: str) -> str:
+    """The most frequent ``label`` of each phrase in training: what a model of the words must find.
+
+    The phrases differ in many words and twelve of thirteen messages of a phrase have one label, so
+    every trained model is far from a tie.
+    """
+    return f"""learned AS (SELECT i, label FROM (SELECT message_id % 20 AS i, {label} AS label,
+      row_number() OVER (PARTITION BY message_id % 20 ORDER BY count(*) DESC, {label}) AS k
+      FROM parted WHERE split = 'train' GROUP BY 1, 2) WHERE k = 1)"""
+
+
+def learned_rows(split: str, label: str) -> str:
+    return f"""SELECT p.{label} AS truth, l.label AS predicted FROM parted p
+      JOIN learned l ON l.i = p.message_id % 20 WHERE p.split = '{split}'"""
+
+
+def fitted_metrics() -> str:
+    return f", judged AS ({learned_rows('test', 'intent')}), {PER_CLASS}"
+
+
+def trained() -> str:
+    """The old models as in :func:`comparison`, the trained ones by what they must learn."""
+    parts = ["SELECT * FROM comparison WHERE model IN ('majority', 'rules')"]
+    for split in ("val", "test"):
+        one = f"(WITH judged AS ({learned_rows(split, 'true_intent')}), {PER_CLASS} SELECT {OVERALL} FROM scores)"
+        parts.append(f"SELECT unnest(['centroid', 'tfidf_logistic', 'lsa_logistic']) AS model, '{split}' AS split, o.* FROM {one} o")
+    return ", trained AS (" + " UNION ALL ".join(parts) + ")"
+
+
 COMPARISON = MESSAGE_SPLIT + f", comparison AS ({comparison()})"
 
 CENTROIDS = f"""
@@ -537,6 +566,17 @@ TAXONOMY_ROWS = ", ".join(
     f"({i}, {q(n)}, {q(K.INTENT_TEXTS[n][0])}, {q(K.INTENT_TEXTS[n][1])}, {q(K.INTENT_TEXTS[n][2])})"
     for i, n in enumerate([*K.INTENT_PATTERNS, OTHER])
 )
+# What the preparation has written, by its number of rows.
+PREPARED = " UNION ALL ".join(
+    f"SELECT '{name}' AS artifact, n AS rows, n > 0 AS ok FROM ({sql}) t(n)" for name, sql in {
+        "conversations": "SELECT count(*) FROM convs",
+        "history": "SELECT count(DISTINCT conversation_id) FROM turns_",
+        "splits": "SELECT count(*) FROM convs WHERE brand = (SELECT brand FROM weighed ORDER BY composite DESC NULLS LAST, brand LIMIT 1)",
+        "taxonomy": "SELECT 1::BIGINT",  # one JSON document
+        "profile": "SELECT 7::BIGINT",
+        "brand_ranking": "SELECT least(count(*), 10) FROM rated",
+    }.items()
+)
 TAXONOMY = f"(VALUES {TAXONOMY_ROWS}) AS t(intent_order, name, description, inclusion_criteria, exclusion_criteria)"
 EXAMPLES = """, examples AS (SELECT intent, message_id, message, rank FROM (
     SELECT intent, message_id, message, row_number() OVER (PARTITION BY intent ORDER BY message_id) AS rank FROM messages
@@ -674,6 +714,20 @@ ORACLES = {
         {half('(b.macro_f1 - o.macro_f1) * 100e0 / greatest(o.macro_f1, 1e-5)', 2)} AS relative_gain_pct
         FROM comparison b, comparison o WHERE b.split = 'test' AND o.split = 'test' AND o.model <> b.model
         AND b.model = (SELECT model FROM comparison WHERE split = 'val' ORDER BY macro_f1 DESC, model LIMIT 1)""", COMPARISON),
+    "model_trained": messages("""SELECT *, model = (SELECT model FROM trained WHERE split = 'val' ORDER BY macro_f1 DESC, model LIMIT 1)
+        AS chosen FROM trained""", COMPARISON + ", " + learned("true_intent") + trained()),
+    "cls_stored": messages("""SELECT p.message_id, l.label AS predicted_intent, l.label AS raw_intent FROM parted p
+        JOIN learned l ON l.i = p.message_id % 20 WHERE p.split = 'test'""", MESSAGE_SPLIT + ", " + learned("true_intent")),
+    "cls_logistic": messages(f"SELECT {OVERALL} FROM scores", MESSAGE_SPLIT + ", " + learned("intent") + fitted_metrics()),
+    "cls_lsa_logistic": messages(f"SELECT {OVERALL} FROM scores", MESSAGE_SPLIT + ", " + learned("intent") + fitted_metrics()),
+    "plan_prepare": with_(THREADS + BRANDS, PREPARED, True),
+    "plan_decide_rules": messages(f"""SELECT message_id, predicted_intent AS intent, rconf AS confidence, early_rule,
+        CASE WHEN early_rule IS NOT NULL THEN 'ESCALATE' END AS early_decision,
+        CASE WHEN early_rule IS NOT NULL THEN 'ESCALATED_PRE_GENERATION' END AS early_stage, true AS stopped_escalates,
+        true AS draft_unless_stopped, true AS similarity_in_range FROM (
+          SELECT *, CASE WHEN {ACTION} THEN 'ACTION' WHEN {SHORT} THEN 'TOO_SHORT' WHEN {PHRASE_RULE} THEN 'AMBIGUOUS'
+            WHEN predicted_intent = {q(OTHER)} OR rule_uncertain THEN 'TAXONOMY' WHEN rconf < 0.45e0 THEN 'CONFIDENCE' END AS early_rule
+          FROM ({rules_predicted('messages', 'message')}))"""),
     "dense_topk": f"WITH {NEIGHBOURS} SELECT vec_id, rank::INT AS rank, neighbour_id, {half('greatest(s, 0e0)', 4)} AS similarity_score FROM near",
     "stored_topk": f"SELECT vec_id, rank, neighbour_id, {half('greatest(s, 0e0)', 4)} AS similarity_score FROM ({ASKED_NEIGHBOURS})",
     "approx_recall": f"SELECT count(DISTINCT vec_id) AS queries, count(*) AS expected, true AS enough FROM ({ASKED_NEIGHBOURS})",

@@ -17,6 +17,7 @@ from caseloom.operators import (
 )
 from caseloom.plans.decide import DecisionPlan, build_case_index
 from caseloom.plans.evaluate import score_test_set, system_metrics, tune_thresholds
+from caseloom.plans import train as training
 from caseloom.plans.prepare import prepare
 from caseloom.session import checkpoint_dir, cut_lineage
 from caseloom.sources import readers, writers
@@ -427,6 +428,32 @@ def model_improvements(spark, d):
     return metrics.improvements(comparison, metrics.best_model(comparison))
 
 
+def _training_rows(spark, d):
+    """Messages with their noisy true intent and split, written down."""
+    rows = predicted_messages(spark, d).select("message_id", "message", F.col("true_intent").alias("intent"))
+    return cut_lineage(splits.random_split(rows, "message_id"))
+
+
+def model_trained(spark, d):
+    """All five models on validation and test, and the model that validation chooses."""
+    rows = _training_rows(spark, d)
+    models = training.train_models(rows.where("split = 'train'"), "message_id", "message")
+    held = {s: rows.where(F.col("split") == s).drop("split") for s in ("val", "test")}
+    comparison = training.compare(models, held, "message_id", "message")
+    chosen, _ = training.choose(models, comparison)
+    return comparison.withColumn("chosen", F.col("model") == chosen)
+
+
+def cls_stored(spark, d):
+    """Test messages scored by centroids of texts that were stored and loaded again."""
+    rows, path = _training_rows(spark, d), scratch(spark, "classifier")
+    fitted = classifiers.fit_centroid_model(rows.where("split = 'train'"), "message_id", "message")
+    training.save_model(spark, "centroid", fitted, path)
+    _, model = training.load_model(spark, path)
+    asked = rows.where("split = 'test'").select("message_id", "message")
+    return model.predict(asked, "message_id", "message").select("message_id", "predicted_intent", "raw_intent")
+
+
 # --- retrieval --------------------------------------------------------------------------------------------------
 
 
@@ -794,6 +821,22 @@ def plan_decide(spark, d):
     )
 
 
+def plan_decide_rules(spark, d):
+    """The part of all decisions that does not hang on similarities, and what holds for the rest."""
+    rows = plan_decide(spark, d)
+    early = F.col("rule_id").isin("ACTION", "TOO_SHORT", "AMBIGUOUS", "TAXONOMY", "CONFIDENCE")
+    stopped = F.col("rule_id") != "NONE"
+    return rows.select(
+        "message_id", "intent", "confidence",
+        F.when(early, F.col("rule_id")).alias("early_rule"),
+        F.when(early, F.col("decision")).alias("early_decision"),
+        F.when(early, F.col("pipeline_stage")).alias("early_stage"),
+        (~stopped | (F.col("decision") == "ESCALATE")).alias("stopped_escalates"),
+        ((F.col("draft_reply") == "") == stopped).alias("draft_unless_stopped"),
+        F.col("top_similarity").between(0.0, 1.0).alias("similarity_in_range"),
+    )
+
+
 def plan_evaluate(spark, d):
     plan, split = _plan(spark, d)
     return system_metrics(score_test_set(plan, split.where(F.col("split") == "test")))
@@ -932,6 +975,8 @@ QUERIES = {
     "model_comparison": model_comparison,
     "model_best": model_best,
     "model_improvements": model_improvements,
+    "model_trained": model_trained,
+    "cls_stored": cls_stored,
     "dense_topk": dense_topk,
     "retrieval_hits": retrieval_hits,
     "retrieval_metrics": retrieval_metrics,
@@ -967,6 +1012,7 @@ QUERIES = {
     "source_head": source_head,
     "plan_prepare": plan_prepare,
     "plan_decide": plan_decide,
+    "plan_decide_rules": plan_decide_rules,
     "plan_evaluate": plan_evaluate,
     "plan_tune": plan_tune,
     "stream_decisions": stream_decisions,
