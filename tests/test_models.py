@@ -55,6 +55,15 @@ def test_embedding_model_survives_storage(spark, docs, tmp_path):
     assert np.allclose(a, b) and np.allclose(np.linalg.norm(a, axis=1), 1.0, atol=1e-5)
 
 
+@pytest.mark.parametrize("places", [(0,), (1,), (0, 2), ()])
+def test_partial_matrices_add_up_whatever_tasks_have_no_rows(spark, places):
+    part = np.arange(4.0).reshape(2, 2)
+    rows = [(part.tobytes() if k in places else b"",) for k in range(3)]
+    pieces = spark.createDataFrame(rows, "rows BINARY").coalesce(1)
+    total = lsa._folded(pieces, 2, lsa._add)
+    assert total.tolist() == (part * len(places) if places else np.zeros((0, 2))).tolist()
+
+
 @pytest.mark.parametrize("embedding", [False, True])
 def test_regression_learns_and_survives_storage(spark, docs, tmp_path, embedding):
     model = fit_intent_model(docs, "id", "text", "label", embedding=embedding, components=6, max_iter=50)
