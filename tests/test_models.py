@@ -97,6 +97,23 @@ def test_sparse_products_in_pieces(monkeypatch):
     assert np.allclose(total, dense.T @ dense @ matrix)
 
 
+def test_groups_of_short_rows_and_gathered_rows_are_bounded(monkeypatch):
+    """A group is bounded in rows, since it has a dense product per row, and no large table is gathered."""
+    monkeypatch.setattr(lsa, "GROUP_ROWS", 3)
+    monkeypatch.setattr(lsa, "GATHERED", 2)
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 1, 1, 1, 9, 2, 1, 5])
+    assert [r.stop - r.start for r, _ in lsa.row_groups(lengths)] == [3, 3, 2]
+    indices = np.concatenate([rng.choice(12, n, replace=False) for n in lengths])
+    values, matrix = rng.standard_normal(len(indices)), rng.standard_normal((12, 3))
+    dense = np.zeros((len(lengths), 12))
+    dense[np.repeat(np.arange(len(lengths)), lengths), indices] = values
+    total = np.zeros_like(matrix)
+    products = lsa.rows_times(indices, values, lengths, matrix)
+    lsa.add_transposed(indices, values, lengths, products, total)
+    assert np.allclose(products, dense @ matrix) and np.allclose(total, dense.T @ dense @ matrix)
+
+
 def test_basis_of_several_blocks_counts_copies(spark):
     """More terms than a block has, rows with copies, an empty row, fewer directions than asked for."""
     rng = np.random.default_rng(4)
