@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from caseloom.functions import constants as K
 from caseloom.functions.numbers import at_least, half_up, share
@@ -22,31 +23,40 @@ _TOKEN = re.compile(r"\w{2,}")
 
 
 def _term_counts(text: str | None) -> Counter:
+    """Counts of words and of pairs of neighbours; a pair is a tuple, which no word equals."""
     tokens = _TOKEN.findall((text or "").lower())
-    return Counter(tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])])
+    counts = Counter(tokens)
+    counts.update(zip(tokens, tokens[1:]))
+    return counts
 
 
-def _first_to_others(texts: list[str]) -> float | None:
-    """Largest TF-IDF cosine of the first text to any other, the texts being the corpus."""
-    counts = [_term_counts(t) for t in texts]
-    seen = Counter(term for c in counts for term in c)
-    if not seen:
-        return None
-    idf = {term: math.log((1 + len(texts)) / (1 + df)) + 1 for term, df in seen.items()}
+def _largest_cosine(first: Counter, texts: list[str | None]) -> float | None:
+    """Largest TF-IDF cosine of ``first`` to the texts, all of them being the corpus; None if it has no term."""
+    if not first:
+        return 0.0 if any(_TOKEN.search((t or "").lower()) for t in texts) else None
+    others = [_term_counts(t) for t in texts]
+    n = len(others) + 1
+    seen = Counter(chain(first, *others))
+    # The square of a term's inverse frequency, by the number of texts that have the term.
+    squares = [0.0, *((math.log((1 + n) / (1 + df)) + 1) ** 2 for df in range(1, n + 1))]
 
     def length(c: Counter) -> float:
-        return math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in c.items()))
-
-    first = counts[0]
-    best = 0.0
-    for other in counts[1:]:
-        scale = length(first) * length(other)
-        if scale > 0:
-            shared = sum(tf * other[t] * idf[t] ** 2 for t, tf in first.items() if t in other)
-            best = max(best, shared / scale)
+        return math.sqrt(sum([tf * tf * squares[seen[t]] for t, tf in c.items()]))
+
+    best, own = 0.0, length(first)
+    for other in others:
+        common = first.keys() & other.keys()
+        if common:
+            shared = sum([first[t] * other[t] * squares[seen[t]] for t in common])
+            best = max(best, shared / (own * length(other)))
     return best
 
 
+def _first_to_others(texts: list[str]) -> float | None:
+    """Largest TF-IDF cosine of the first text to any other, the texts being the corpus."""
+    return _largest_cosine(_term_counts(texts[0]), texts[1:])
+
+
 @F.pandas_udf(DoubleType())
 def _similarity(texts: pd.Series) -> pd.Series:
     return texts.map(_first_to_others).astype("float64")
@@ -62,17 +72,32 @@ def pair_similarity(texts: Column) -> Column:
     return half_up(_similarity(texts), 6)
 
 
+SIMILARITIES = StructType([StructField(name, DoubleType()) for name in ("to_evidence", "to_message", "to_truth")])
+
+
+@F.pandas_udf(SIMILARITIES)
+def _similarities(draft: pd.Series, evidence: pd.Series, message: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    """The draft beside each of the three corpora; its terms are counted once for all."""
+    rows = []
+    for reply, cited, asked, given in zip(draft, evidence, message, truth):
+        first = _term_counts(reply)
+        found = None if cited is None else _largest_cosine(first, list(cited))
+        rows.append((found, _largest_cosine(first, [asked]), _largest_cosine(first, [given])))
+    return pd.DataFrame(rows, columns=SIMILARITIES.names, dtype="float64")
+
+
 def reply_similarities(replies: DataFrame) -> DataFrame:
     """Add the similarity of each draft to its evidence, its message and the true reply."""
-    draft = F.col("draft_reply")
     evidence = F.filter("evidence", lambda e: F.trim(e) != "")
-    return replies.withColumns(
+    texts = [F.coalesce(c, F.lit("")) for c in ("draft_reply", "message", "true_reply")]
+    scored = replies.withColumn("_s", _similarities(texts[0], evidence, *texts[1:]))
+    return scored.withColumns(
         {
-            "to_evidence": F.coalesce(pair_similarity(F.concat(F.array(draft), evidence)), F.lit(0.0)),
-            "to_message": F.coalesce(pair_similarity(F.array(draft, F.coalesce("message", F.lit("")))), F.lit(0.0)),
-            "to_truth": pair_similarity(F.array(draft, F.coalesce("true_reply", F.lit("")))),
+            "to_evidence": F.coalesce(half_up(F.col("_s.to_evidence"), 6), F.lit(0.0)),
+            "to_message": F.coalesce(half_up(F.col("_s.to_message"), 6), F.lit(0.0)),
+            "to_truth": half_up(F.col("_s.to_truth"), 6),
         }
-    )
+    ).drop("_s")
 
 
 def groundedness(draft: Column, evidence: Column, similarity: Column) -> Column:

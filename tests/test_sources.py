@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,14 @@ def test_rubric_edges(spark):
     assert order["unsupported_claims"] == ["your order will be cancelled"]
     assert refund["groundedness"] == 1 and refund["unsupported_claims"] == ["I can give you a full refund"]
     assert no_words["correctness"] == 3 and no_words["groundedness"] == 1
+
+
+def test_a_draft_is_counted_once_for_its_three_similarities(spark, monkeypatch):
+    counted, count = [], rubric._term_counts
+    monkeypatch.setattr(rubric, "_term_counts", lambda text: counted.append(text) or count(text))
+    texts = [pd.Series([a, b]) for a, b in (("red sea boat", ""), ("red sea", "red sea"), ("the sea", "..."))]
+    found = rubric._similarities.func(texts[0], pd.Series([["red boat", "sea"], []]), *texts[1:])
+    assert counted.count("red sea boat") == 1
+    alone = [rubric._first_to_others(["red sea boat", *x]) for x in (["red boat", "sea"], ["red sea"], ["the sea"])]
+    assert found.iloc[0].tolist() == pytest.approx(alone)
+    assert found.iloc[1].isna().tolist() == [True, False, True] and found.iloc[1]["to_message"] == 0.0
