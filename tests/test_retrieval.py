@@ -84,3 +84,13 @@ def test_hot_vectors_are_spread(spark, monkeypatch):
         frame.withColumnRenamed("id", "qid"), frame.withColumnRenamed("id", "cid"), "qid", "cid", 5, True, 40
     )
     assert found(got) == brute_force(cases, cases, 5, True)
+
+
+def test_similarities_come_in_bounded_slices():
+    rng = np.random.default_rng(5)
+    asked, known = rng.standard_normal((2 * retrieval.SLICE_ROWS + 3, 4)), rng.standard_normal((9, 4))
+    slices = list(retrieval.similarities(asked, known))
+    assert [first for first, _ in slices] == [0, retrieval.SLICE_ROWS, 2 * retrieval.SLICE_ROWS]
+    assert max(len(part) for _, part in slices) == retrieval.SLICE_ROWS
+    assert np.allclose(np.vstack([part for _, part in slices]), asked @ known.T, atol=1e-6)
+    assert list(retrieval.similarities(asked[:0], known)) == []
