@@ -68,6 +68,13 @@ def test_tokens_and_bigrams(spark):
     ]
 
 
+def test_bigrams_look_for_the_words_once(spark):
+    df = column(spark, ["A bc DE f gh", None]).select(with_bigrams(word_tokens(F.col("text"))).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [r["x"] for r in df.collect()] == [["bc", "de", "gh", "bc de", "de gh"], None]
+
+
 def test_letters_that_matching_equates(spark):
     """The substring test before a pattern never rules out what the pattern matches."""
     texts = ["LEGAL ACT\u0130ON", "legal act\u0131on", "LEGAL ACTION", "di\u017fpute", "\u212aindle", "legalaction"]
