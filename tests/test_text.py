@@ -1,12 +1,15 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import constants as K
 from caseloom.functions.text import (
-    clean_text, count_matching, java_pattern, matches_any, parse_created_at, required_start, with_bigrams, word_tokens,
+    clean_text, count_matching, java_pattern, matches_any, parse_created_at, required_start, strip,
+    strip_links_and_handles, whole_word, with_bigrams, word_tokens,
 )
+from caseloom.operators.intents import OTHER, label_intents
 
 
 def column(spark, values):
@@ -83,3 +86,44 @@ def test_letters_that_matching_equates(spark):
         plain = F.col("t").rlike(java_pattern(pattern, True))
         rows = df.select("t", plain.alias("plain"), matches_any("t", [pattern], True).alias("guarded")).collect()
         assert [r["plain"] for r in rows] == [r["guarded"] for r in rows], pattern
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_whole_words_match_as_the_plain_pattern_does(spark, ignore_case):
+    patterns = [r"\blag(gy)?\b", r"\bairpods?\b", r"\bsign in\b", r"\bcharg(e|ing)\b", r"\bthank(s|\s+you)?\b"]
+    around = ["", "a", "_", "5", "é", "𝒜", " ", "-", "@", "̇"]
+    words = ["lag", "laggy", "LAG", "airpod", "airpodss", "sign in", "sign  in", "charging", "charge", "thank you", "lagging"]
+    rows = [(f"{a}{w}{b}",) for a in around for w in words for b in around]
+    df = spark.createDataFrame([*rows, ("lag lagg",), ("flag lag",), ("",), (None,)], "t STRING")
+    for pattern in patterns:
+        plain, fast = java_pattern(pattern, ignore_case), whole_word(pattern, ignore_case)
+        assert (fast == plain) == (r"\s" in pattern)
+        assert df.where(~F.rlike("t", F.lit(plain)).eqNullSafe(F.rlike("t", F.lit(fast)))).count() == 0
+
+
+def test_strip_trims_every_kind_of_white_space(spark):
+    blanks = [c for c in map(chr, range(0x3001)) if re.fullmatch(r"\s", c)]
+    rows = [(f"{a}x{a} y{a}{b}", f"x{a} y") for a in blanks for b in ("", " ", "　")] + [("​x", "​x"), (None, None)]
+    df = spark.createDataFrame(rows, "t STRING, want STRING")
+    assert df.where(~strip(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_links_and_handles_go_with_and_without_each_other(spark):
+    rows = [("see https://t.co/a @b now", "see   now"), ("http://x", ""), ("@a_1é!", "!"), ("http @", "http @"), (" a ", "a"), (None, None)]
+    df = spark.createDataFrame(rows, "t STRING, want STRING")
+    assert df.where(~strip_links_and_handles(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_labels_are_compiled_to_machine_code(spark, capsys):
+    # HotSpot interprets methods of more than 8,000 bytes.
+    df = spark.range(10).select(F.col("id").cast("string").alias("customer_message"))
+    label_intents(df).explain("codegen")
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out))
+
+
+def test_labels_of_ties_and_nulls(spark):
+    rows = [("my battery and the update", "SOFTWARE_UPDATE_ISSUES"), ("BATTERY power", "BATTERY_POWER_CHARGING"), ("", OTHER), (None, OTHER)]
+    df = spark.createDataFrame(rows, "customer_message STRING, want STRING")
+    found = label_intents(df).collect()
+    assert all(r["intent"] == r["want"] for r in found)
+    assert [r["intent_confidence"] for r in found][2:] == [0.0, 0.0]
