@@ -15,6 +15,8 @@ from caseloom.session import checkpoint_dir, cut_and_count, cut_lineage
 
 # The first candidates of a query hold one of its rarest terms, so many postings of them at least.
 SEED_POSTINGS = 256
+# So many cases of a query, those with the largest part so far, are scored before the others are judged.
+PROBED = 64
 # Bounds are compared with scores that are rounded to 6 places.
 SLACK = 1e-6
 # Tables up to this number of narrow rows are sent to all executors.
@@ -107,15 +109,23 @@ def postings_of(some: DataFrame, n_some: int, index: TermIndex, query_id: str) -
     return with_weights(found, index)
 
 
-def pair_scores(pairs: DataFrame, n_pairs: int, asked: DataFrame, n_asked: int, index: TermIndex, query_id: str) -> DataFrame:
-    """``query_id, case_id, similarity`` of the ``pairs`` (query_id, case_id): the whole dot product."""
+def shared_terms(pairs: DataFrame, n_pairs: int, asked: DataFrame, n_asked: int, index: TermIndex, query_id: str) -> DataFrame:
+    """Postings, with weights, of the cases in ``pairs`` (query_id, case_id) for those terms in ``asked`` that their query has."""
+    asked = asked.select(query_id, "term", "idf", "_asked")
+    postings = index.postings
+    if n_asked <= BROADCAST_ROWS:
+        postings = postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     # Postings meet the queries that ask for their case, and then only the terms of those.
     if n_pairs <= BROADCAST_ROWS:
-        own = index.postings.join(F.broadcast(pairs), "case_id")
+        own = postings.join(F.broadcast(pairs), "case_id")
     else:
-        own = lookup_join(index.postings, pairs, "case_id", "term", "inner")
-    own = own.join(few(asked.select(query_id, "term", "idf", "_asked"), n_asked), [query_id, "term"])
-    both = with_weights(own, index)
+        own = lookup_join(postings, pairs, "case_id", "term", "inner")
+    return with_weights(own.join(few(asked, n_asked), [query_id, "term"]), index)
+
+
+def pair_scores(pairs: DataFrame, n_pairs: int, asked: DataFrame, n_asked: int, index: TermIndex, query_id: str) -> DataFrame:
+    """``query_id, case_id, similarity`` of the ``pairs`` (query_id, case_id): the whole dot product."""
+    both = shared_terms(pairs, n_pairs, asked, n_asked, index, query_id)
     # Added up in the order of the terms, whatever the order in which they arrive.
     parts = F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("_asked")).alias("part"))))
     total = F.aggregate(parts, F.lit(0.0), lambda so_far, e: so_far + e["part"])
@@ -132,7 +142,8 @@ def sparse_topk(queries: DataFrame, index: TermIndex, query_id: str, text: str =
     what they could add together, with the largest weight that any case gives them, stays below that score:
     a case with none of the other terms cannot be among the k best. So frequent terms form no pairs
     of a query and a case, unless a query has nothing else. Cases whose part from the terms looked
-    at, with the most that the others can add, stays below the score are dropped before the rest is added up.
+    at, with the most that the others can add, stays below the score are dropped before the rest is added up. The
+    cases with the largest such parts are scored first, which raises the score to beat for all others.
 
     A query without a known term has no rows. Repeated queries are answered each.
     """
@@ -157,24 +168,47 @@ def sparse_topk(queries: DataFrame, index: TermIndex, query_id: str, text: str =
     first, n_first = cut_and_count(candidates(seeds).select(query_id, "case_id").distinct())
     scored = cut_lineage(pair_scores(first, n_first, asked, n_asked, index, query_id))
     ranked = Window.partitionBy(query_id).orderBy(F.desc("similarity"), "case_id")
-    to_beat = (
-        scored.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == k)
-        .select(query_id, F.col("similarity").alias("_least"))
-    )
+
+    def to_beat(scores: DataFrame) -> DataFrame:
+        kth = scores.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") == k)
+        return kth.select(query_id, F.col("similarity").alias("_least"))
+
     # What the terms from the most frequent down to this one can add at most.
     frequent = Window.partitionBy(query_id).orderBy(F.desc("df"), F.desc("term"))
     added = F.col("_asked") * F.col("most")
     bound = F.sum(added).over(frequent.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    judged = asked.withColumn("_bound", bound).join(to_beat, query_id, "left").withColumn("_least", F.coalesce("_least", F.lit(-1.0)))
+    judged = asked.withColumn("_bound", bound).join(to_beat(scored), query_id, "left").withColumn("_least", F.coalesce("_least", F.lit(-1.0)))
     marked = cut_lineage(judged.withColumn("_prefix", F.col("_bound") >= F.col("_least") - SLACK))
     rest = marked.groupBy(query_id).agg(
         F.max("_least").alias("_least"), F.coalesce(F.sum(F.when(~F.col("_prefix"), added)), F.lit(0.0)).alias("_rest")
     )
-    partial = (
+    partial = cut_lineage(
         candidates(marked.where("_prefix")).groupBy(query_id, "case_id").agg(F.sum(F.col("weight") * F.col("_asked")).alias("_part"))
         .join(few(rest, n_asked), query_id).where(F.col("_part") + F.col("_rest") >= F.col("_least") - SLACK)
-        .select(query_id, "case_id")
+        .join(few(first, n_first), [query_id, "case_id"], "left_anti")
+        .select(query_id, "case_id", "_part", "_rest")
+    )
+    largest = Window.partitionBy(query_id).orderBy(F.desc("_part"), "case_id")
+    placed = partial.withColumn("_place", F.row_number().over(largest)).where(F.col("_place") <= max(PROBED, k))
+    probed, n_probed = cut_and_count(placed.select(query_id, "case_id"))
+    scored = cut_lineage(scored.union(pair_scores(probed, n_probed, asked, n_asked, index, query_id)))
+    least = few(cut_lineage(to_beat(scored)), n_asked)
+    open_, n_open = cut_and_count(
+        partial.join(least, query_id, "left").where(F.col("_part") + F.col("_rest") >= F.coalesce("_least", F.lit(-1.0)) - SLACK)
+        .join(few(probed, n_probed), [query_id, "case_id"], "left_anti").select(query_id, "case_id", "_part")
+    )
+    # Of those, the terms left out are looked at, too; only near the k-th best are scores added up in order.
+    pairs = open_.select(query_id, "case_id")
+    left_out = cut_lineage(marked.where(~F.col("_prefix")).join(few(pairs.select(query_id).distinct(), n_asked), query_id, "left_semi"))
+    others = shared_terms(pairs, n_open, left_out, n_asked, index, query_id)
+    others = others.select(query_id, "case_id", (F.col("weight") * F.col("_asked")).alias("_part"))
+    sums = cut_lineage(open_.unionByName(others).groupBy(query_id, "case_id").agg(F.sum("_part").alias("_part")))
+    kth = sums.withColumn("_place", F.row_number().over(largest)).where(F.col("_place") == k)
+    best = F.greatest(F.coalesce("_kth", F.lit(-1.0)), F.coalesce("_least", F.lit(-1.0)))
+    near = (
+        sums.join(few(kth.select(query_id, F.col("_part").alias("_kth")), n_asked), query_id, "left")
+        .join(least, query_id, "left").where(F.col("_part") >= best - 2 * SLACK)
     )
-    more, n_more = cut_and_count(partial.join(few(first, n_first), [query_id, "case_id"], "left_anti"))
+    more, n_more = cut_and_count(near.select(query_id, "case_id"))
     every = scored.union(pair_scores(more, n_more, asked, n_asked, index, query_id))
     return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(query_id, "rank", "case_id", "similarity")

@@ -148,3 +148,22 @@ def test_frequent_terms_form_no_pairs(spark, monkeypatch):
     found = sparse_topk(spark.createDataFrame([(1, "the topic3 rare6 of")], "item bigint, text string"), index, "item", k=2)
     assert [r["case_id"] for r in found.orderBy("rank").collect()] == [12, 13]
     assert sum(asked) < 20
+
+
+@pytest.mark.parametrize("sent", [200_000, 20])
+def test_only_near_cases_are_scored_in_full(spark, monkeypatch, sent):
+    """Cases that may be near by their rare terms are judged by the left out terms before their scores are added up."""
+    asked = []
+    real = sparse_search.pair_scores
+    monkeypatch.setattr(sparse_search, "pair_scores", lambda pairs, *rest: asked.append(pairs.count()) or real(pairs, *rest))
+    for name, value in (("SEED_POSTINGS", 5), ("PROBED", 5), ("BROADCAST_ROWS", sent)):
+        monkeypatch.setattr(sparse_search, name, value, raising=False)
+    pick = random.Random(3)
+    text = lambda n: " ".join(f"word{min(int(pick.expovariate(0.08)), 99)}" for _ in range(n))
+    docs = [(k, text(pick.randint(5, 60))) for k in range(600)]
+    queries = [(k, text(40)) for k in range(10)]
+    index = build_term_index(spark.createDataFrame(docs, "id bigint, text string"), "id")
+    got = rows_of(sparse_topk(spark.createDataFrame(queries, "item bigint, text string"), index, "item", k=5))
+    expected = plain_sparse(docs, queries, 5)
+    assert [r[:3] for r in got] == [r[:3] for r in expected]
+    assert asked[-1] < 50
