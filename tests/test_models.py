@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
 from caseloom.operators import lsa
 from caseloom.operators.classifiers import IntentModel, fit_intent_model
@@ -64,6 +65,18 @@ def test_partial_matrices_add_up_whatever_tasks_have_no_rows(spark, places):
     assert total.tolist() == (part * len(places) if places else np.zeros((0, 2))).tolist()
 
 
+def test_fewer_texts_than_cores_are_fitted(spark, monkeypatch):
+    """Tasks without rows, so that parts without rows come after others when they are joined."""
+    monkeypatch.setattr(SparkContext, "defaultParallelism", property(lambda self: 12))
+    texts = ["red apple", "red pear", "blue sea", "blue sail", "red"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(40)], "id INT, text STRING").repartition(12, "id")
+    model = fit_lsa(docs, "id", components=3)
+    x = matrix_of(model.tfidf, docs)
+    expected = np.linalg.svd(x)[2][:3].T
+    v = model.basis.loader()()
+    assert np.allclose(v.T @ v, np.eye(3), atol=1e-9) and np.allclose(v @ v.T, expected @ expected.T, atol=1e-6)
+
+
 @pytest.mark.parametrize("embedding", [False, True])
 def test_regression_learns_and_survives_storage(spark, docs, tmp_path, embedding):
     model = fit_intent_model(docs, "id", "text", "label", embedding=embedding, components=6, max_iter=50)
