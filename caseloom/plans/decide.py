@@ -26,6 +26,9 @@ def build_case_index(
 ) -> CaseIndex:
     """Index of the resolved cases of the training conversations."""
     cases = cut_lineage(case_rows(train))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if cases.rdd.getNumPartitions() < cores:  # however few files they come in
+        cases = cut_lineage(cases.repartition(cores))
     model = fit_lsa(cases, "conversation_id", "customer_message", components, max_features=max_features)
     embedded = model.embed(cases, "conversation_id", "customer_message")
     return CaseIndex(cut_lineage(embedded), model)

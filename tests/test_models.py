@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import SparkContext
 
@@ -148,3 +149,16 @@ def test_basis_of_several_blocks_counts_copies(spark):
     assert np.allclose(np.linalg.svd(every.T @ expected[:24].T)[1], 1.0, atol=1e-6)
     assert singular_vectors(features.limit(0), n_terms, 5).shape == (n_terms, 0)
     assert singular_vectors(features.limit(0), 0, 5).shape == (0, 0)
+
+
+def test_batches_are_put_together_to_groups(monkeypatch):
+    """Each group costs time for every term that it has, so small batches do not make groups of their own."""
+    monkeypatch.setattr(lsa, "GROUP_ROWS", 5)
+    batches = [
+        pa.RecordBatch.from_pydict({"indices": [[k], [], [k, 9]], "values": [[1.0], [], [0.5, k / 2]], "n": [1, 7, k]}) for k in range(4)
+    ]
+    tables = list(lsa.row_tables(iter(batches)))
+    assert [t[2].tolist() for t in tables] == [[1, 2] * 3, [1, 2]]
+    assert np.concatenate([t[0] for t in tables]).tolist() == [x for k in range(4) for x in (k, k, 9)]
+    assert np.concatenate([t[3] for t in tables]).tolist() == [x for k in range(4) for x in (1, k)]
+    assert list(lsa.row_tables(iter([]))) == []

@@ -94,3 +94,34 @@ def test_similarities_come_in_bounded_slices():
     assert max(len(part) for _, part in slices) == retrieval.SLICE_ROWS
     assert np.allclose(np.vstack([part for _, part in slices]), asked @ known.T, atol=1e-6)
     assert list(retrieval.similarities(asked[:0], known)) == []
+
+
+def test_few_queries_go_to_the_cases(spark, monkeypatch):
+    """Both ways of the search give the brute-force rows, with copies, equal scores, zero vectors and repeated ids."""
+    rng = np.random.default_rng(8)
+    distinct = rng.integers(-2, 3, (40, 3)).astype(float)
+    rows = [(f"c{i % 110}", distinct[i % 40].tolist()) for i in range(130)] + [("none", None)]
+    cases = spark.createDataFrame(rows, "case STRING, embedding ARRAY<FLOAT>").repartition(5)
+    asked = [(i, distinct[i % 45].tolist() if i % 45 < 40 else [0.0] * 3) for i in range(60)] + [(99, None)]
+    queries = spark.createDataFrame(asked, "id INT, embedding ARRAY<FLOAT>")
+
+    def unit(v):
+        return np.array(v) / (np.linalg.norm(v) or 1.0)
+
+    expected = set()
+    for i, vector in asked[:-1]:
+        scored = [(-np.floor(float(unit(vector) @ unit(v)) * 1e6 + 0.5) / 1e6, c) for c, v in rows[:-1]]
+        for rank, (score, case) in enumerate(sorted(scored)[:4], 1):
+            expected.add((i, rank, case, round(max(-score, 0.0), 4)))
+    found = {}
+    for sent in (4096, 0):
+        monkeypatch.setattr(retrieval, "SENT_QUERIES", sent)
+        got = retrieval.nearest_cases(queries, cases, "id", "case", 4, block_rows=16)
+        found[sent] = got.schema.simpleString(), {(r[0], r[1], r[2], round(r[3], 4)) for r in got.collect()}
+    assert found[4096] == found[0] and found[0][1] == expected
+
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", 4096)
+    monkeypatch.setattr(retrieval, "_nearest_to_many", None)
+    plain = cases.select("case", "embedding")
+    assert retrieval.nearest_cases(queries, plain.limit(0), "id", "case", 4).count() == 0
+    assert retrieval.nearest_cases(queries.limit(0), plain, "id", "case", 4).count() == 0
